@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ REACH = 2
 FIT_DOCS = 8000
 HIDDEN = 32
 REMEMBERED = 200_000
+#: Stands beside each part in capitals.
+_CAPITALS = zlib.crc32(b"\0capitals") % BUCKETS
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -38,14 +42,12 @@ class _Words(dict):
     """Word to the buckets of its parts, as bytes."""
 
     def __missing__(self, word: str) -> bytes:
-        import xxhash
-
         found = []
-        for x in _PARTS.findall(word):
-            found.append(x.lower())
+        for x in (word,) if word.isalpha() else _PARTS.findall(word):
+            found.append(zlib.crc32(x.lower().encode()) % BUCKETS)
             if len(x) > 1 and x.isupper():
-                found.append("\0capitals")
-        made = np.array([xxhash.xxh64_intdigest(x.encode()) % BUCKETS for x in found], "<u4").tobytes()
+                found.append(_CAPITALS)
+        made = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
