@@ -136,9 +136,9 @@ class Catalog:
         have = self.table("dedup_edges").where(F.col("model_id") == model_id).select("episode_a", "episode_b")
         new = pairs.join(have, ["episode_a", "episode_b"], "left_anti")
         rows = new.withColumns({"model_id": F.lit(model_id), "method": F.lit("ann-cosine"), "computed_at": F.lit(_now())})
-        before = len(self.committed("dedup_edges"))
-        self.commit({"dedup_edges": rows})
-        return self.spark.read.parquet(*(f"{self.root}/{f}" for f in self.committed("dedup_edges")[before:])).count()
+        batch = self.commit({"dedup_edges": rows})
+        files = [f for m in self.manifests() if m["batch_id"] == batch for f in m["files"]["dedup_edges"]]
+        return self.spark.read.schema(schema_of("dedup_edges")).parquet(*(f"{self.root}/{f}" for f in files)).count()
 
     def curate(self, by: str, where: str | None = None, ids: list[str] | None = None, label: str = "approved", reason: str | None = None, dedup: float | None = None, policy: str = "higher-quality") -> DataFrame:
         """Label a selection; near-duplicate losers in it are rejected instead."""
