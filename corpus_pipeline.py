@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import positional
 from tidewheel.llm.mixing import mix_sources
 from tidewheel.llm.packing import pack
 from tidewheel.llm.pii import sanitise
-from tidewheel.llm.rules import quality_rules
+from tidewheel.llm.rules import without_rejected
 from tidewheel.llm.simhash import simhash_components
 from tidewheel.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    judged = quality_rules(docs, keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    return without_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document of the smallest id."""
     groups = simhash_components(docs).select("doc_id", "component_id").distinct()
     dropped = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     mixed = mix_sources(docs).groupBy("doc_id", "h").agg(F.max("times_taken").alias("times"))
-    taken = docs.withColumn("_h", F.xxhash64("text")).join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"]) & (F.col("_h") == F.col("h")))
-    repeated = taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    plain, name, back = positional(docs)
+    same = F.col(name("doc_id")).eqNullSafe(F.col("doc_id")) & (F.xxhash64(name("text")) == F.col("h"))
+    taken = plain.join(mixed.where("times > 0"), same)
+    return back(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

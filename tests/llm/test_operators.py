@@ -279,3 +279,15 @@ def test_pipeline(spark, tmp_path):
         assert not ids & {200, 201} and (name == "quality rules" or not ids & {100, 101, 102, 103, 104})
     assert docs.where(F.col("text").contains("@")).count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == ids
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    own = "kept rejected_by component_id n_email spans _spans _row _id _text _near h times times_taken copy size pattern fp rep key bucket start".split()
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own)).cache()
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in out.collect() for c in own)
+    assert corpus_pipeline.packing(spark, rows, str(tmp_path)).count() >= rows.count()

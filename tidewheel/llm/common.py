@@ -44,6 +44,16 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def positional(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """The columns named by position, so that none clashes with an operator's own.
+
+    Returns the renamed rows, the new name of an old one, and the way back.
+    """
+    names = docs.columns
+    new = [f"_c{k}" for k in range(len(names))]
+    return docs.toDF(*new), lambda n: new[names.index(n)], lambda df: df.select(*new).toDF(*names)
+
+
 def salts(df: DataFrame, rows: int, target: int = 20_000) -> int:
     """Into how many salted groups ``rows`` rows go, so that none outgrows a task."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

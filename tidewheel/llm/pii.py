@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import map_rows
+from tidewheel.llm.common import map_rows, positional
 from tidewheel.session import materialize
 
 #: Kinds in the order that ties are listed in; the method's own spans come last.
@@ -22,6 +22,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+#: Columns that the operator makes itself.
+_OWN = frozenset("doc_id _id _text _row _near _all _more base_sha256 spans _spans".split()) | {f"n_{k}" for k in KINDS}
 #: A term's context: so many words before and after an entity, within so many characters.
 NEAR_WORDS, NEAR_CHARS = 5, 200
 #: A term is judged if it comes in so many different contexts of an entity.
@@ -150,8 +152,10 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 
     Texts may be null (empty) or very long; ids null or repeated: each row gives one.
     Returns ``keep``, ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
-    _spans`` (the spans as an array, kinds as positions in ``KINDS``).
+    _spans`` (the spans as an array, kinds as positions in ``KINDS``). A column of ``keep``
+    named as one of the operator's own is left out.
     """
+    keep = tuple(c for c in keep if c not in _OWN)
     found = _detect(docs, text, id_col, keep)
     flagged = _disclosing(docs, found, text, support, disclosure)
     if flagged is None:
@@ -162,8 +166,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
         all_ = found.join(more, "_row", "left").withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_more", F.array().cast("array<struct<s:int,k:int,e:int>>")))))
     names = F.array(*map(F.lit, KINDS))
     shown = F.transform("_all", lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string")))
-    columns = [c for c in keep if c != "doc_id"]
-    return all_.select(*columns, F.col("_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(",", shown).alias("spans"), F.col("_all").alias("_spans"))
+    return all_.select(*keep, F.col("_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(",", shown).alias("spans"), F.col("_all").alias("_spans"))
 
 
 def replace_spans(text: str | None, spans: list[dict]) -> str | None:
@@ -182,12 +185,13 @@ def replace_spans(text: str | None, spans: list[dict]) -> str | None:
 
 def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
     """The same rows and columns with personal data and disclosing terms generalised to their kinds."""
-    columns = tuple(docs.columns)
-    found = find_personal_data(docs, text, id_col, columns, **settings)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    plain, name, back = positional(docs)
+    columns, text = plain.columns, name(text)
+    found = find_personal_data(plain, text, name(id_col), tuple(columns), **settings)
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
 
     def run(rows):
         new = [replace_spans(t, s) for t, s in zip(rows.column(text).to_pylist(), rows.column("_spans").to_pylist(), strict=True)]
         return {c: rows.column(c) for c in columns} | {text: new}
 
-    return map_rows(found, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    return back(map_rows(found, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns)))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import map_rows
+from tidewheel.llm.common import map_rows, positional
 
 _CAPITALS = bytes(range(65, 91))
 WINDOW = 8
@@ -139,10 +139,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + ADDED_
 
     ``plan_cascade`` sets the order. A null text has no word. Returns ``id_col``, the
     columns ``keep``, ``kept`` and ``rejected_by``: names of rules can depend on the
-    order, ``kept`` cannot. One pass, no shuffle; ids may be null or repeated.
+    order, ``kept`` cannot. A column of ``keep`` named as one of these two is left out.
+    One pass, no shuffle; ids may be null or repeated.
     """
     order = [x["rule"] for x in plan_cascade(docs, rules, text)]
-    columns = list(dict.fromkeys([id_col, *keep]))
+    columns = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("kept", "rejected_by")]
     source = docs.select(*columns, *([] if text in columns else [text]))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
@@ -157,6 +158,12 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + ADDED_
     return map_rows(source, judge, f"{schema}, kept boolean, rejected_by string")
 
 
+def without_rejected(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + ADDED_RULES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns whatever they are called, that no rule rejects."""
+    plain, new, back = positional(docs)
+    return back(quality_rules(plain, rules, new(text), new(id_col), tuple(plain.columns)).where("kept"))
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
     """The cascade's verdict beside the base figures of every document."""
     order = [x["rule"] for x in plan_cascade(docs, ADDED_RULES)]
