@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewheel.functions import vectors as V
-from tidewheel.operators import action_tokens, curation, diagnostics, kernels, quality, segment, temporal
+from tidewheel.operators import action_tokens, curation, diagnostics, kernels, quality, segment, temporal, video
 from tidewheel.plans.catalog import dup_losers
 from tidewheel.plans.relational import ORACLES as RELATIONAL_SQL
 from tidewheel.plans.relational import QUERIES as RELATIONAL
@@ -69,6 +69,47 @@ def query(sql: str | None = None):
 
     return keep
 
+# --- video: events of a user and type stand for a camera's frames, an hour for a second ---
+
+
+def camera_frames(spark, sf_dir):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    outcome = F.when(F.col("event_id") % 11 == 0, "missing").when(F.col("event_id") % 13 == 0, "invalid").otherwise("decoded")
+    decoded = outcome == "decoded"
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("episode_id"), F.col("event_type").alias("camera"),
+        (F.row_number().over(w) - 1).cast("long").alias("frame_index"), ((micros() - F.min(micros()).over(w)) / F.lit(3.6e9)).alias("timestamp"), outcome.alias("outcome"),
+        F.when(decoded, F.abs("value")).alias("sharpness"), F.when(decoded, F.col("event_id") % 200).cast("double").alias("brightness"),
+        F.when(decoded, (F.col("event_id") % 17) / 50).alias("shadow_fraction"), F.when(decoded, (F.col("event_id") % 19) / 50).alias("highlight_fraction"),
+        F.when(decoded, F.col("event_id") % 23).cast("double").alias("colourfulness"), F.when(decoded & (F.row_number().over(w) > 1), F.col("event_id") % 5 < 3).alias("frozen"),
+    )
+
+
+_CAM = """c0 AS (SELECT CAST(user_id AS VARCHAR) AS ep, event_type AS cam, event_id AS id, value, row_number() OVER w - 1 AS i, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 3.6e9 AS t,
+  CASE WHEN event_id % 11 = 0 THEN 'missing' WHEN event_id % 13 = 0 THEN 'invalid' ELSE 'decoded' END AS o FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+c1 AS (SELECT *, t - lag(t) OVER (PARTITION BY ep, cam ORDER BY i) AS gap, o = 'decoded' AS ok, o = 'decoded' AND i > 0 AND id % 5 < 3 AS fz FROM c0),
+c2 AS (SELECT *, CASE WHEN gap > 0 THEN gap END AS dt, CASE WHEN gap > 1.5 / 0.01 THEN greatest(0, CAST(round_even(gap * 0.01, 0) AS BIGINT) - 1) END AS lost, count(*) FILTER (ok AND NOT fz) OVER (PARTITION BY ep, cam ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM c1)"""
+
+
+@query(f"WITH {_CAM} SELECT ep AS episode_id, cam AS camera, i AS frame_index, round(dt, 6) AS gap_s, lost AS missing, lost >= 3 OR dt - 1 / 0.01 >= 0.2 - 1e-9 AS significant FROM c2 WHERE lost IS NOT NULL")
+def video_frame_gaps(spark, sf_dir):
+    return video.frame_gaps(camera_frames(spark, sf_dir), 0.01).withColumns({"gap_s": r6("gap_s"), "missing": F.col("missing").cast("long")})
+
+
+@query(
+    f"""WITH {_CAM}, r AS (SELECT ep, cam, run, count(*) FILTER (fz) AS n FROM c2 GROUP BY ALL), m AS (SELECT ep, cam, max(n) AS n FROM r GROUP BY ALL)
+SELECT ep AS episode_id, cam AS camera, count(*) AS expected_frames, count(*) FILTER (o = 'missing') AS missing, count(*) FILTER (o = 'invalid') AS invalid, count(*) FILTER (ok) AS decoded,
+  round(min(abs(value)) FILTER (ok), 6) AS min_sharpness, round(avg(CAST(abs(value) < 100 AS INT)) FILTER (ok), 6) AS blurry_fraction,
+  round(avg(CAST((id % 19) / 50 > 0.2 AS INT)) FILTER (ok), 6) AS overexposed_fraction, round(avg(CAST((id % 17) / 50 > 0.2 OR id % 200 < 32 AS INT)) FILTER (ok), 6) AS underexposed_fraction,
+  round(avg(CAST(fz AS INT)) FILTER (ok AND i > 0), 6) AS frozen_fraction, any_value(m.n) AS longest_frozen_run, CASE WHEN count(dt) > 0 THEN CAST(coalesce(sum(lost), 0) AS BIGINT) END AS dropped_frames
+FROM c2 JOIN m USING (ep, cam) GROUP BY ep, cam"""
+)
+def video_camera_quality(spark, sf_dir):
+    q = video.camera_quality(camera_frames(spark, sf_dir), 0.01)
+    rounded = [r6(c).alias(c) for c in ("min_sharpness", "blurry_fraction", "overexposed_fraction", "underexposed_fraction", "frozen_fraction")]
+    return q.select("episode_id", "camera", "expected_frames", "missing", "invalid", "decoded", *rounded, F.col("longest_frozen_run").cast("long").alias("longest_frozen_run"), F.col("dropped_frames").cast("long").alias("dropped_frames"))
+
+
 
 # --- multi-rate streams -------------------------------------------------------------------
 
