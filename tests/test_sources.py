@@ -4,7 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from tidewheel.sources import lerobot, records
+from tidewheel.sources import lerobot, records, topics
 
 
 def test_lerobot_round_trip(spark, tmp_path):
@@ -60,3 +60,23 @@ def test_mcap(spark, tmp_path):
     got = records.read_mcap(spark, f"file://{tmp_path}", ["/joint"]).orderBy("ts_ns").collect()
     assert [(r["topic"], r["ts_ns"], bytes(r["data"])) for r in got] == [("/joint", 10, b"{}"), ("/joint", 12, b"[1]")]
     assert lerobot.detect_format(spark, f"file://{tmp_path}") == "mcap"
+
+
+def test_mcap_inventory_and_fields(spark, tmp_path):
+    joint, image = "sensor_msgs/msg/JointState", "sensor_msgs/msg/CompressedImage"
+    schemas = {"/arm/joint": joint, "/base/joint": joint, "/arm/cmd": joint, "/cam/front/image_raw": image, "/tool/pose": "geometry_msgs/msg/PoseStamped", "/episode/start": "std_msgs/msg/String", "/out/target": "std_msgs/msg/Float64MultiArray"}
+    body = json.dumps({"position": [1, 2.5]}).encode()
+    messages = [(t, 10 + k, body) for t in schemas for k in range(3 if t == "/arm/joint" else 2)]
+    (tmp_path / "a.mcap").write_bytes(records.write_mcap(messages, schemas=schemas))
+    (tmp_path / "b.mcap").write_bytes(records.write_mcap([("/points", 1, b"x")], schemas={"/points": "sensor_msgs/msg/PointCloud2"}))
+    channels = records.mcap_inventory(spark, f"file://{tmp_path}")
+    found = {(r["path"][-6:], r["topic"]): (r["schema_name"], r["n_messages"], r["start_ns"], r["end_ns"]) for r in channels.collect()}
+    assert found["a.mcap", "/arm/joint"] == (joint, 3, 10, 12) and found["b.mcap", "/points"][1] == 1 and len(found) == 8
+    fields = {r["field"]: (r["topic"], r["part"], r["encoding"]) for r in topics.propose_fields(channels).collect()}
+    assert fields == {
+        "observation.state": ("/arm/joint", "position", None), "observation.state.base_joint": ("/base/joint", "position", None), "action": ("/arm/cmd", "position", None),
+        "observation.images.cam_front": ("/cam/front/image_raw", None, "jpeg"), "observation.ee_pose": ("/tool/pose", None, None), "task": ("/episode/start", None, None), "episode_marker": ("/episode/start", None, None),
+    }
+    read = records.read_mcap(spark, f"file://{tmp_path}")
+    assert [r["value"] for r in topics.extract(read, "/arm/joint", "position").collect()] == [[1.0, 2.5]] * 3
+    assert [r["value"] for r in topics.extract(read, "/points", "x").collect()] == [None]
