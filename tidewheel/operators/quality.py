@@ -161,7 +161,11 @@ def composite_score(metrics: DataFrame) -> DataFrame:
 
 
 def episode_metrics(frames: DataFrame, fps: float, gripper: Column | None = None) -> DataFrame:
-    """All column metrics of each episode beside its score; one shuffle by episode and the few by dimension."""
+    """All column metrics of each episode beside its score.
+
+    Each metric shuffles its own columns by episode (or by episode and dimension); the
+    results, a row per episode, are joined.
+    """
     from tidewheel.operators.diagnostics import static_fraction
 
     out = dead_actions(frames).join(ldlj(frames, fps), "episode_id", "left").join(timestamp_regularity(frames, fps), "episode_id", "left")
