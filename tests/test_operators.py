@@ -64,6 +64,24 @@ def test_smooth_beats_jerky(spark):
     assert got["smooth"]["ldlj"] == pytest.approx(-math.log(span**3 / peak**2 * (v**2).sum() / 30), rel=1e-9)
 
 
+def test_episode_metrics_of_odd_frames(spark):
+    rows = [("one", 0, 0.0, [1.0, 2.0], [1.0, 0.0]), ("none", 0, 0.0, None, None), ("empty", 0, 0.0, [], [])]
+    rows += [("gaps", i, i / 10, None if i in (4, 9) else [float(i * i % 7)], None if i == 6 else [float(i % 5), 1.0]) for i in range(15)]
+    x = spark.createDataFrame(rows, FRAMES)
+    got = quality.episode_metrics(x, 10.0)
+    for part in (quality.dead_actions(x), quality.ldlj(x, 10.0), quality.timestamp_regularity(x, 10.0), quality.action_saturation(x), quality.action_entropy(x), diagnostics.static_fraction(x, 10.0)):
+        alone = {r["episode_id"]: r.asDict() for r in part.collect()}
+        for r in got.collect():
+            assert all(r[n] == pytest.approx(v) for n, v in alone.get(r["episode_id"], {}).items())
+    kept = np.array([float(i * i % 7) for i in range(15) if i not in (4, 9)])
+    v = np.gradient(kept, 0.1)
+    j = np.gradient(np.gradient(v, 0.1), 0.1)
+    want = -math.log(1.2**3 / np.abs(v).max() ** 2 * (j**2).sum() / 10)
+    assert one(got, episode_id="gaps")["ldlj"] == pytest.approx(want)
+    assert one(got, episode_id="none")["overall_saturation"] is None
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+
+
 @pytest.mark.parametrize("fps", [10, 30, 50])
 def test_pause(spark, fps):
     n = 6 * fps

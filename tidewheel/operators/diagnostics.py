@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,12 +30,15 @@ def transitions(frames: DataFrame, fps: float) -> DataFrame:
     ).drop("_ds", "_da")
 
 
-def static_fraction(frames: DataFrame, fps: float) -> DataFrame:
-    """Share of the observed time in which no dimension moves faster than ``SLOW``."""
-    x = transitions(frames, fps)
+def static_share() -> Column:
     slow = F.sum(F.when(F.col("valid") & (F.col("speed") <= SLOW), F.col("dt")).otherwise(0.0))
     seen = F.sum(F.when(F.col("valid"), F.col("dt")).otherwise(0.0))
-    return x.groupBy("episode_id").agg(F.try_divide(slow, F.when(seen > 0, seen)).alias("static_fraction"))
+    return F.try_divide(slow, F.when(seen > 0, seen)).alias("static_fraction")
+
+
+def static_fraction(frames: DataFrame, fps: float) -> DataFrame:
+    """Share of the observed time in which no dimension moves faster than ``SLOW``."""
+    return transitions(frames, fps).groupBy("episode_id").agg(static_share())
 
 
 def time_coverage(frames: DataFrame, fps: float) -> DataFrame:

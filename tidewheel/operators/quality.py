@@ -45,87 +45,136 @@ def dead_flag(action: str = "action", key: str = "episode_id", order: str = "fra
     return zero | like(F.lag(action).over(w)) | like(F.lead(action).over(w))
 
 
+def _dead_totals() -> list[Column]:
+    return [F.avg(F.col("_dead").cast("double")).alias("dead_fraction"), F.count_if("_dead").alias("n_dead")]
+
+
 def dead_actions(frames: DataFrame, action: str = "action") -> DataFrame:
-    return frames.withColumn("_dead", dead_flag(action)).groupBy("episode_id").agg(F.avg(F.col("_dead").cast("double")).alias("dead_fraction"), F.count_if("_dead").alias("n_dead"))
+    return frames.withColumn("_dead", dead_flag(action)).groupBy("episode_id").agg(*_dead_totals())
 
 
 def dead_runs(frames: DataFrame, action: str = "action") -> DataFrame:
     return runs(frames.withColumn("_dead", dead_flag(action)), ["episode_id"], "frame_index", F.col("_dead"))
 
 
+def _path_total(step: str) -> Column:
+    return F.coalesce(F.sum(step), F.lit(0.0)).alias("joint_path_length")
+
+
 def path_length(frames: DataFrame, state: str = "state") -> DataFrame:
     step = norm(_difference(F.col(state), F.lag(state).over(by_episode())))
-    return frames.select("episode_id", step.alias("_s")).groupBy("episode_id").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("joint_path_length"))
+    return frames.select("episode_id", step.alias("_s")).groupBy("episode_id").agg(_path_total("_s"))
 
 
-def gripper_chatter(frames: DataFrame, channel: Column, duration: Column | None = None) -> DataFrame:
-    """Crossings of the mid-range per second; none where the range is under 1e-6."""
+def _with_turns(frames: DataFrame, channel: Column) -> DataFrame:
+    """Adds ``_turn``: the channel crosses its mid-range here."""
     whole = Window.partitionBy("episode_id")
-    x = frames.select("episode_id", "frame_index", "timestamp", channel.alias("_g"))
-    x = x.withColumns({"_lo": F.min("_g").over(whole), "_hi": F.max("_g").over(whole)})
+    x = frames.withColumn("_g", channel).withColumns({"_lo": F.min("_g").over(whole), "_hi": F.max("_g").over(whole)})
     x = x.withColumn("_on", F.col("_g") > (F.col("_lo") + F.col("_hi")) / 2)
-    x = x.withColumn("_turn", (F.col("_on") != F.lag("_on").over(by_episode())) & (F.col("_hi") - F.col("_lo") >= 1e-6))
+    return x.withColumn("_turn", (F.col("_on") != F.lag("_on").over(by_episode())) & (F.col("_hi") - F.col("_lo") >= 1e-6))
+
+
+def _turn_totals(duration: Column | None = None) -> list[Column]:
     span = duration if duration is not None else F.max("timestamp") - F.min("timestamp")
-    out = x.groupBy("episode_id").agg(F.count_if("_turn").alias("n_transitions"), span.alias("_span"))
+    return [F.count_if("_turn").alias("n_transitions"), span.alias("_span")]
+
+
+def _turn_rate(totals: DataFrame) -> DataFrame:
     rate = F.col("n_transitions") / F.greatest(F.col("_span"), F.lit(1e-6))
-    return out.select("episode_id", "n_transitions", rate.alias("gripper_chatter_rate"), (rate > CHATTER_RATE).alias("chattery"))
+    return totals.withColumns({"gripper_chatter_rate": rate, "chattery": rate > CHATTER_RATE}).drop("_span")
+
+
+def gripper_chatter(frames: DataFrame, channel: Column, duration: Column | None = None) -> DataFrame:
+    """Crossings of the mid-range per second; none where the range is under 1e-6."""
+    return _turn_rate(_with_turns(frames, channel).groupBy("episode_id").agg(*_turn_totals(duration)))
+
+
+def _time_totals(dt: str, fps: float) -> list[Column]:
+    return [F.avg(dt).alias("dt_mean"), F.coalesce(F.stddev_pop(dt), F.lit(0.0)).alias("dt_std"), F.count_if(F.col(dt) > 2.0 / fps).alias("n_gaps")]
+
+
+def _time_ratios(totals: DataFrame) -> DataFrame:
+    return totals.withColumns(
+        {"jitter_ratio": F.col("dt_std") / F.greatest("dt_mean", F.lit(1e-10)), "effective_fps": F.when(F.col("dt_mean") > 0, 1.0 / F.col("dt_mean")).otherwise(F.lit(0.0))}
+    )
 
 
 def timestamp_regularity(frames: DataFrame, fps: float) -> DataFrame:
     dt = F.col("timestamp") - F.lag("timestamp").over(by_episode())
-    x = frames.select("episode_id", dt.alias("_dt"))
-    out = x.groupBy("episode_id").agg(F.avg("_dt").alias("dt_mean"), F.coalesce(F.stddev_pop("_dt"), F.lit(0.0)).alias("dt_std"), F.count_if(F.col("_dt") > 2.0 / fps).alias("n_gaps"))
-    return out.withColumns(
-        {"jitter_ratio": F.col("dt_std") / F.greatest("dt_mean", F.lit(1e-10)), "effective_fps": F.when(F.col("dt_mean") > 0, 1.0 / F.col("dt_mean")).otherwise(F.lit(0.0))}
+    return _time_ratios(frames.select("episode_id", dt.alias("_dt")).groupBy("episode_id").agg(*_time_totals("_dt", fps)))
+
+
+def _dimensions(frames: DataFrame, action: str, limits: tuple[float, float] | None = None) -> DataFrame:
+    """``episode_id, dim, f, r, h``: share of frames at an edge, range, entropy of the bins.
+
+    The arrays are shuffled by episode and opened afterwards, so the windows and
+    aggregates by dimension and bin all read that one shuffle.
+    """
+    w, c = Window.partitionBy("episode_id", "dim"), F.col
+    x = frames.select("episode_id", action).repartition("episode_id").select("episode_id", F.posexplode(action).alias("dim", "x"))
+    x = x.withColumns({"_lo": F.min("x").over(w), "_hi": F.max("x").over(w), "_n": F.count("*").over(w)})
+    x = x.withColumn("_bins", F.greatest(F.ceil(F.log2(c("_n").cast("double")) + 1), F.lit(2)).cast("double"))
+    width = c("_hi") - c("_lo")
+    place = F.when(width < 1e-10, 0).otherwise(F.least(F.floor(F.try_divide((c("x") - c("_lo")) * c("_bins"), width)), c("_bins").cast("long") - 1))
+    lo, hi = (F.lit(limits[0]), F.lit(limits[1])) if limits else (c("_lo"), c("_hi"))
+    margin = (hi - lo) * SATURATION_MARGIN
+    at_edge = (c("x") <= lo + margin) | (c("x") >= hi - margin)
+    bins = x.withColumns({"_b": place, "_edge": at_edge.cast("long"), "_r": hi - lo}).groupBy("episode_id", "dim", "_b").agg(
+        F.count("*").alias("_c"), F.sum("_edge").alias("_e"), F.count("_edge").alias("_k"), F.max("_r").alias("_r"), F.max("_bins").alias("_bins"), F.max("_n").alias("_n")
+    )
+    p = c("_c") / c("_n")
+    return bins.groupBy("episode_id", "dim").agg(
+        F.try_divide(F.sum("_e").cast("double"), F.sum("_k").cast("double")).alias("f"), F.max("_r").alias("r"), (F.sum(-p * F.log2(p)) / F.max(F.log2("_bins"))).alias("h")
     )
 
 
-def _exploded(frames: DataFrame, column: str) -> DataFrame:
-    return frames.select("episode_id", "frame_index", "timestamp", F.posexplode(column).alias("dim", "x"))
+def _saturation_totals() -> list[Column]:
+    mean = F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("f"))), F.lit(0.0))
+    return [mean.alias("overall_saturation"), F.count_if((F.col("r") > 0) & (F.col("f") > 0.05)).alias("n_saturated_dims")]
+
+
+def _entropy_total() -> Column:
+    return F.avg("h").alias("mean_entropy")
 
 
 def action_saturation(frames: DataFrame, action: str = "action", limits: tuple[float, float] | None = None) -> DataFrame:
     """Mean over moving dimensions of the share of frames within 5 % of either limit."""
-    w = Window.partitionBy("episode_id", "dim")
-    lo, hi = (F.lit(limits[0]), F.lit(limits[1])) if limits else (F.min("x").over(w), F.max("x").over(w))
-    x = _exploded(frames, action).withColumns({"_lo": lo, "_hi": hi}).withColumn("_m", (F.col("_hi") - F.col("_lo")) * SATURATION_MARGIN)
-    at_edge = (F.col("x") <= F.col("_lo") + F.col("_m")) | (F.col("x") >= F.col("_hi") - F.col("_m"))
-    per_dim = x.groupBy("episode_id", "dim").agg(F.avg(at_edge.cast("double")).alias("f"), F.max(F.col("_hi") - F.col("_lo")).alias("r"))
-    mean = F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("f"))), F.lit(0.0))
-    return per_dim.groupBy("episode_id").agg(mean.alias("overall_saturation"), F.count_if((F.col("r") > 0) & (F.col("f") > 0.05)).alias("n_saturated_dims"))
+    return _dimensions(frames, action, limits).groupBy("episode_id").agg(*_saturation_totals())
 
 
 def action_entropy(frames: DataFrame, action: str = "action") -> DataFrame:
     """Normalised Shannon entropy of equal-width bins (Sturges' number), mean over dimensions."""
-    w = Window.partitionBy("episode_id", "dim")
-    x = _exploded(frames, action).withColumns({"_lo": F.min("x").over(w), "_hi": F.max("x").over(w), "_n": F.count("*").over(w)})
-    x = x.withColumn("_bins", F.greatest(F.ceil(F.log2(F.col("_n").cast("double")) + 1), F.lit(2)).cast("double"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width < 1e-10, 0).otherwise(F.least(F.floor(F.try_divide((F.col("x") - F.col("_lo")) * F.col("_bins"), width)), F.col("_bins").cast("long") - 1))
-    bins = x.withColumn("_b", place).groupBy("episode_id", "dim", "_b", "_bins", "_n").agg(F.count("*").alias("_c"))
-    p = F.col("_c") / F.col("_n")
-    per_dim = bins.groupBy("episode_id", "dim").agg((F.sum(-p * F.log2(p)) / F.max(F.log2("_bins"))).alias("h"))
-    return per_dim.groupBy("episode_id").agg(F.avg("h").alias("mean_entropy"))
+    return _dimensions(frames, action).groupBy("episode_id").agg(_entropy_total())
+
+
+def _gradient(column: str, spacing: float) -> Column:
+    """Central differences of arrays inside, one-sided at the ends; frames without the array are passed over."""
+    over = "IGNORE NULLS OVER (PARTITION BY episode_id ORDER BY frame_index)"
+    x, a, b = F.col(column), F.expr(f"lag({column}) {over}"), F.expr(f"lead({column}) {over}")
+    steps = F.when(a.isNull() & b.isNull(), None).when(a.isNull() | b.isNull(), 1.0).otherwise(2.0) * spacing
+    step = F.transform(_difference(F.coalesce(b, x), F.coalesce(a, x)), lambda d: d / steps)
+    return F.when(x.isNotNull(), step)
+
+
+def _with_motion(frames: DataFrame, fps: float, state: str = "state") -> DataFrame:
+    """Adds speed ``_speed`` and squared jerk ``_jerk`` of each frame; windows of one order, so one shuffle and sort."""
+    x = frames.withColumn("_x", F.when(F.size(state) > 0, F.col(state)))
+    for now, new in (("_x", "_v"), ("_v", "_a"), ("_a", "_j")):
+        x = x.withColumn(new, _gradient(now, 1.0 / fps))
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    return x.withColumns({"_speed": norm(F.col("_v")), "_jerk": squares("_j"), "_seen": F.col("_x").isNotNull()}).drop("_x", "_v", "_a", "_j")
 
 
-def gradient(column: str, key: list[str], order: str, spacing: float) -> Column:
-    """Central differences inside, one-sided at the ends, as an evenly sampled derivative."""
-    w = Window.partitionBy(*key).orderBy(order)
-    x, a, b = F.col(column), F.lag(column).over(w), F.lead(column).over(w)
-    return F.when(a.isNull(), (b - x) / spacing).when(b.isNull(), (x - a) / spacing).otherwise((b - a) / (2 * spacing))
+def _motion_totals(fps: float) -> Column:
+    n, peak = F.count_if("_seen"), F.max("_speed")
+    span = (n - 1) / fps
+    value = -F.log(F.greatest(F.try_divide(span * span * span, peak * peak) * F.sum("_jerk") / fps, F.lit(1e-10)))
+    return F.when((n >= 4) & (peak >= 1e-10), value).alias("ldlj")
 
 
 def ldlj(frames: DataFrame, fps: float, state: str = "state") -> DataFrame:
     """Log dimensionless jerk; null under four frames or without motion."""
-    dt, key = 1.0 / fps, ["episode_id", "dim"]
-    x = _exploded(frames, state)
-    for now, new in (("x", "v"), ("v", "a"), ("a", "j")):
-        x = x.withColumn(new, gradient(now, key, "frame_index", dt))
-    per_frame = x.groupBy("episode_id", "frame_index").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("speed"), F.sum(F.col("j") * F.col("j")).alias("jerk"))
-    ep = per_frame.groupBy("episode_id").agg(F.count("*").alias("n"), F.max("speed").alias("peak"), F.sum("jerk").alias("jerk"))
-    span = (F.col("n") - 1) * dt
-    value = -F.log(F.greatest(F.try_divide(span * span * span, F.col("peak") * F.col("peak")) * F.col("jerk") * dt, F.lit(1e-10)))
-    return ep.select("episode_id", F.when((F.col("n") >= 4) & (F.col("peak") >= 1e-10), value).alias("ldlj"))
+    return _with_motion(frames, fps, state).groupBy("episode_id").agg(_motion_totals(fps))
 
 
 def composite_score(metrics: DataFrame) -> DataFrame:
@@ -163,19 +212,20 @@ def composite_score(metrics: DataFrame) -> DataFrame:
 def episode_metrics(frames: DataFrame, fps: float, gripper: Column | None = None) -> DataFrame:
     """All column metrics of each episode beside its score.
 
-    Each metric shuffles its own columns by episode (or by episode and dimension); the
-    results, a row per episode, are joined.
+    Two reads, each shuffled once by episode: what needs the frames' order (windows of
+    one order, so one sort), and what needs each action dimension's range. Their results,
+    a row per episode, are joined as they lie.
     """
-    from tidewheel.operators.diagnostics import static_fraction
+    from tidewheel.operators.diagnostics import static_share, transitions
 
-    out = dead_actions(frames).join(ldlj(frames, fps), "episode_id", "left").join(timestamp_regularity(frames, fps), "episode_id", "left")
-    out = out.join(action_saturation(frames), "episode_id", "left").join(action_entropy(frames), "episode_id", "left")
-    out = out.join(static_fraction(frames, fps), "episode_id", "left").join(path_length(frames), "episode_id", "left")
+    ordered = _with_motion(transitions(frames, fps).withColumn("_dead", dead_flag()), fps)
+    totals = [*_dead_totals(), _motion_totals(fps), *_time_totals("dt", fps), static_share(), _path_total("step")]
     if gripper is not None:
-        out = out.join(gripper_chatter(frames, gripper), "episode_id", "left")
-    else:
-        out = out.withColumn("gripper_chatter_rate", F.lit(None).cast("double"))
-    return composite_score(out)
+        ordered, totals = _with_turns(ordered, gripper), [*totals, *_turn_totals()]
+    out = _time_ratios(ordered.groupBy("episode_id").agg(*totals))
+    out = _turn_rate(out) if gripper is not None else out.withColumn("gripper_chatter_rate", F.lit(None).cast("double"))
+    dims = _dimensions(frames, "action").groupBy("episode_id").agg(*_saturation_totals(), _entropy_total())
+    return composite_score(out.join(dims, "episode_id", "left"))
 
 
 def dataset_report(scored: DataFrame) -> DataFrame:
