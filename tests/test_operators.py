@@ -79,7 +79,8 @@ def test_episode_metrics_of_odd_frames(spark):
     want = -math.log(1.2**3 / np.abs(v).max() ** 2 * (j**2).sum() / 10)
     assert one(got, episode_id="gaps")["ldlj"] == pytest.approx(want)
     assert one(got, episode_id="none")["overall_saturation"] is None
-    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    unrun = quality.episode_metrics(x, 10.0)._jdf.queryExecution().executedPlan().toString()
+    assert unrun.count("Exchange hashpartitioning") == 2
 
 
 @pytest.mark.parametrize("fps", [10, 30, 50])
