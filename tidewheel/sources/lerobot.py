@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewheel.operators.curation import dimension_stats, pooled_stats
+from tidewheel.operators.numbering import number_rows
 from tidewheel.plans.catalog import Files
 
 
@@ -78,9 +79,8 @@ def write_v3(frames: DataFrame, episodes: DataFrame, root: str, fps: float, robo
     spark = frames.sparkSession
     sizes = frames.groupBy("episode_id").agg(F.count("*").alias("length"))
     named = episodes.select("episode_id", F.coalesce("language_instruction", F.lit("default")).alias("task")).join(sizes, "episode_id")
-    # one row per episode: numbers and offsets are running sums over these
-    order = Window.orderBy("episode_id")
-    numbered = named.withColumns({"episode_index": (F.row_number().over(order) - 1).cast("long"), "_base": F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    numbered = number_rows(named, "episode_id", "episode_index", F.col("length"))
+    # tasks are few beside episodes: their rank is one window over one row each
     tasks = numbered.groupBy("task").agg(F.min("episode_index").alias("_f")).withColumn("task_index", (F.row_number().over(Window.orderBy("_f")) - 1).cast("long")).drop("_f")
     full = numbered.join(tasks, "task")
     x = frames.join(full.select("episode_id", "episode_index", "task_index", "_base"), "episode_id")
