@@ -178,6 +178,19 @@ def test_disclosing_terms(spark):
     assert f"term:{text.index('agent')}" not in got[0] and got[10] == ""
 
 
+def found_terms(spark, rows):
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    return {r["doc_id"]: [text[r["doc_id"]][x["s"] : x["e"]] for x in r["_spans"] if pii.KINDS[x["k"]] == "term"] for r in got}
+
+
+def test_disclosing_terms_of_a_class(spark):
+    rows = [(k, f"note{chr(97 + k)} from agent zanzibar at u{k}@acme.example.org about case {chr(97 + k)}item") for k in range(8)]
+    rows += [(10 + k, f"note from agent nobody about the case and number {k}") for k in range(400)]
+    got = found_terms(spark, rows)
+    assert all(got[k] == ["zanzibar"] for k in range(8)) and not any(got[10 + k] for k in range(400))
+
+
 def test_mixing(docs, nothing, spark):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(TEXTS) + 2 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)

@@ -59,9 +59,19 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda x: (x[0], _ORDER[x[1]], x[2]))
 
 
-def _entity(kind: str, value: str) -> int:
+def _levels(kind: str, value: str) -> list[tuple[int, bool]]:
+    """Hashes of an entity's value (true) and of the classes that it is in (false)."""
     plain = value.lower() if kind in ("email", "ip") else "".join(c for c in value if c in "0123456789")
-    return xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()) >> 1
+    if kind == "email":
+        host = plain.split("@")[1].split(".")
+        classes = {".".join(host), ".".join(host[-2:])}
+    elif kind == "ip":
+        parts = plain.split(".")
+        classes = {".".join(parts[:k]) + "." for k in (1, 2, 3)}
+    else:
+        classes = {plain[:6], plain[:1]} if kind == "card" else {plain[:-4], plain[:-7]}
+    hashed = lambda x: xxhash.xxh64_intdigest(x.encode()) >> 1
+    return [(hashed(f"{kind}:{plain}"), True), *((hashed(f"class {kind}:{c}"), False) for c in sorted(classes))]
 
 
 def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
@@ -73,7 +83,7 @@ def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
         places = [(max(0, s - NEAR_CHARS) + m.start(), m[0]) for m in before] + [(e + m.start(), m[0]) for m in after]
         places = [(at, w) for at, w in places if not any(at < y and at + len(w) > x for x, _, y in spans)]
         context = xxhash.xxh64_intdigest(" ".join(w.lower() for _, w in places).encode()) >> 1
-        out += [{"ent": _entity(kind, text[s:e]), "ctx": context, "term": w.lower(), "s": at, "e": at + len(w)} for at, w in places]
+        out += [{"ent": x, "own": own, "ctx": context, "term": w.lower(), "s": at, "e": at + len(w)} for x, own in _levels(kind, text[s:e]) for at, w in places]
     return out
 
 
@@ -101,7 +111,7 @@ def _detect(docs: DataFrame, text: str, id_col: str, keep: tuple[str, ...]) -> D
         return out
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    schema += "_id long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, _spans array<struct<s:int,k:int,e:int>>, _near array<struct<ent:long,ctx:long,term:string,s:int,e:int>>"
+    schema += "_id long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, _spans array<struct<s:int,k:int,e:int>>, _near array<struct<ent:long,own:boolean,ctx:long,term:string,s:int,e:int>>"
     return materialize(map_rows(source, run, schema), "spans")
 
 
@@ -126,15 +136,16 @@ def _term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
 
 def _disclosing(docs: DataFrame, found: DataFrame, text: str, support: int, disclosure: float) -> DataFrame | None:
     """Entity and term pairs above the threshold; None where no pair has the support."""
-    near = found.select(F.explode("_near").alias("x")).select("x.ent", "x.term", "x.ctx").distinct()
-    pairs = materialize(near.groupBy("ent", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support), "pairs")
+    near = found.select(F.explode("_near").alias("x")).select("x.ent", "x.own", "x.term", "x.ctx").distinct()
+    pairs = materialize(near.groupBy("ent", "own", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support), "pairs")
     if pairs.isEmpty():
         return None
     total = found.count()
     contexts = near.select("ent", "ctx").distinct().groupBy("ent").agg(F.count("*").alias("n_ent"))
     counts = _term_counts(docs, pairs.select("term").distinct(), text)
-    given = F.least(F.lit(1.0), F.col("n_both") / F.col("n"))
     prior = F.least(F.lit(1.0), F.col("n_ent") / F.lit(total))
+    weight = F.when(F.col("own"), 0).otherwise(support)
+    given = F.least(F.lit(1.0), (F.col("n_both") + weight * prior) / (F.col("n") + weight))
     told = F.log2(given / prior)
     flagged = pairs.join(contexts, "ent").join(counts, "term").where((F.col("n_ent") < total) & (told >= disclosure * -F.log2(prior)))
     return flagged.select("ent", "term")
@@ -150,6 +161,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     added if it discloses ``disclosure`` of them and comes in ``support`` contexts.
     Contexts are told apart by their words, so copies of a text count once.
 
+    Most entities come in one document only, which tells nothing of their value. So terms
+    are judged against classes too: an address's domain and the domain above it, a
+    network of one, two or three numbers, a card's issuer and first digit, a phone number
+    without its last four or seven digits. The kind itself is no secret, as it stands in
+    the place of the span. p(class | t) is smoothed by ``support`` contexts of the class's
+    share, so that a common class needs more of them.
+
     Texts may be null (empty) or very long; ids null or repeated: each row gives one.
     Returns ``keep``, ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
     _spans`` (the spans as an array, kinds as positions in ``KINDS``). A column of ``keep``
