@@ -191,6 +191,17 @@ def test_disclosing_terms_of_a_class(spark):
     assert all(got[k] == ["zanzibar"] for k in range(8)) and not any(got[10 + k] for k in range(400))
 
 
+def test_disclosing_terms_in_whole_texts(spark):
+    far = " ".join(f"and then more of {w}" for w in ("this", "that", "such", "those"))
+    rows = [(k, f"zanzibar {far} from x@y.com {far} Zanzibar {'abcde'[k] * 4}") for k in range(5)]
+    rows += [(9, f"{far} only zanzibar here")] + [(10 + k, f"{far} from number {k}") for k in range(200)]
+    got = found_terms(spark, rows)
+    assert all(got[k] == ["zanzibar", "Zanzibar"] for k in range(5)) and got[9] == ["zanzibar"]
+    assert not any(got[10 + k] for k in range(200))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[9] == f"{far} only [TERM] here" and clean[0].count("[TERM]") == 2
+
+
 def test_mixing(docs, nothing, spark):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(TEXTS) + 2 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -23,15 +24,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 #: Columns that the operator makes itself.
-_OWN = frozenset("doc_id _id _text _row _near _all _more base_sha256 spans _spans".split()) | {f"n_{k}" for k in KINDS}
-#: A term's context: so many words before and after an entity, within so many characters.
-NEAR_WORDS, NEAR_CHARS = 5, 200
-#: A term is judged if it comes in so many different contexts of an entity.
+_OWN = frozenset("doc_id _id _text base_sha256 spans _spans".split()) | {f"n_{k}" for k in KINDS}
+#: A term is judged if it comes in so many different texts with an entity.
 SUPPORT = 3
 #: Share of an entity's information that a term may disclose.
 DISCLOSURE = 0.9
-#: Candidate terms up to this number are looked up in memory; more are joined.
-IN_MEMORY = 200_000
+#: Different terms whose counts a task holds before it passes them on.
+AT_A_TIME = 300_000
 
 
 def luhn(digits: str) -> bool:
@@ -74,98 +73,93 @@ def _levels(kind: str, value: str) -> list[tuple[int, bool]]:
     return [(hashed(f"{kind}:{plain}"), True), *((hashed(f"class {kind}:{c}"), False) for c in sorted(classes))]
 
 
-def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
-    """Terms near each entity: hashes of entity and context, the term, its place."""
-    out = []
-    for s, kind, e in spans:
-        left, right = text[max(0, s - NEAR_CHARS) : s], text[e : e + NEAR_CHARS]
-        before, after = [*_TERM.finditer(left)][-NEAR_WORDS:], [*_TERM.finditer(right)][:NEAR_WORDS]
-        places = [(max(0, s - NEAR_CHARS) + m.start(), m[0]) for m in before] + [(e + m.start(), m[0]) for m in after]
-        places = [(at, w) for at, w in places if not any(at < y and at + len(w) > x for x, _, y in spans)]
-        context = xxhash.xxh64_intdigest(" ".join(w.lower() for _, w in places).encode()) >> 1
-        out += [{"ent": x, "own": own, "ctx": context, "term": w.lower(), "s": at, "e": at + len(w)} for x, own in _levels(kind, text[s:e]) for at, w in places]
-    return out
+def words(text: str, spans: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, str]]:
+    """Place and lower case of each term that touches no span; the spans are in order."""
+    k, until, n = 0, 0, len(spans)
+    for m in _TERM.finditer(text):
+        while k < n and spans[k][0] < m.end():
+            until, k = max(until, spans[k][2]), k + 1
+        if m.start() >= until:
+            yield m.start(), m.end(), m[0].lower()
 
 
-def _detect(docs: DataFrame, text: str, id_col: str, keep: tuple[str, ...]) -> DataFrame:
-    source = docs.select(*keep, F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    at = {"part": None, "row": 0}
+def terms(text: str, spans: list[tuple[int, str, int]]) -> set[str]:
+    return {w for *_, w in words(text, spans)} if spans else {w.lower() for w in set(_TERM.findall(text))}
 
-    def run(rows):
-        from pyspark import TaskContext
 
-        task = TaskContext.get().taskAttemptId()
-        if at["part"] != task:
-            at["part"], at["row"] = task, TaskContext.get().partitionId() << 40
-        texts = [x or "" for x in rows.column("_text").to_pylist()]
-        spans = [base_spans(x) for x in texts]
-        first = at["row"]
-        at["row"] += len(texts)
-        out = {c: rows.column(c) for c in keep}
-        out |= {"_id": rows.column("_id"), "_row": list(range(first, at["row"]))}
-        out |= {f"n_{k}": [sum(x[1] == k for x in s) for s in spans] for k in KINDS[:4]}
-        out["base_sha256"] = [hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s in spans]
-        out["_spans"] = [[{"s": a, "k": _ORDER[k], "e": b} for a, k, b in s] for s in spans]
-        out["_near"] = [candidates(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+def _with_entities(texts: DataFrame) -> DataFrame:
+    """Each different text that has entities: their levels and its terms."""
+
+    def run(rows):
+        out = {"_h": [], "_levels": [], "_terms": []}
+        for h, t in zip(rows.column("_h").to_pylist(), rows.column("_text").to_pylist(), strict=True):
+            if t and (spans := base_spans(t)):
+                out["_h"].append(h)
+                out["_levels"].append([{"ent": x, "own": own} for x, own in sorted({x for s, k, e in spans for x in _levels(k, t[s:e])})])
+                out["_terms"].append(sorted(terms(t, spans)))
         return out
 
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    schema += "_id long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, _spans array<struct<s:int,k:int,e:int>>, _near array<struct<ent:long,own:boolean,ctx:long,term:string,s:int,e:int>>"
-    return materialize(map_rows(source, run, schema), "spans")
+    return materialize(map_rows(texts, run, "_h long, _levels array<struct<ent:long,own:boolean>>, _terms array<string>").dropDuplicates(["_h"]), "entities")
 
 
-def _term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """In how many documents each candidate term comes: ``term, n``."""
-    few = terms.limit(IN_MEMORY + 1).collect()
-    if len(few) > IN_MEMORY:
-        words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}]{3,})"), 1))).alias("term"))
-        return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in few))
+def _term_counts(texts: DataFrame) -> DataFrame:
+    """In how many documents each term comes outside of spans: ``term, n``."""
 
     def count(batches):
         found: dict[str, int] = {}
+
+        def out():
+            return pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
         for batch in batches:
             for k in range(batch.num_rows):
-                for w in wanted.value.intersection(_TERM.findall((batch.column(0)[k].as_py() or "").lower())):
+                text = batch.column(0)[k].as_py() or ""
+                for w in terms(text, base_spans(text)):
                     found[w] = found.get(w, 0) + 1
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
-
-    return docs.select(text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def _disclosing(docs: DataFrame, found: DataFrame, text: str, support: int, disclosure: float) -> DataFrame | None:
-    """Entity and term pairs above the threshold; None where no pair has the support."""
-    near = found.select(F.explode("_near").alias("x")).select("x.ent", "x.own", "x.term", "x.ctx").distinct()
-    pairs = materialize(near.groupBy("ent", "own", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support), "pairs")
-    if pairs.isEmpty():
-        return None
-    total = found.count()
-    contexts = near.select("ent", "ctx").distinct().groupBy("ent").agg(F.count("*").alias("n_ent"))
-    counts = _term_counts(docs, pairs.select("term").distinct(), text)
-    prior = F.least(F.lit(1.0), F.col("n_ent") / F.lit(total))
-    weight = F.when(F.col("own"), 0).otherwise(support)
-    given = F.least(F.lit(1.0), (F.col("n_both") + weight * prior) / (F.col("n") + weight))
-    told = F.log2(given / prior)
-    flagged = pairs.join(contexts, "ent").join(counts, "term").where((F.col("n_ent") < total) & (told >= disclosure * -F.log2(prior)))
-    return flagged.select("ent", "term")
+                if len(found) > AT_A_TIME:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    return texts.select("_text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _disclosing(docs: DataFrame, text: str, support: int, disclosure: float) -> frozenset[str]:
+    """Terms above the threshold for an entity or a class of entities."""
+    texts = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_h"))
+    near = _with_entities(texts)
+    total = docs.count()
+    prior, weight = F.col("n_ent") / F.lit(total), F.when(F.col("own"), 0).otherwise(support)
+    # a term in more texts than ``most`` is below the threshold even if all texts of the level have it
+    most = (F.col("n_ent") + weight * prior) / F.pow(prior, F.lit(1 - disclosure)) - weight
+    at = near.select("_h", F.explode("_levels").alias("x")).select("_h", "x.ent", "x.own")
+    judged = at.groupBy("ent", "own").agg(F.count("*").alias("n_ent")).where((F.col("n_ent") >= support) & (F.col("n_ent") < total))
+    judged = materialize(judged.withColumn("prior", prior).withColumn("weight", weight).withColumn("most", most + 1e-6), "levels")
+    widest = judged.agg(F.max("most")).first()[0]
+    if widest is None:
+        return frozenset()
+    counts = _term_counts(texts).where(F.col("n").between(support, widest))
+    pairs = near.select("_h", F.explode("_terms").alias("term")).join(counts, "term").join(at.join(judged, ["ent", "own"]), "_h").where("n <= most")
+    both = pairs.groupBy("ent", "own", "term").agg(F.count("*").alias("n_both"), *(F.first(c).alias(c) for c in ("n", "prior", "weight"))).where(F.col("n_both") >= support)
+    told = F.log2((F.col("n_both") + F.col("weight") * F.col("prior")) / (F.col("n") + F.col("weight")) / F.col("prior"))
+    return frozenset(r[0] for r in both.where(told >= disclosure * -F.log2("prior")).select("term").distinct().collect())
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """Personal data in every whole text.
 
     Base kinds are patterns with checks (``KINDS``). To these come terms that disclose
-    an entity: over the whole corpus, with entity e in n(e) different contexts of N
-    documents and term t in n(t) documents, t near e in n(t, e) contexts, t discloses
-    log2(p(e | t) / p(e)) bits of the entity's -log2 p(e). A term next to an entity is
-    added if it discloses ``disclosure`` of them and comes in ``support`` contexts.
-    Contexts are told apart by their words, so copies of a text count once.
+    an entity: with entity e in n(e) of N different texts, term t in n(t) and both in n(t, e),
+    t discloses log2(p(e | t) / p(e)) bits of the entity's -log2 p(e). Whole different texts
+    count, without their spans. A term is flagged if it discloses ``disclosure`` of an
+    entity and comes in ``support`` different texts with it; each of its occurrences in any text,
+    with or without the entity, is a span.
 
-    Most entities come in one document only, which tells nothing of their value. So terms
+    Most entities come in one text only, which tells nothing of their value. So terms
     are judged against classes too: an address's domain and the domain above it, a
     network of one, two or three numbers, a card's issuer and first digit, a phone number
     without its last four or seven digits. The kind itself is no secret, as it stands in
-    the place of the span. p(class | t) is smoothed by ``support`` contexts of the class's
+    the place of the span. p(class | t) is smoothed by ``support`` different texts of the class's
     share, so that a common class needs more of them.
 
     Texts may be null (empty) or very long; ids null or repeated: each row gives one.
@@ -174,17 +168,25 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     named as one of the operator's own is left out.
     """
     keep = tuple(c for c in keep if c not in _OWN)
-    found = _detect(docs, text, id_col, keep)
-    flagged = _disclosing(docs, found, text, support, disclosure)
-    if flagged is None:
-        all_ = found.withColumn("_all", F.col("_spans"))
-    else:
-        placed = found.select("_row", F.explode("_near").alias("x")).select("_row", "x.ent", "x.term", "x.s", "x.e").join(flagged, ["ent", "term"])
-        more = placed.groupBy("_row").agg(F.collect_set(F.struct(F.col("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e"))).alias("_more"))
-        all_ = found.join(more, "_row", "left").withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_more", F.array().cast("array<struct<s:int,k:int,e:int>>")))))
-    names = F.array(*map(F.lit, KINDS))
-    shown = F.transform("_all", lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string")))
-    return all_.select(*keep, F.col("_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(",", shown).alias("spans"), F.col("_all").alias("_spans"))
+    flagged = docs.sparkSession.sparkContext.broadcast(_disclosing(docs, text, support, disclosure))
+    source = docs.select(*keep, F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+
+    def run(rows):
+        texts = [x or "" for x in rows.column("_text").to_pylist()]
+        spans = [base_spans(x) for x in texts]
+        out = {c: rows.column(c) for c in keep} | {"doc_id": rows.column("_id")}
+        out |= {f"n_{k}": [sum(x[1] == k for x in s) for s in spans] for k in KINDS[:4]}
+        out["base_sha256"] = [hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s in spans]
+        if flagged.value:
+            spans = [sorted(s + [(a, "term", b) for a, b, w in words(x, s) if w in flagged.value], key=lambda y: (y[0], _ORDER[y[1]], y[2])) if not flagged.value.isdisjoint(terms(x, s)) else s for x, s in zip(texts, spans, strict=True)]
+        out["spans"] = [",".join(f"{k}:{a}:{b}" for a, k, b in s) for s in spans]
+        out["_spans"] = [[{"s": a, "k": _ORDER[k], "e": b} for a, k, b in s] for s in spans]
+        return out
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep)
+    schema += "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, _spans array<struct<s:int,k:int,e:int>>"
+    return map_rows(source, run, schema)
 
 
 def replace_spans(text: str | None, spans: list[dict]) -> str | None:
