@@ -202,6 +202,13 @@ def test_disclosing_terms_in_whole_texts(spark):
     assert clean[9] == f"{far} only [TERM] here" and clean[0].count("[TERM]") == 2
 
 
+def test_disclosing_terms_among_copies(spark):
+    rows = [(k, f"{'abcd'[k] * 4} agent zanzibar at x@y.com") for k in range(4)]
+    rows += [(10 + k, rows[0][1]) for k in range(2000)] + [(5000 + k, f"agent {'efghij'[k % 6] * (3 + k // 6)}") for k in range(120)]
+    got = found_terms(spark, rows)
+    assert all(got[k] == ["zanzibar"] for k in (*range(4), 10, 2009)) and not any(got[5000 + k] for k in range(120))
+
+
 def test_mixing(docs, nothing, spark):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(TEXTS) + 2 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)

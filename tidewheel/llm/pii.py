@@ -102,33 +102,36 @@ def _with_entities(texts: DataFrame) -> DataFrame:
     return materialize(map_rows(texts, run, "_h long, _levels array<struct<ent:long,own:boolean>>, _terms array<string>").dropDuplicates(["_h"]), "entities")
 
 
-def _term_counts(texts: DataFrame) -> DataFrame:
-    """In how many documents each term comes outside of spans: ``term, n``."""
+def _term_counts(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """In how many different texts each term comes outside of spans: ``term, n``."""
 
     def count(batches):
-        found: dict[str, int] = {}
+        found: dict[str, float] = {}
 
         def out():
-            return pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.float64())})
 
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column(0)[k].as_py() or ""
+                text, share = batch.column(0)[k].as_py() or "", 1 / (batch.column(1)[k].as_py() or 1)
                 for w in terms(text, base_spans(text)):
-                    found[w] = found.get(w, 0) + 1
+                    found[w] = found.get(w, 0) + share
                 if len(found) > AT_A_TIME:
                     yield out()
                     found.clear()
         yield out()
 
-    return texts.select("_text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # each of m copies counts as 1/m
+    shared = texts.join(copies, "_h", "left").select("_text", "m")
+    return shared.mapInArrow(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def _disclosing(docs: DataFrame, text: str, support: int, disclosure: float) -> frozenset[str]:
     """Terms above the threshold for an entity or a class of entities."""
     texts = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_h"))
     near = _with_entities(texts)
-    total = docs.count()
+    copies = materialize(texts.groupBy("_h").agg(F.count("*").alias("m")).where("m > 1"), "copies")
+    total = docs.count() - (copies.agg(F.sum(F.col("m") - 1)).first()[0] or 0)
     prior, weight = F.col("n_ent") / F.lit(total), F.when(F.col("own"), 0).otherwise(support)
     # a term in more texts than ``most`` is below the threshold even if all texts of the level have it
     most = (F.col("n_ent") + weight * prior) / F.pow(prior, F.lit(1 - disclosure)) - weight
@@ -138,7 +141,7 @@ def _disclosing(docs: DataFrame, text: str, support: int, disclosure: float) ->
     widest = judged.agg(F.max("most")).first()[0]
     if widest is None:
         return frozenset()
-    counts = _term_counts(texts).where(F.col("n").between(support, widest))
+    counts = _term_counts(texts, copies).where(F.col("n").between(support, widest))
     pairs = near.select("_h", F.explode("_terms").alias("term")).join(counts, "term").join(at.join(judged, ["ent", "own"]), "_h").where("n <= most")
     both = pairs.groupBy("ent", "own", "term").agg(F.count("*").alias("n_both"), *(F.first(c).alias(c) for c in ("n", "prior", "weight"))).where(F.col("n_both") >= support)
     told = F.log2((F.col("n_both") + F.col("weight") * F.col("prior")) / (F.col("n") + F.col("weight")) / F.col("prior"))
