@@ -209,6 +209,13 @@ def test_disclosing_terms_among_copies(spark):
     assert all(got[k] == ["zanzibar"] for k in (*range(4), 10, 2009)) and not any(got[5000 + k] for k in range(120))
 
 
+def test_disclosing_terms_of_odd_letters(spark, monkeypatch):
+    monkeypatch.setattr(pii, "IN_MEMORY", 0, raising=False)  # no size of the corpus changes what a word is
+    rows = [(k, f"agent zanzi²bar at x@y.com {'abcde'[k] * 4}") for k in range(5)] + [(10 + k, f"agent number {k}") for k in range(100)]
+    got = found_terms(spark, rows)
+    assert all(got[k] == ["zanzi²bar"] for k in range(5)) and not any(got[10 + k] for k in range(100))
+
+
 def test_mixing(docs, nothing, spark):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(TEXTS) + 2 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
