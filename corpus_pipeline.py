@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_rejected(docs)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``positional`` rows with a number of their own, ``row``, that stays whatever reads them."""
+    plain, name, back = positional(docs)
+    return materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows"), name, back
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
-    groups = simhash_components(docs).select("doc_id", "component_id").distinct()
-    dropped = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
+    """Of each group of near-duplicate rows, the one of the smallest id, text hash and row number.
+
+    Rows of equal id are documents of their own; a row without an id comes after those with one.
+    """
+    rows, name, back = _numbered(docs)
+    groups = simhash_components(rows, name("text"), "row").select(F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col(name("doc_id")).isNull().alias("without"), F.col(name("doc_id")).alias("id"), F.xxhash64(name("text")).alias("h"), "row")
+    first = groups.join(rows.select("row", rank.alias("rank")), "row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return back(rows.join(first, "row", "left_semi"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +46,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    mixed = mix_sources(docs).groupBy("doc_id", "h").agg(F.max("times_taken").alias("times"))
-    plain, name, back = positional(docs)
-    same = F.col(name("doc_id")).eqNullSafe(F.col("doc_id")) & (F.xxhash64(name("text")) == F.col("h"))
-    taken = plain.join(mixed.where("times > 0"), same)
-    return back(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))))
+    rows, name, back = _numbered(docs)
+    mixed = mix_sources(rows, name("source"), name("text"), name("doc_id"), keep=("row",)).where("times_taken > 0").select("row", "times_taken")
+    return back(rows.join(mixed, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times_taken")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -329,3 +329,22 @@ def test_pipeline_keeps_clashing_columns(spark, tmp_path, docs):
         assert out.columns == rows.columns
         assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in out.collect() for c in own)
     assert corpus_pipeline.packing(spark, rows, str(tmp_path)).count() >= rows.count()
+
+
+def test_pipeline_keeps_one_of_each_group_of_rows(spark):
+    import corpus_pipeline
+
+    other = " ".join(f"unlike{k} thing{k * 7}" for k in range(60))
+    rows = [(1, BASE), (1, BASE), (2, BASE), (None, BASE), (None, other), (None, other), (3, "x " + other[::-1]), (3, LONG)]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert got == sorted([(1, BASE), (0, other), (3, "x " + other[::-1]), (3, LONG)])
+
+
+def test_pipeline_mixes_rows_as_planned(spark):
+    import corpus_pipeline
+
+    rows = [(k // 4, f"word{k // 4} " * 5, f"s{k % 3}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixing.mix_sources(docs).agg(F.sum("times_taken")).first()[0]
+    assert corpus_pipeline.mixture(spark, docs, "").count() == planned

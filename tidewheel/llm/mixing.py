@@ -108,6 +108,7 @@ def mix_sources(
     weights: Callable[[list], list[float]] | None = None,
     times: int = 3,
     seed: int = 7,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Decide how many words of each document go to a mix of given source weights.
 
@@ -122,13 +123,15 @@ def mix_sources(
     No document is taken more than ``times`` times. Rows of equal id are documents of
     their own. An empty table gives no row; sources of no words take nothing. Returns
     one row per document: ``doc_id, pattern, size, source_size, target, times_taken,
-    taken``; ``source_size`` and ``target`` are those of the first source of the pattern.
+    taken``; ``source_size`` and ``target`` are those of the first source of the pattern. Columns named in ``keep`` are
+    carried along; their names must not be the operator's own.
     """
     spark = docs.sparkSession
     many = docs.schema[sources].dataType.simpleString().startswith("array")
     members = F.array_sort(F.array_distinct(F.col(sources))) if many else F.array(F.col(sources).cast("string"))
     sized = materialize(
         docs.select(
+            *keep,
             F.col(id_col).cast("long").alias("doc_id"),
             F.when(F.size(members) > 0, members).otherwise(F.array(F.lit(None).cast("string"))).alias("pattern"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -186,4 +189,4 @@ def mix_sources(
     filled = at_edge.groupBy("key").applyInPandas(fill, at_edge.schema)
     full = marked.where("extra IS NOT NULL").unionByName(filled)
     count = F.least(F.col("every") + F.col("extra"), F.lit(times))
-    return full.select("doc_id", "pattern", "size", "source_size", "target", count.cast("int").alias("times_taken"), (count * F.col("size")).alias("taken"), "h")
+    return full.select("doc_id", "pattern", "size", "source_size", "target", count.cast("int").alias("times_taken"), (count * F.col("size")).alias("taken"), "h", *keep)
