@@ -229,6 +229,16 @@ def test_mixing(docs, nothing, spark):
     assert all(abs(a - t) <= 8 for a, t in per.values())
 
 
+def test_mixing_fills_rare_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rows = [(k, "w " * (1 + k * k * 37 % 199), "rare" if k % 50 == 0 else f"s{k % 3}") for k in range(6000)]
+    per = {}
+    for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=lambda names: [2.0 if s == "rare" else 50.0 for s in names]).collect():
+        n = per.setdefault(r["pattern"][0], [0, r["target"]])
+        n[0] += r["taken"]
+    assert all(abs(a - t) <= 2 for a, t in per.values()), per
+
+
 def test_shares_and_flow():
     assert mixing.shares([100, 100, 100], [5, 2, 1], 300, 3) == pytest.approx([187.5, 75, 37.5])
     assert mixing.shares([10, 1000], [5, 2], 1010, 3) == pytest.approx([30, 980])

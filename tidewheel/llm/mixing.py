@@ -18,6 +18,8 @@ from tidewheel.session import materialize
 MOST_PATTERNS = 100_000
 #: Documents, of all patterns, in a hash bucket on average: what one task fills document by document.
 BUCKET_ROWS = 4096
+#: Documents of one pattern in a hash bucket on average, at least, or all of the pattern.
+LEAST_ROWS = 1024
 
 
 def by_rank(weights: Sequence[float] = (5, 2, 1)) -> Callable[[list], list[float]]:
@@ -118,7 +120,8 @@ def mix_sources(
     membership pattern, ``route`` gives each pattern its words, and within a pattern
     every document is taken as often as the words allow; the rest is filled with whole
     documents in an order drawn by ``seed``: all of the hash buckets below the one in
-    which the words run out, and in that one each document that still fits.
+    which the words run out, and in that one each document that still fits. A pattern
+    has so many buckets that each holds ``LEAST_ROWS`` of its documents or more.
 
     No document is taken more than ``times`` times. Rows of equal id are documents of
     their own. An empty table gives no row; sources of no words take nothing. Returns
@@ -149,16 +152,18 @@ def mix_sources(
     given = route(capacity, {s: round(t) for s, t in target.items()}, times)
 
     width = -(-sum(r["n"] for r in found) // BUCKET_ROWS) or 1
+    rows_of = {tuple(r["pattern"]): r["n"] for r in found}
     plan_rows = []
     for p, n in capacity.items():
         every = min(times, given[p] // n) if n else 0
-        plan_rows.append((list(p), every, given[p] - every * n, size_of[p[0]], target[p[0]]))
+        plan_rows.append((list(p), every, given[p] - every * n, size_of[p[0]], target[p[0]], max(1, min(width, rows_of[p] // LEAST_ROWS))))
     # one row per pattern, at most MOST_PATTERNS
-    plan = F.broadcast(spark.createDataFrame(plan_rows, "pattern array<string>, every long, rest long, source_size long, target double"))
-    bucketed = sized.withColumn("bucket", F.pmod("draw", F.lit(width)))
+    plan = F.broadcast(spark.createDataFrame(plan_rows, "pattern array<string>, every long, rest long, source_size long, target double, width long"))
+    key = F.to_json("pattern")
+    widths = plan.select(key.alias("key"), "width")
+    bucketed = sized.withColumn("key", key).join(widths, "key").withColumn("bucket", F.pmod("draw", "width")).drop("key", "width")
     sums = bucketed.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("pattern").orderBy("bucket")
-    key = F.to_json("pattern")
     edge = (
         sums.withColumn("up_to", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("key", key)
