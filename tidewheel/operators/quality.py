@@ -8,6 +8,8 @@ spectra, nearest neighbours and change points run per episode on Arrow batches
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,9 @@ CHATTER_RATE = 2.0
 JITTER_LIMIT = 0.1
 SATURATION_MARGIN = 0.05
 DEAD_LIMIT, JERKY_LIMIT, SATURATION_LIMIT, STATIC_LIMIT, ENTROPY_LOW, ENTROPY_HIGH = 0.10, -25.0, 0.30, 0.50, 0.20, 0.95
+PSD_HIGH_LIMIT = 0.20
+MIN_FRAMES = 5
+SIGNALS = ("actions", "states", "timestamps")
 #: Weight of each part of the score.
 WEIGHTS = {"dead": 0.15, "smooth": 0.25, "gripper": 0.15, "timestamp": 0.10, "saturation": 0.10, "static": 0.15, "diversity": 0.10}
 
@@ -104,7 +109,15 @@ def timestamp_regularity(frames: DataFrame, fps: float) -> DataFrame:
     return _time_ratios(frames.select("episode_id", dt.alias("_dt")).groupBy("episode_id").agg(*_time_totals("_dt", fps)))
 
 
-def _dimensions(frames: DataFrame, action: str, limits: tuple[float, float] | None = None) -> DataFrame:
+def _limits(limits) -> tuple[Column, Column]:
+    """Lower and upper limit of each dimension: one pair for all, or a pair for each."""
+    if isinstance(limits[0], (int, float)):
+        return F.lit(float(limits[0])), F.lit(float(limits[1]))
+    at = [F.element_at(F.array(*(F.lit(float(pair[k])) for pair in limits)), F.col("dim") + 1) for k in (0, 1)]
+    return at[0], at[1]
+
+
+def _dimensions(frames: DataFrame, action: str, limits=None) -> DataFrame:
     """``episode_id, dim, f, r, h``: share of frames at an edge, range, entropy of the bins.
 
     The arrays are shuffled by episode and opened afterwards, so the windows and
@@ -116,7 +129,7 @@ def _dimensions(frames: DataFrame, action: str, limits: tuple[float, float] | No
     x = x.withColumn("_bins", F.greatest(F.ceil(F.log2(c("_n").cast("double")) + 1), F.lit(2)).cast("double"))
     width = c("_hi") - c("_lo")
     place = F.when(width < 1e-10, 0).otherwise(F.least(F.floor(F.try_divide((c("x") - c("_lo")) * c("_bins"), width)), c("_bins").cast("long") - 1))
-    lo, hi = (F.lit(limits[0]), F.lit(limits[1])) if limits else (c("_lo"), c("_hi"))
+    lo, hi = _limits(limits) if limits is not None else (c("_lo"), c("_hi"))
     margin = (hi - lo) * SATURATION_MARGIN
     at_edge = (c("x") <= lo + margin) | (c("x") >= hi - margin)
     bins = x.withColumns({"_b": place, "_edge": at_edge.cast("long"), "_r": hi - lo}).groupBy("episode_id", "dim", "_b").agg(
@@ -128,18 +141,28 @@ def _dimensions(frames: DataFrame, action: str, limits: tuple[float, float] | No
     )
 
 
-def _saturation_totals() -> list[Column]:
-    mean = F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("f"))), F.lit(0.0))
-    return [mean.alias("overall_saturation"), F.count_if((F.col("r") > 0) & (F.col("f") > 0.05)).alias("n_saturated_dims")]
+def _saturation_totals(limits) -> list[Column]:
+    """The edge share counts as saturation only against limits that were given."""
+    moves = F.col("r") > 1e-10
+    mean, n = F.coalesce(F.avg(F.when(moves, F.col("f"))), F.lit(0.0)), F.count_if(moves & (F.col("f") > 0.05))
+    none = F.lit(None).cast("double")
+    if limits is None:
+        return [none.alias("overall_saturation"), F.lit(None).cast("long").alias("n_saturated_dims"), mean.alias("observed_range_edge_fraction")]
+    return [mean.alias("overall_saturation"), n.alias("n_saturated_dims"), none.alias("observed_range_edge_fraction")]
 
 
 def _entropy_total() -> Column:
     return F.avg("h").alias("mean_entropy")
 
 
-def action_saturation(frames: DataFrame, action: str = "action", limits: tuple[float, float] | None = None) -> DataFrame:
-    """Mean over moving dimensions of the share of frames within 5 % of either limit."""
-    return _dimensions(frames, action, limits).groupBy("episode_id").agg(*_saturation_totals())
+def action_saturation(frames: DataFrame, action: str = "action", limits=None) -> DataFrame:
+    """Mean over dimensions of the share of frames within 5 % of either limit.
+
+    ``limits`` is a pair for all dimensions or one for each. Without limits nothing is known
+    of saturation: it is null, and the share at the edges of the observed range, which
+    describes only, is ``observed_range_edge_fraction``.
+    """
+    return _dimensions(frames, action, limits).groupBy("episode_id").agg(*_saturation_totals(limits))
 
 
 def action_entropy(frames: DataFrame, action: str = "action") -> DataFrame:
@@ -209,23 +232,108 @@ def composite_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"overall_score": F.try_divide(total * 10.0, weight), "flags": raised})
 
 
-def episode_metrics(frames: DataFrame, fps: float, gripper: Column | None = None) -> DataFrame:
-    """All column metrics of each episode beside its score.
+def _checked(frames: DataFrame, fps: float) -> DataFrame:
+    """Frames with ``_bad_*`` and ``_has_*`` by signal; where an episode has no time at all, its own of ``fps``."""
+    w = by_episode()
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    arrays = {"actions": F.col("action"), "states": F.col("state")}
+    x = frames.withColumns({f"_has_{k}": F.coalesce(F.size(v) > 0, F.lit(False)) for k, v in arrays.items()} | {"_has_timestamps": F.col("timestamp").isNotNull()})
+    x = x.withColumns({f"_bad_{k}": F.coalesce(F.exists(v, odd), F.lit(False)) for k, v in arrays.items()} | {"_bad_timestamps": F.coalesce(odd(F.col("timestamp")), F.lit(False))})
+    timed = F.count("timestamp").over(Window.partitionBy("episode_id"))
+    return x.withColumn("timestamp", F.when(timed == 0, (F.row_number().over(w) - 1) / F.lit(float(fps))).otherwise(F.col("timestamp").cast("double")))
+
+
+def _check_totals() -> list[Column]:
+    n = F.count("*")
+    bad = [((F.count_if(f"_has_{k}") > 0) & ((F.count_if(f"_has_{k}") < n) | F.bool_or(f"_bad_{k}"))).alias(f"nan_in_{k}") for k in SIGNALS]
+    return [n.alias("num_frames"), *(F.bool_or(f"_has_{k}").alias(f"_any_{k}") for k in SIGNALS), *bad, F.coalesce(F.bool_or(F.col("dt") <= 0), F.lit(False)).alias("_not_rising")]
+
+
+def episode_metrics(
+    frames: DataFrame,
+    fps: float,
+    gripper: Column | list[Column] | None = None,
+    limits=None,
+    dims: Sequence[int] | None = None,
+    scales: Sequence[float] | None = None,
+    spectra: bool = False,
+    tracking_pairs: Sequence[tuple[int, int]] = (),
+    tracking_lag_s: float = 0.0,
+) -> DataFrame:
+    """All metrics of each episode beside its score, or the reason why it has none.
+
+    An episode abstains, with null metrics, where a number is missing or not finite
+    (flags ``nan_in_actions, nan_in_states, nan_in_timestamps``), where it has under
+    ``MIN_FRAMES`` frames (no flag), and where its times do not increase
+    (``invalid_timestamps``). Where times have gaps or jitter above the limit, what needs a
+    steady rate (``ldlj``, spectra) and the score are null; ``timestamp_gaps``,
+    ``sample_rate_mismatch`` and ``timestamp_jitter`` say so. A stored state without
+    measurable motion gives no score either. An episode without any time gets that of
+    ``fps``. ``status`` says how the score came about.
+
+    ``gripper``: the channels, if any. ``limits``: of the commands; without them there is no
+    saturation. ``dims`` and ``scales``: of the state. ``spectra``: also ``sparc``, the
+    shares of power by band, the variance of actions in like states and the flag
+    ``psd_high_band_chatter``, by a pass on Arrow batches. ``tracking_pairs``: see
+    ``diagnostics.tracking``.
 
     Two reads, each shuffled once by episode: what needs the frames' order (windows of
     one order, so one sort), and what needs each action dimension's range. Their results,
     a row per episode, are joined as they lie.
     """
-    from tidewheel.operators.diagnostics import static_share, transitions
-
-    ordered = _with_motion(transitions(frames, fps).withColumn("_dead", dead_flag()), fps)
-    totals = [*_dead_totals(), _motion_totals(fps), *_time_totals("dt", fps), static_share(), _path_total("step")]
-    if gripper is not None:
-        ordered, totals = _with_turns(ordered, gripper), [*totals, *_turn_totals()]
-    out = _time_ratios(ordered.groupBy("episode_id").agg(*totals))
-    out = _turn_rate(out) if gripper is not None else out.withColumn("gripper_chatter_rate", F.lit(None).cast("double"))
-    dims = _dimensions(frames, "action").groupBy("episode_id").agg(*_saturation_totals(), _entropy_total())
-    return composite_score(out.join(dims, "episode_id", "left"))
+    from tidewheel.operators import diagnostics, kernels
+
+    c = F.col
+    grippers = [] if gripper is None else list(gripper) if isinstance(gripper, (list, tuple)) else [gripper]
+    x = diagnostics.transitions(_checked(frames, fps), fps, dims, scales).withColumn("_dead", dead_flag()).withColumn("_pos", diagnostics.scaled(c("state"), dims, scales))
+    x = _with_motion(x.withColumn("_pause", diagnostics.run_seconds("slow", 0.5)), fps, "_pos")
+    totals = [*_check_totals(), *_dead_totals(), _motion_totals(fps), *_time_totals("dt", fps), diagnostics.static_share(), F.coalesce(F.sum(F.when(c("valid"), c("step"))), F.lit(0.0)).alias("joint_path_length")]
+    for k, channel in enumerate(grippers):
+        x = _with_turns(x, channel).withColumnRenamed("_turn", f"_turn{k}").drop("_g", "_lo", "_hi", "_on")
+        totals.append(F.count_if(f"_turn{k}").alias(f"_turns{k}"))
+    out = _time_ratios(x.groupBy("episode_id").agg(*totals, (F.max("timestamp") - F.min("timestamp")).alias("_span")))
+    turns = [c(f"_turns{k}") for k in range(len(grippers))]
+    most = F.greatest(*turns) if len(turns) > 1 else turns[0] if turns else F.lit(None).cast("long")
+    out = out.withColumns({"n_transitions": sum(turns[1:], turns[0]) if turns else F.lit(None).cast("long"), "gripper_chatter_rate": most / F.greatest("_span", F.lit(1e-6))})
+    by_dim = _dimensions(frames, "action", limits).groupBy("episode_id").agg(*_saturation_totals(limits), _entropy_total())
+    out = out.join(by_dim, "episode_id", "left")
+    if spectra:
+        # joined by episode; the kernels hold one episode at a time
+        out = out.join(kernels.episode_kernels(_checked(frames, fps).select(frames.columns), fps).drop("n_frames", "content_hash"), "episode_id", "left")
+    if tracking_pairs:
+        follow, stalls = diagnostics.tracking(frames, fps, tracking_pairs, tracking_lag_s, scales)
+        out = out.join(follow, "episode_id", "left").join(stalls.groupBy("episode_id").agg(F.count("*").alias("n_stalls")), "episode_id", "left")
+    return _judged(out, fps)
+
+
+def _judged(out: DataFrame, fps: float) -> DataFrame:
+    """Nulls what the episode's data cannot support, then scores the rest."""
+    c = F.col
+    odd = [f"nan_in_{k}" for k in SIGNALS]
+    broken = c(odd[0]) | c(odd[1]) | c(odd[2])
+    short = c("num_frames") < MIN_FRAMES
+    usable = ~broken & ~short & ~c("_not_rising")
+    stored = c("_any_timestamps")
+    regular = ~stored | ((c("n_gaps") == 0) & (c("jitter_ratio") <= JITTER_LIMIT))
+    of_time, of_action = ("dt_mean", "dt_std", "n_gaps", "jitter_ratio", "effective_fps"), ("dead_fraction", "n_dead", "n_transitions", "gripper_chatter_rate", "overall_saturation", "n_saturated_dims", "observed_range_edge_fraction", "mean_entropy")
+    steady = [n for n in ("ldlj", "sparc", "psd_low", "psd_mid", "psd_high") if n in out.columns]
+    others = [n for n in ("static_fraction", "joint_path_length", "neighbour_variance", "tracking_mean", "tracking_p95", "stall_fraction", "n_stalls") if n in out.columns]
+    keep = {n: F.when(usable & stored, c(n)) for n in of_time} | {n: F.when(usable & c("_any_actions"), c(n)) for n in of_action} | {n: F.when(usable & regular, c(n)) for n in steady} | {n: F.when(usable, c(n)) for n in others}
+    keep["joint_path_length"] = F.when(usable & c("_any_states"), c("joint_path_length"))
+    marks = {n: c(n) for n in odd} | {"invalid_timestamps": ~broken & ~short & c("_not_rising")}
+    marks |= {"timestamp_gaps": usable & stored & (c("n_gaps") > 0), "sample_rate_mismatch": usable & stored & (F.abs(c("effective_fps") / fps - 1) > JITTER_LIMIT)}
+    if "psd_high" in out.columns:
+        marks["psd_high_band_chatter"] = usable & regular & (c("psd_high") > PSD_HIGH_LIMIT)
+    raised = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in marks.items())))
+    why = F.when(broken, "invalid input").when(short, "too few frames").when(c("_not_rising"), "times do not increase").when(~regular, "irregular times")
+    out = out.withColumns({"_marks": raised, "_why": why, "_states": c("_any_states")} | keep)
+    out = composite_score(out)
+    flags = F.concat("_marks", "flags")
+    if "n_stalls" in out.columns:
+        flags = F.when(c("n_stalls") > 0, F.concat(flags, F.array(F.lit("tracking_stall_candidate")))).otherwise(flags)
+    why = F.coalesce("_why", F.when(c("overall_score").isNull() | (c("_states") & c("ldlj").isNull()), "no motion to judge"))
+    out = out.withColumns({"flags": flags, "status": F.coalesce(why, F.lit("scored")), "overall_score": F.when(why.isNull(), c("overall_score")), "chattery": c("gripper_chatter_rate") > CHATTER_RATE})
+    return out.drop(*(n for n in out.columns if n.startswith("_")), *(f"nan_in_{k}" for k in SIGNALS))
 
 
 def dataset_report(scored: DataFrame) -> DataFrame:

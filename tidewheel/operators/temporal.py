@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 METHODS = ("nearest", "hold", "interpolate")
 
 
-def align(primary: DataFrame, source: DataFrame, key: list[str], ts: str = "ts", value: str = "value", method: str = "nearest") -> DataFrame:
+def align(primary: DataFrame, source: DataFrame, key: list[str], ts: str = "ts", value: str = "value", method: str = "nearest", hot_rows: int | None = None) -> DataFrame:
     """Give each primary row the source value of its time: ``value, source_ts, skew``.
 
     - ``nearest``: closest source time, the earlier on a tie, clamped at both ends.
@@ -18,9 +18,11 @@ def align(primary: DataFrame, source: DataFrame, key: list[str], ts: str = "ts",
       the end values outside; skew is the lesser distance to a neighbour. Other types
       fall back to nearest.
 
-    Source and primary rows are one stream per key, so the plan is one shuffle on the key
-    and one sort, with no range join. Source rows of null time are left out; a key without
-    source rows gives null. Of source rows at one time the last of their order counts.
+    Source and primary rows are one stream per key: one shuffle on the key, one sort in
+    either direction and running frames only, so the work is linear in the rows of a key.
+    ``hot_rows``: a key of more rows is cut into stretches of time of about so many, each
+    sorted by itself (see ``_stretches``). Source rows of null time are left out; a key
+    without source rows gives null. Of source rows at one time any may count.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -30,13 +32,16 @@ def align(primary: DataFrame, source: DataFrame, key: list[str], ts: str = "ts",
     rest = [c for c in primary.columns if c not in (*key, ts)]
     left = primary.select(*key, ts, F.lit(1).alias("_k"), F.struct(*rest).alias("_row") if rest else F.lit(None).alias("_row"), F.lit(None).cast(f"struct<t:{source.schema[ts].dataType.simpleString()},v:{kind}>").alias("_hit"))
     right = source.where(F.col(ts).isNotNull()).select(*key, ts, F.lit(0).alias("_k"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), hit.alias("_hit"))
-    forth = Window.partitionBy(*key).orderBy(ts, "_k")
-    joined = left.union(right).withColumns(
-        {
-            "_a": F.last("_hit", ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.first("_hit", ignorenulls=True).over(forth.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("_k = 1")
+    both = left.union(right)
+    parts = [*key]
+    if hot_rows is not None:
+        both, parts = _stretches(both, key, ts, hot_rows), [*key, "_part"]
+    running = (Window.unboundedPreceding, 0)
+    forth = Window.partitionBy(*parts).orderBy(F.col(ts).asc(), F.col("_k").asc()).rowsBetween(*running)
+    back = Window.partitionBy(*parts).orderBy(F.col(ts).desc(), F.col("_k").desc()).rowsBetween(*running)
+    joined = both.withColumn("_a", F.last("_hit", ignorenulls=True).over(forth)).withColumn("_b", F.last("_hit", ignorenulls=True).over(back)).where("_k = 1")
+    if hot_rows is not None:
+        joined = _with_ends(joined, both, key)
     t, a, b = F.col(ts), F.col("_a"), F.col("_b")
     before, after = t - a["t"], b["t"] - t
     nearest = F.when(a.isNull(), b).when(b.isNull(), a).when(before <= after, a).otherwise(b)
@@ -55,6 +60,33 @@ def align(primary: DataFrame, source: DataFrame, key: list[str], ts: str = "ts",
     return joined.select(*key, ts, *kept, out[0].alias("value"), out[1].alias("source_ts"), F.abs(t - out[1]).alias("skew"))
 
 
+def _stretches(both: DataFrame, key: list[str], ts: str, hot_rows: int) -> DataFrame:
+    """Adds ``_part``: the stretch of time that a row of a key of over ``hot_rows`` rows lies in, else 0.
+
+    The counts and ends of the hot keys are one more read; there are at most rows /
+    ``hot_rows`` of them. Stretches are equal in time, so ``hot_rows`` is a mean.
+    """
+    ends = both.groupBy(*key).agg(F.count("*").alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).where(F.col("_n") > hot_rows)
+    wide = ends.select(*key, F.col("_lo").cast("double").alias("_lo"), F.try_divide(F.col("_hi").cast("double") - F.col("_lo").cast("double"), F.ceil(F.col("_n") / hot_rows).cast("double")).alias("_wide"))
+    part = F.when(F.col("_wide") > 0, F.floor((F.col(ts).cast("double") - F.col("_lo")) / F.col("_wide")))
+    return both.join(wide, key, "left").withColumn("_part", F.coalesce(part, F.lit(0)).cast("long")).drop("_lo", "_wide")
+
+
+def _with_ends(joined: DataFrame, both: DataFrame, key: list[str]) -> DataFrame:
+    """Where a stretch has no source row before or after a primary row, that of the nearest stretch that has one."""
+    of_part = both.where("_k = 0").groupBy(*key, "_part").agg(F.min_by("_hit", F.col("_hit.t")).alias("_first"), F.max_by("_hit", F.col("_hit.t")).alias("_last"))
+    # a row for each stretch, so a key's stretches are few
+    stretches = joined.select(*key, "_part").distinct().join(of_part, [*key, "_part"], "full")
+    w = Window.partitionBy(*key)
+    ends = stretches.select(
+        *key,
+        "_part",
+        F.last("_last", ignorenulls=True).over(w.orderBy(F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(w.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+    )
+    return joined.join(ends, [*key, "_part"], "left").withColumns({"_a": F.coalesce("_a", "_before"), "_b": F.coalesce("_b", "_after")})
+
+
 def between_type(kind: str) -> str:
     return "array<double>" if kind.startswith("array") else "double"
 

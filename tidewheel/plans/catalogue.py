@@ -44,8 +44,21 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes by the last digit of their number: 1 keeps its own times, which have gaps; 3 steps back once, 5 has a
+    state that is no number, 7 has three frames, 8 lacks an action; the others have a steady second a frame."""
+    ep, i = F.col("episode_id") % 10, F.col("frame_index")
+    t = F.when(ep == 1, F.col("timestamp")).when((ep == 3) & (i == 7), i - 1.5).otherwise(i.cast("double"))
+    state = F.when((ep == 5) & (i == 4), F.array(F.lit(float("nan")), F.lit(1.0))).otherwise(F.col("state"))
+    action = F.when((ep == 8) & (i == 2), F.lit(None)).otherwise(F.col("action"))
+    return frames(spark, sf_dir).where((ep != 7) | (i < 3)).withColumns({"timestamp": t, "state": state, "action": action})
+
+
 _F = """f AS (SELECT user_id AS ep, row_number() OVER w - 1 AS i, (epoch_us(ts) - first_value(epoch_us(ts)) OVER w) / 3.6e10 AS t, value AS s0, ln(1 + abs(value)) AS s1,
   floor(value / 10) AS a0, CAST(event_id % 7 AS DOUBLE) AS a1, CAST(event_id % 2 AS DOUBLE) AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_JF = _F.replace("f AS (", "f0 AS (", 1) + """, f AS (SELECT ep, i, CASE WHEN ep % 10 = 1 THEN t WHEN ep % 10 = 3 AND i = 7 THEN i - 1.5 ELSE CAST(i AS DOUBLE) END AS t,
+  CASE WHEN ep % 10 = 5 AND i = 4 THEN CAST('nan' AS DOUBLE) ELSE s0 END AS s0, CASE WHEN ep % 10 = 5 AND i = 4 THEN 1.0 ELSE s1 END AS s1,
+  CASE WHEN ep % 10 = 8 AND i = 2 THEN NULL ELSE a0 END AS a0, CASE WHEN ep % 10 = 8 AND i = 2 THEN NULL ELSE a1 END AS a1, g FROM f0 WHERE ep % 10 <> 7 OR i < 3)"""
 _STATE = "x AS (SELECT ep, i, t, 0 AS dim, s0 AS x FROM f UNION ALL SELECT ep, i, t, 1, s1 FROM f)"
 _ACTION = "x AS (SELECT ep, i, t, 0 AS dim, a0 AS x FROM f UNION ALL SELECT ep, i, t, 1, a1 FROM f)"
 _W = "(PARTITION BY ep ORDER BY i)"
@@ -228,14 +241,23 @@ def timestamp_regularity(spark, sf_dir):
     return x.withColumns({c: r6(c) for c in ("dt_mean", "dt_std", "jitter_ratio", "effective_fps")})
 
 
-_SAT = """b AS (SELECT *, min(x) OVER p AS lo, max(x) OVER p AS hi FROM x WINDOW p AS (PARTITION BY ep, dim)),
+_SAT = """b AS (SELECT *, {lo} AS lo, {hi} AS hi FROM x WINDOW p AS (PARTITION BY ep, dim)),
 z AS (SELECT ep, dim, avg(CASE WHEN x <= lo + (hi - lo) * 0.05 OR x >= hi - (hi - lo) * 0.05 THEN 1.0 ELSE 0.0 END) AS fr, max(hi - lo) AS r FROM b GROUP BY ep, dim),
-sat AS (SELECT ep, coalesce(avg(fr) FILTER (r > 0), 0) AS o, count(*) FILTER (r > 0 AND fr > 0.05) AS n FROM z GROUP BY ep)"""
+sat AS (SELECT ep, coalesce(avg(fr) FILTER (r > 1e-10), 0) AS o, count(*) FILTER (r > 1e-10 AND fr > 0.05) AS n FROM z GROUP BY ep)"""
+_RANGE, _GIVEN = _SAT.format(lo="min(x) OVER p", hi="max(x) OVER p"), _SAT.format(lo="CASE dim WHEN 0 THEN -20.0 ELSE 0.0 END", hi="CASE dim WHEN 0 THEN 20.0 ELSE 6.0 END")
+LIMITS = ((-20.0, 20.0), (0.0, 6.0))
 
 
-@query(f"WITH {_F}, {_ACTION}, {_SAT} SELECT ep AS episode_id, round(o, 6) AS overall_saturation, n AS n_saturated_dims FROM sat")
+@query(f"WITH {_F}, {_ACTION}, {_GIVEN} SELECT ep AS episode_id, round(o, 6) AS overall_saturation, n AS n_saturated_dims FROM sat")
 def action_saturation(spark, sf_dir):
-    return quality.action_saturation(frames(spark, sf_dir)).withColumn("overall_saturation", r6("overall_saturation"))
+    x = quality.action_saturation(frames(spark, sf_dir), limits=LIMITS)
+    return x.select("episode_id", r6("overall_saturation").alias("overall_saturation"), "n_saturated_dims")
+
+
+@query(f"WITH {_F}, {_ACTION}, {_RANGE} SELECT ep AS episode_id, CAST(NULL AS DOUBLE) AS overall_saturation, round(o, 6) AS observed_range_edge_fraction FROM sat")
+def action_range_edges(spark, sf_dir):
+    x = quality.action_saturation(frames(spark, sf_dir))
+    return x.select("episode_id", "overall_saturation", r6("observed_range_edge_fraction").alias("observed_range_edge_fraction"))
 
 
 _ENT = """eb AS (SELECT *, min(x) OVER p AS lo, max(x) OVER p AS hi, count(*) OVER p AS n FROM x WINDOW p AS (PARTITION BY ep, dim)),
@@ -266,7 +288,9 @@ def ldlj(spark, sf_dir):
     return quality.ldlj(frames(spark, sf_dir), FPS).withColumn("ldlj", r6("ldlj"))
 
 
-_STATIC = "st AS (SELECT ep, sum(CASE WHEN valid AND speed <= 1e-3 THEN dt ELSE 0 END) / nullif(sum(CASE WHEN valid THEN dt ELSE 0 END), 0) AS fr FROM v GROUP BY ep)"
+_STATIC = """sl AS (SELECT *, coalesce(valid AND speed <= 1e-3, false) AS slow FROM v), si AS (SELECT *, i - row_number() OVER (PARTITION BY ep, slow ORDER BY i) AS isl FROM sl),
+sp AS (SELECT ep, max(t) - min(t - dt) AS d FROM si WHERE slow GROUP BY ep, isl HAVING max(t) - min(t - dt) + 1e-9 >= 0.5), sd AS (SELECT ep, sum(d) AS d FROM sp GROUP BY ep),
+ob AS (SELECT ep, sum(CASE WHEN valid THEN dt ELSE 0 END) AS seen FROM v GROUP BY ep), st AS (SELECT ep, CASE WHEN seen > 0 THEN coalesce(d, 0) / seen ELSE 0 END AS fr FROM ob LEFT JOIN sd USING (ep))"""
 
 
 @query(f"WITH {_F}, {_STEP}, {_STATIC} SELECT ep AS episode_id, round(fr, 6) AS static_fraction FROM st")
@@ -274,23 +298,58 @@ def static_fraction(spark, sf_dir):
     return diagnostics.static_fraction(frames(spark, sf_dir), FPS).withColumn("static_fraction", r6("static_fraction"))
 
 
-_COMPOSITE = f"""WITH {_F}, {_DEAD}, dd AS (SELECT ep, avg(CASE WHEN dead THEN 1.0 ELSE 0.0 END) AS dead FROM d GROUP BY ep), {_ACTION}, {_SAT}, {_ENT}, {_XS}, {_LDLJ}, {_TIME}, {_STEP}, {_STATIC},
-m AS (SELECT dd.ep, dead, ldlj, sd / greatest(m, 1e-10) AS jit, o AS sat, fr AS static, h FROM dd JOIN lj USING (ep) JOIN y USING (ep) JOIN sat USING (ep) JOIN st USING (ep) JOIN ent USING (ep))
-SELECT ep AS episode_id, round(10 * (0.15 * (1 - dead) + coalesce(0.25 / (1 + exp(-(ldlj + 18) / 4)), 0) + 0.10 * CASE WHEN jit < 0.1 THEN 1 ELSE greatest(0, 1 - jit) END + 0.10 * (1 - sat) + coalesce(0.15 * (1 - static), 0) + 0.10 * greatest(0, 1 - abs(h - 0.7) / 0.3))
-  / (0.45 + CASE WHEN ldlj IS NULL THEN 0 ELSE 0.25 END + CASE WHEN static IS NULL THEN 0 ELSE 0.15 END), 6) AS overall_score,
-  concat_ws(',', CASE WHEN dead > 0.10 THEN 'dead_actions' END, CASE WHEN ldlj < -25 THEN 'jerky' END, CASE WHEN jit > 0.1 THEN 'timestamp_jitter' END, CASE WHEN sat > 0.30 THEN 'saturated' END,
-  CASE WHEN static > 0.50 THEN 'mostly_static' END, CASE WHEN h < 0.20 THEN 'low_entropy' END, CASE WHEN h > 0.95 THEN 'high_entropy' END) AS flags FROM m"""
+def _composite(limits: str | None) -> str:
+    sat = "CAST(NULL AS DOUBLE)" if limits is None else "o"
+    return f"""WITH {_JF}, ck AS (SELECT ep, count(*) AS n, count(a0) < count(*) AS na, coalesce(bool_or(isnan(s0)), false) AS ns, coalesce(bool_or(back), false) AS back
+  FROM (SELECT *, t <= lag(t) OVER {_W} AS back FROM f) GROUP BY ep),
+{_DEAD}, dd AS (SELECT ep, avg(CASE WHEN dead THEN 1.0 ELSE 0.0 END) AS dead FROM d GROUP BY ep),
+tn AS (SELECT *, g > (min(g) OVER (PARTITION BY ep) + max(g) OVER (PARTITION BY ep)) / 2 AS up, max(g) OVER (PARTITION BY ep) - min(g) OVER (PARTITION BY ep) AS sw FROM f),
+tu AS (SELECT *, sw >= 1e-6 AND up <> lag(up) OVER {_W} AS turn FROM tn), gr AS (SELECT ep, count(*) FILTER (turn) / greatest(max(t) - min(t), 1e-6) AS rate FROM tu GROUP BY ep),
+{_ACTION}, {limits or _RANGE}, {_ENT}, {_XS}, {_LDLJ}, {_TIME}, {_STEP}, {_STATIC},
+m0 AS (SELECT ck.*, dead, rate, ldlj, sd / greatest(m, 1e-10) AS jit, y.n AS gaps, 1 / m AS fps, {sat} AS sat, fr AS static, h, na OR ns AS bad, ck.n < 5 AS short
+  FROM ck JOIN dd USING (ep) JOIN gr USING (ep) JOIN lj USING (ep) JOIN y USING (ep) JOIN sat USING (ep) JOIN st USING (ep) JOIN ent USING (ep)),
+m1 AS (SELECT *, NOT bad AND NOT short AND NOT back AS ok, gaps = 0 AND jit <= 0.1 AS steady FROM m0), m AS (SELECT *, CASE WHEN ok AND steady THEN ldlj END AS lj FROM m1)
+SELECT ep AS episode_id, CASE WHEN ok AND steady AND lj IS NOT NULL THEN round(10 * (0.15 * (1 - dead) + 0.25 / (1 + exp(-(lj + 18) / 4)) + 0.15 * CASE WHEN rate > 2 THEN greatest(0, 1 - rate / 5) ELSE 1 END
+  + 0.10 * CASE WHEN jit < 0.1 THEN 1 ELSE greatest(0, 1 - jit) END + coalesce(0.10 * (1 - sat), 0) + 0.15 * (1 - static) + 0.10 * greatest(0, 1 - abs(h - 0.7) / 0.3)) / (0.90 + CASE WHEN sat IS NULL THEN 0 ELSE 0.10 END), 6) END AS overall_score,
+  concat_ws(',', CASE WHEN na THEN 'nan_in_actions' END, CASE WHEN ns THEN 'nan_in_states' END, CASE WHEN NOT bad AND NOT short AND back THEN 'invalid_timestamps' END, CASE WHEN ok AND gaps > 0 THEN 'timestamp_gaps' END,
+  CASE WHEN ok AND abs(fps / 1.0 - 1) > 0.1 THEN 'sample_rate_mismatch' END, CASE WHEN ok AND dead > 0.10 THEN 'dead_actions' END, CASE WHEN lj < -25 THEN 'jerky' END, CASE WHEN ok AND rate > 2 THEN 'gripper_chatter' END,
+  CASE WHEN ok AND jit > 0.1 THEN 'timestamp_jitter' END, CASE WHEN ok AND sat > 0.30 THEN 'saturated' END, CASE WHEN ok AND static > 0.50 THEN 'mostly_static' END,
+  CASE WHEN ok AND h < 0.20 THEN 'low_entropy' END, CASE WHEN ok AND h > 0.95 THEN 'high_entropy' END) AS flags,
+  CASE WHEN bad THEN 'invalid input' WHEN short THEN 'too few frames' WHEN back THEN 'times do not increase' WHEN NOT steady THEN 'irregular times' WHEN lj IS NULL THEN 'no motion to judge' ELSE 'scored' END AS status FROM m"""
+
+
+def _scored(spark, sf_dir, limits=None):
+    return quality.episode_metrics(judged_frames(spark, sf_dir), FPS, F.col("gripper"), limits)
 
 
-@query(_COMPOSITE)
+@query(_composite(None))
 def composite_score(spark, sf_dir):
-    x = quality.episode_metrics(frames(spark, sf_dir), FPS)
-    return x.select("episode_id", r6("overall_score").alias("overall_score"), F.concat_ws(",", "flags").alias("flags"))
+    return _scored(spark, sf_dir).select("episode_id", r6("overall_score").alias("overall_score"), F.concat_ws(",", "flags").alias("flags"), "status")
 
 
-@query(f"WITH s AS ({_COMPOSITE}), u AS (SELECT unnest(string_split(flags, ',')) AS flag FROM s WHERE flags <> '') SELECT flag, count(*) AS n_episodes FROM u GROUP BY flag")
+@query(_composite(_GIVEN))
+def composite_score_with_limits(spark, sf_dir):
+    return _scored(spark, sf_dir, LIMITS).select("episode_id", r6("overall_score").alias("overall_score"), F.concat_ws(",", "flags").alias("flags"), "status")
+
+
+@query(f"WITH s AS ({_composite(None)}), u AS (SELECT unnest(string_split(flags, ',')) AS flag FROM s WHERE flags <> '') SELECT flag, count(*) AS n_episodes FROM u GROUP BY flag")
 def flag_report(spark, sf_dir):
-    return quality.dataset_report(quality.episode_metrics(frames(spark, sf_dir), FPS)).select("flag", "n_episodes")
+    return quality.dataset_report(_scored(spark, sf_dir)).select("flag", "n_episodes")
+
+
+_STALL = f"""WITH {_F}, {_STEP}, gp AS (SELECT *, sum(CASE WHEN dt IS NOT NULL AND NOT valid THEN 1 ELSE 0 END) OVER {_W} AS gap FROM v),
+tk AS (SELECT a.ep, a.i, a.t, a.dt, a.valid, a.s1, CASE WHEN b.gap = a.gap THEN abs(b.a1 - a.s1) END AS r FROM gp a ASOF LEFT JOIN gp b ON a.ep = b.ep AND a.t - 0.5 >= b.t),
+tr AS (SELECT *, coalesce(valid AND r IS NOT NULL AND lag(r) OVER {_W} IS NOT NULL, false) AS sup, abs(s1 - lag(s1) OVER {_W}) / CASE WHEN dt > 0 THEN dt END AS sp, least(r, lag(r) OVER {_W}) AS lr FROM tk),
+ts AS (SELECT *, coalesce(sup AND sp <= 1e-3 AND lr > 0.05, false) AS stall FROM tr), ti AS (SELECT *, i - row_number() OVER (PARTITION BY ep, stall ORDER BY i) AS isl FROM ts),
+te AS (SELECT ep, max(t) - min(t - dt) AS d FROM ti WHERE stall GROUP BY ep, isl HAVING max(t) - min(t - dt) + 1e-9 >= 0.1), td AS (SELECT ep, sum(d) AS d FROM te GROUP BY ep)
+SELECT ts.ep AS episode_id, round(avg(r), 6) AS tracking_mean, round(quantile_cont(r, 0.95), 6) AS tracking_p95, round(CASE WHEN sum(CASE WHEN sup THEN dt ELSE 0 END) > 0 THEN coalesce(any_value(td.d), 0) / sum(CASE WHEN sup THEN dt ELSE 0 END) END, 6) AS stall_fraction
+FROM ts LEFT JOIN td ON td.ep = ts.ep GROUP BY ts.ep"""
+
+
+@query(_STALL)
+def tracking_stall(spark, sf_dir):
+    x, _ = diagnostics.tracking(frames(spark, sf_dir), FPS, [(1, 1)], 0.5, min_seconds=0.1)
+    return x.select("episode_id", *(r6(n).alias(n) for n in ("tracking_mean", "tracking_p95", "stall_fraction")))
 
 
 @query()
