@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewheel.functions import near
+from tidewheel.session import materialize
+
 
 def _double(x: Column) -> Column:
     return F.transform(x, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)))
@@ -35,14 +38,36 @@ def search(vectors: DataFrame, query: list[float], top: int = 10, id_col: str =
 def similar_pairs(vectors: DataFrame, threshold: float = 0.97, id_col: str = "episode_id", vec: str = "vector", block: list[str] | None = None, metric: str = "dot") -> DataFrame:
     """Pairs ``episode_a < episode_b`` of similarity at ``threshold`` or above, the highest over blocks.
 
-    Vectors meet within a block (camera and model), by equi-join on it. That is every
-    pair of a block: for large blocks of unit vectors use an index instead.
+    Vectors meet within a block (camera and model) through the index of ``near``, with
+    margins that miss no pair. A dot product of t between vectors no longer than m is a
+    cosine of t / m² or more, so that is what the index looks for; the product itself
+    decides. The threshold must be above 0. Nulls and NaN in a vector count as 0; a null or
+    empty vector, one of zeros and one with an infinite number are in no pair; vectors of
+    different length never meet.
     """
-    block = block or []
-    of = dot if metric == "dot" else cosine
-    side = lambda n: vectors.select(*block, F.col(id_col).alias(f"episode_{n}"), F.col(vec).alias(f"_{n}"))
-    pairs = side("a").join(side("b"), block) if block else side("a").crossJoin(side("b"))
-    scored = pairs.where("episode_a < episode_b").withColumn("similarity", of(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold)
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    if metric not in ("dot", "cosine"):
+        raise ValueError("metric must be dot or cosine")
+    x = _double(F.col(vec))
+    by = F.xxhash64(*(block or [F.lit(0)]))
+    rows = vectors.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_k{n}") for n, c in enumerate(block or [])), by.alias("part"), x.alias("vec")).where("_id is not null and size(vec) > 0 and exists(vec, v -> v <> 0) and forall(vec, v -> abs(v) < double('inf'))")
+    rows = materialize(rows.withColumns({"rep": F.monotonically_increasing_id(), "mult": F.lit(1).cast("long"), "dim": F.size("vec"), "norm": length(F.col("vec"))}), "vectors")
+    found = None
+    for dim, longest in rows.groupBy("dim").agg(F.max("norm")).collect():  # one row per length of vector
+        least = threshold if metric == "cosine" else threshold / (longest * longest)
+        if least > 1 + 1e-9:
+            continue
+        some = near.search(rows.where(F.col("dim") == dim), dim, min(least, 1.0) - 1e-9, near.Pairs, near.Pairs.schema, share=1.0)
+        found = some if found is None else found.unionByName(some)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"episode_a {kind}, episode_b {kind}, similarity double")
+    keys = [f"_k{n}" for n in range(len(block or []))]
+    side = lambda n: rows.select(F.col("rep").alias(n), F.col("_id").alias(f"_{n}"), F.col("norm").alias(f"_n{n}"), F.struct(F.lit(0), *keys).alias(f"_k{n}"))
+    both = found.join(side("a"), "a").join(side("b"), "b").where("_ka <=> _kb and _a <> _b")
+    value = F.col("cosine") if metric == "cosine" else F.col("cosine") * F.col("_na") * F.col("_nb")
+    scored = both.select(F.least("_a", "_b").alias("episode_a"), F.greatest("_a", "_b").alias("episode_b"), value.alias("similarity")).where(F.col("similarity") >= threshold)
     return scored.groupBy("episode_a", "episode_b").agg(F.max("similarity").alias("similarity"))
 
 

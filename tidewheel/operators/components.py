@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.session import materialize
+from tidewheel.session import remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     edges to smaller neighbours, so the number of edges never grows and hubs are
     never gathered in one task (minima are partial aggregates, joins are plain
     equi-joins that adaptive execution can split). A round's edges are written to
-    the shared folder. Returns ``node, component`` for every node other than the
+    the shared folder and those of the round before deleted. Returns ``node, component`` for every node other than the
     smallest of its component. Edges with a null end and loops are ignored; an
     empty list gives an empty result.
     """
-    now = materialize(
+    now, path = written(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct(),
@@ -45,8 +45,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last = path
+        now, path = written(_small_star(_large_star(now)), "edges")
         after = mark(now)
+        remove(now.sparkSession, last)
         if after == before:
             break
         before = after

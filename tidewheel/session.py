@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +30,23 @@ def build_session(name: str = "tidewheel", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset (tests, local mode) a
-    folder of this process is made once and set as the checkpoint folder.
+    Where neither is set, a folder of this machine is made in local mode only; on a
+    cluster its executors could not see it, so that is an error.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tidewheel_shared", None)
+    found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-        sc._tidewheel_shared = found
-        sc.setCheckpointDir(found)
+        set_ = sc._jsc.sc().getCheckpointDir()
+        if set_.isDefined():
+            found = set_.get()
+        elif not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        else:
+            found = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
+            sc.setCheckpointDir(found)
+            found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
@@ -46,13 +55,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that this session has written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Tables written inside of each open ``scratch``, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are deleted at the end, but for those with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared folder; the table, read back, and its path.
 
     This cuts the lineage: a lost executor costs the tasks that read, not the
-    plan behind them. The table stays until the shared folder is cleared.
+    plan behind them. The table stays until an open ``scratch`` ends, or else until the
+    shared folder is cleared.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The table of ``written``."""
+    return written(df, name, keep)[0]
