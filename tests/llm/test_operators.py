@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidewheel.functions import near
 from tidewheel.llm import bpe, embedding_dedup, licenses, mixing, packing, pii, quality_model, rules, simhash, token_counts, token_files
 from tidewheel.llm.common import min_labels
 
@@ -263,7 +264,10 @@ def test_licenses(spark, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("list_rows", [64, 8])
+def test_near_vectors(spark, monkeypatch, list_rows):
+    monkeypatch.setattr(near, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(near, "BLOCK_ROWS", 8192 if list_rows == 64 else 50)
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (400, 16))
     x[200:300] = x[rng.integers(0, 20, 100)] + rng.normal(0, 0.12, (100, 16))
@@ -287,15 +291,23 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_probes_are_complete():
+def test_recall_of_near_vectors():
+    """Against brute force, with the default share of the margin and with the whole of it."""
     rng = np.random.default_rng(2)
-    x = rng.normal(0, 1, (3000, 12))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = embedding_dedup.Index(x, 40_000, 0.9)
-    own, probes, codes, off = index.place(x)
-    i, j = np.nonzero((x @ x.T >= 0.9) & ~np.eye(3000, dtype=bool))
-    assert len(i) > 20 and (probes[i, own[j]] | probes[j, own[i]]).all()
-    assert all(index.near(x[a : a + 1], int(own[b]), codes[b : b + 1], off[b : b + 1])[0, 0] for a, b in zip(i, j))
+    for dim in (12, 64):
+        x = rng.normal(0, 1, (4000, dim))
+        x[2000:] = x[rng.integers(0, 2000, 2000)] + rng.normal(0, 0.4, (2000, dim))
+        x = near.unit_rows(x)
+        i, j = np.nonzero((x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool))
+        for share in (None, 1.0):
+            index = near.Index(x, len(x), 0.9, share=share)
+            own, probes = index.place(x)
+            codes, off = index.encode(x, own)
+            met = probes[i, own[j]] | probes[j, own[i]]
+            assert len(i) > 500 and (met.all() if share else met.mean() >= 0.99)
+            assert all(index.near(x[a : a + 1], int(own[b]), codes[b : b + 1], off[b : b + 1])[0, 0] for a, b in zip(i[:500], j[:500]))
+            if dim == 64 and share is None:
+                assert probes.mean() < 0.4
 
 
 def test_quality_model(spark, nothing):

@@ -2,223 +2,61 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions import near
 from tidewheel.llm.common import min_labels
 from tidewheel.operators.components import connected_components
 from tidewheel.session import materialize
 
-#: The index is fitted on so many distinct vectors at most, drawn by a hash; all are indexed.
-FIT_ROWS = 16_384
-SUBSPACES = 8
-CODES = 256
-#: Vectors of a list that a task holds; longer lists are several blocks.
-BLOCK_ROWS = 4096
-QUERY_ROWS = 256
-
-
-def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool = False) -> np.ndarray:
-    centres = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds):
-        near = np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - 0.5 * (centres**2).sum(1), axis=1) for i in range(0, len(x), 4096)])
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=k)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-        if unit:
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
 
+class Links:
+    """Turns a block's pairs into link counts and connecting edges, never all pairs.
 
-class Index:
-    """Coarse unit centroids, and codebooks for what remains after the nearest one.
-
-    A pair within ``reach`` (Euclidean, of unit vectors) is never missed: vector x probes
-    every list c whose centroid is less similar to it than its own list's by at most
-    ``reach / 2 * |c - own|``. Were y in list c not probed by x, and x in its list not
-    probed by y, the two margins would add up to more than ``|x - y| * |c - own|``,
-    against Cauchy-Schwarz.
+    Rows ``a, n`` count links of ``a``; rows ``a, b`` are edges that connect what is linked.
     """
 
-    def __init__(self, sample: np.ndarray, rows: int, threshold: float, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.dim, self.threshold = sample.shape[1], threshold
-        self.reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-        k = min(len(sample), max(1, min(1024, round(math.sqrt(rows) / 2))))
-        self.lists = kmeans(sample, k, 8, rng, unit=True)
-        self.spans = [(int(p[0]), int(p[-1]) + 1) for p in np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim))]
-        rest = sample - self.lists[np.argmax(sample @ self.lists.T, axis=1)]
-        self.books = [kmeans(rest[:, a:b], min(CODES, len(sample)), 5, rng) for a, b in self.spans]
-        gap = np.sqrt(np.maximum(0, 2 - 2 * self.lists @ self.lists.T))
-        self.margin = self.reach / 2 * gap + 1e-6
-
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For unit vectors: own list, lists to probe (own included), codes, and how far the codes are off."""
-        sim = x @ self.lists.T
-        own = np.argmax(sim, axis=1)
-        probes = sim >= sim[np.arange(len(x)), own][:, None] - self.margin[own]
-        rest = x - self.lists[own]
-        codes, off = np.zeros((len(x), len(self.spans)), "u1"), np.zeros(len(x))
-        for m, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
-            codes[:, m] = np.argmax(rest[:, a:b] @ book.T - 0.5 * (book**2).sum(1), axis=1)
-            off += ((rest[:, a:b] - book[codes[:, m]]) ** 2).sum(1)
-        return own, probes, codes, np.sqrt(off)
-
-    def near(self, x: np.ndarray, own: int, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Which (query, coded vector of list ``own``) pairs can be within reach.
-
-        The asymmetric distance, a sum of table look-ups, is that to the vector the codes
-        stand for; it is off by ``off`` at most, so nothing within reach is lost.
-        """
-        rest = (x - self.lists[own]).astype("f4")
-        total = np.zeros((len(x), len(codes)), "f4")
-        for m, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
-            part = rest[:, a:b]
-            look_up = (part**2).sum(1)[:, None] - 2 * part @ book.T.astype("f4") + (book**2).sum(1).astype("f4")
-            total += np.take(look_up, codes[:, m], axis=1)
-        return total <= ((self.reach + off + 1e-3) ** 2).astype("f4")
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim).astype("f8")
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def _search(index: Index, batches):
-    """Blocks come sorted, indexed vectors before queries. Emits link counts and connecting edges."""
-    key, block, parts = None, None, []
-
-    def close():
-        return [np.concatenate([p[k] for p in parts]) for k in range(6)] if parts else None
-
-    def answer(rows, held):
-        rep, mult, x, probes, codes, off, list_, counts, labels = held
-        q_rep, q_mult, q, q_own = rows
-        for at in range(0, len(q_rep), QUERY_ROWS):
-            s = slice(at, at + QUERY_ROWS)
-            maybe = index.near(q[s], list_, codes, off) & (q_rep[s][:, None] != rep[None, :])
-            # a pair that both sides probe is counted on the side of the smaller query
-            maybe &= ~probes[:, q_own[s]].T | (q_rep[s][:, None] < rep[None, :])
-            if maybe.mean() > 0.1:
-                i, j = np.nonzero(maybe & (q[s] @ x.T >= index.threshold))
-            else:
-                i, j = np.nonzero(maybe)
-                cos = np.concatenate([np.einsum("ij,ij->i", q[s][i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-                i, j = i[cos >= index.threshold], j[cos >= index.threshold]
-            if len(i):
-                counts += np.bincount(j, q_mult[s][i], minlength=len(rep)).astype("i8")
-                mine = np.bincount(i, mult[j], minlength=len(q_rep[s])).astype("i8")
-                first = np.unique(i, return_index=True)[1]
-                yield q_rep[s], mine, q_rep[s][i[first]], rep[j[first]]
-                # the query joins all it is linked to
-                star = j[first][np.searchsorted(i[first], i)]
-                min_labels(labels, star, j)
-
-    def batch_of(counted, edges):
-        a = np.concatenate([counted[0], edges[0]])
-        n = np.concatenate([counted[1], np.zeros(len(edges[0]), "i8")])
-        b = np.concatenate([np.zeros(len(counted[0]), "i8"), edges[1]])
-        edge = np.arange(len(a)) >= len(counted[0])
-        keep = edge | (n > 0)
-        return pa.RecordBatch.from_pydict({"a": a[keep], "b": pa.array(b[keep], mask=~edge[keep]), "n": n[keep]})
-
-    def finish(held):
-        rep, labels = held[0], held[8]
-        moved = np.flatnonzero(labels != np.arange(len(rep)))
-        return batch_of((rep, held[7]), (rep[moved], rep[labels[moved]]))
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists, blocks, kind = (batch.column(n).to_numpy() for n in ("list", "block", "kind"))
-        change = np.flatnonzero((lists[1:] != lists[:-1]) | (blocks[1:] != blocks[:-1]) | (kind[1:] != kind[:-1])) + 1
-        for s, e in zip([0, *change], [*change, len(lists)], strict=True):
-            rows = batch.slice(s, e - s)
-            if (lists[s], blocks[s]) != key:
-                if held:
-                    yield finish(held)
-                key, held, parts = (lists[s], blocks[s]), None, []
-            rep, mult = rows.column("rep").to_numpy(), rows.column("mult").to_numpy()
-            x = _unit(_matrix(rows.column("vec"), index.dim))
-            if kind[s] == 0:
-                parts.append((rep, mult, x, *index.place(x)[1:]))
-                continue
-            if held is None and parts:
-                block = close()
-                held = (*block, int(key[0]), np.zeros(len(block[0]), "i8"), np.arange(len(block[0])))
-            if held is None:
-                continue
-            for q_rep, mine, a, b in answer((rep, mult, x, rows.column("own").to_numpy()), held):
-                yield batch_of((q_rep, mine), (a, b))
-    if held:
-        yield finish(held)
-
-
-def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """``a, b`` of connecting edges and ``a, n`` of link counts between classes ``rep, mult, vec``."""
-    spark = classes.sparkSession
-    rows = classes.count()
-    drawn = classes.orderBy(F.xxhash64("vec"), "rep").limit(FIT_ROWS).select("vec").toArrow()
-    index = Index(_unit(_matrix(drawn.column("vec").combine_chunks(), dim)), rows, threshold)
-    shared = spark.sparkContext.broadcast(index)  # at most 1024 centroids and 256 codes a subspace
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "a long, b long, n long"
 
-    def place(batches):
-        for batch in batches:
-            own = shared.value.place(_unit(_matrix(batch.column("vec"), dim)))[0]
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "own": own.astype("i4")})
+    def __init__(self, rep: np.ndarray, mult: np.ndarray):
+        self.rep, self.mult = rep, mult
+        self.counts, self.labels = np.zeros(len(rep), "i8"), np.arange(len(rep))
+        self.first: dict[int, int] = {}
 
-    sizes = dict(classes.select("rep", "vec").mapInArrow(place, "rep long, own int").groupBy("own").count().collect())  # one row per list
-    blocks = np.ones(len(index.lists), "i8")
-    for k, n in sizes.items():
-        blocks[k] = -(-n // BLOCK_ROWS)
+    @staticmethod
+    def batch(a, n, x, y):
+        zeros = np.zeros(len(x), "i8")
+        edge = np.arange(len(a) + len(x)) >= len(a)
+        return pa.RecordBatch.from_pydict({"a": np.concatenate([a, x]), "b": pa.array(np.concatenate([np.zeros(len(a), "i8"), y]), mask=~edge), "n": np.concatenate([n, zeros])})
 
-    def deal(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                own, probes, _, _ = shared.value.place(_unit(_matrix(part.column("vec"), dim)))
-                rep = part.column("rep").to_numpy()
-                who, where = np.nonzero(probes)
-                times = blocks[where]
-                who, where = np.repeat(who, times), np.repeat(where, times)
-                number = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                me = np.arange(len(own))
-                mixed = (rep.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                who, where = np.concatenate([me, who]), np.concatenate([own, where])
-                number = np.concatenate([(mixed % blocks[own].astype("u8")).astype("i8"), number])
-                kind = (np.arange(len(who)) >= len(me)).astype("i4")
-                for x in range(0, len(who), 4096):
-                    s = slice(x, x + 4096)
-                    take = pa.array(who[s])
-                    yield pa.RecordBatch.from_pydict(
-                        {"list": where[s].astype("i4"), "block": number[s].astype("i4"), "kind": kind[s], "rep": part.column("rep").take(take), "mult": part.column("mult").take(take), "own": own[who[s]].astype("i4"), "vec": part.column("vec").take(take)}
-                    )
+    def add(self, rep, mult, a, b, cos):
+        self.counts += np.bincount(b, mult[a], minlength=len(self.rep)).astype("i8")
+        who, at = np.unique(a, return_inverse=True)
+        mine = np.bincount(at, self.mult[b], minlength=len(who)).astype("i8")
+        # the query joins one held vector, and what it is linked to joins that one
+        order = np.argsort(at, kind="stable")
+        star = b[order][np.searchsorted(at[order], np.arange(len(who)))]
+        min_labels(self.labels, star[at], b)
+        yield self.batch(rep[who], mine, rep[who], self.rep[star])
 
-    kind = classes.schema["vec"].dataType.simpleString()
-    dealt = classes.select("rep", "mult", "vec").mapInArrow(deal, f"list int, block int, kind int, rep long, mult long, own int, vec {kind}")
-    sorted_ = dealt.repartition(width, "list", "block").sortWithinPartitions("list", "block", "kind", "rep")
-    return sorted_.mapInArrow(lambda b: _search(shared.value, b), "a long, b long, n long")
+    def finish(self):
+        some, moved = np.flatnonzero(self.counts), np.flatnonzero(self.labels != np.arange(len(self.rep)))
+        yield self.batch(self.rep[some], self.counts[some], self.rep[moved], self.rep[self.labels[moved]])
 
 
-def near_vectors(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", threshold: float = 0.9) -> DataFrame:
+def near_vectors(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", threshold: float = 0.9, share: float | None = None) -> DataFrame:
     """Vectors linked by cosine of ``threshold`` or more, in double precision.
 
     Equal vectors are one class, so copies are compared once. Classes are assigned to
-    coarse lists and coded; each probes all lists that can hold a partner (see
-    ``Index``), table look-ups drop what is out of reach, and the rest is compared
-    exactly, so no link is lost. Lists longer than ``BLOCK_ROWS`` are split. Links
-    inside a block become counts and connecting edges, never all pairs.
+    coarse lists and coded; each probes the lists that can hold a partner (see
+    ``near.Index``; ``share`` 1 proves that none is missed, the default leaves out what
+    only a pair in an unlikely direction would need), table look-ups drop what is out of
+    reach, and the rest is compared exactly. Groups of lists larger than
+    ``near.BLOCK_ROWS`` are split. Links inside a block become counts and connecting
+    edges, never all pairs.
 
     Null and empty vectors, those of zero length and those with null or non-finite
     components link with nothing; vectors of different length never link. A row
@@ -236,7 +74,8 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_
     classes = materialize(valid.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("vec")), "vectors")
     found = None
     for (dim,) in classes.select("dim").distinct().collect():  # one row per length of vector
-        one = _links(classes.where(F.col("dim") == dim), dim, threshold)
+        some = classes.where(F.col("dim") == dim).select(F.lit(0).cast("long").alias("part"), "rep", "mult", "vec")
+        one = near.search(some, dim, threshold, Links, Links.schema, share)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
