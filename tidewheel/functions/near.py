@@ -20,8 +20,10 @@ LIST_ROWS, MOST_LISTS = 64, 4096
 GROUP_LISTS = 32
 #: Vectors that a task holds; larger groups are several blocks.
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
+QUERY_ROWS = 4096
 PLACE_ROWS = 512
+#: Pairs whose table look-ups are summed at a time.
+PAIRS = 1 << 21
 #: Standard deviations of a direction's cosine that the probes allow for (see ``Index``).
 DEVIATIONS = 3.3
 
@@ -83,10 +85,18 @@ class Index:
             s = slice(at, at + PLACE_ROWS)
             sim = x[s] @ self.lists.T
             own[s] = np.argmax(sim, axis=1)
-            gap = np.sqrt(np.maximum(0, 2 - 2 * self.lists[own[s]] @ self.lists.T))
-            probes[s] = sim >= sim[np.arange(len(sim)), own[s]][:, None] - self.share * self.reach / 2 * gap - 1e-6
+            probes[s] = self._probed(sim, sim[np.arange(len(sim)), own[s]], own[s], self.lists)
         return own, probes
 
+    def probed(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Which of some lists are probed by vectors whose own list is known."""
+        some = self.lists[lists]
+        return self._probed(x @ some.T, np.einsum("ij,ij->i", x, self.lists[own]), own, some)
+
+    def _probed(self, sim: np.ndarray, top: np.ndarray, own: np.ndarray, some: np.ndarray) -> np.ndarray:
+        gap = np.sqrt(np.maximum(0, 2 - 2 * self.lists[own] @ some.T))
+        return sim >= top[:, None] - self.share * self.reach / 2 * gap - 1e-6
+
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of what remains after the own centroid, and how far they are off."""
         rest = x - self.lists[own]
@@ -114,10 +124,8 @@ class Index:
 class Block:
     """Vectors of one group of lists that a task holds, and the pairs that queries make with them."""
 
-    def __init__(self, index: Index, group: int, rep: np.ndarray, x: np.ndarray):
-        self.index, self.group = index, group
-        own = index.groups[group][np.argmax(x @ index.lists[index.groups[group]].T, axis=1)]
-        # the own list is the nearest of all, so the nearest of its group
+    def __init__(self, index: Index, rep: np.ndarray, own: np.ndarray, x: np.ndarray):
+        self.index = index
         order = np.argsort(own, kind="stable")
         self.order, self.rep, self.x, self.own = order, rep[order], x[order], own[order]
         self.codes, self.off = index.encode(self.x, self.own)
@@ -125,22 +133,22 @@ class Block:
         self.lists, first = np.unique(self.own, return_index=True)
         self.bounds = [*first.tolist(), len(rep)]
 
-    def pairs(self, rep: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(self, rep: np.ndarray, own: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places of queries and of held vectors (in the order given) within the threshold, and their cosines."""
-        q_own, q_probes = self.index.place(x)
+        probed = self.index.probed(x, own, self.lists)
         for k, c in enumerate(self.lists.tolist()):
-            q = np.flatnonzero(q_probes[:, c])
+            q = np.flatnonzero(probed[:, k])
             if not len(q):
                 continue
-            held = slice(self.bounds[k], self.bounds[k + 1])
-            for at in range(0, held.stop - held.start, 4096):
-                part = slice(held.start + at, min(held.start + at + 4096, held.stop))
+            step = max(64, PAIRS // len(q))
+            for at in range(self.bounds[k], self.bounds[k + 1], step):
+                part = slice(at, min(at + step, self.bounds[k + 1]))
                 maybe = self.index.near(x[q], c, self.codes[part], self.off[part]) & (rep[q][:, None] != self.rep[part][None, :])
                 # a pair that both sides probe is found on the side of the smaller query
-                maybe &= ~self.probes[part][:, q_own[q]].T | (rep[q][:, None] < self.rep[part][None, :])
+                maybe &= ~self.probes[part][:, own[q]].T | (rep[q][:, None] < self.rep[part][None, :])
                 i, j = np.nonzero(maybe)
                 for s in range(0, len(i), 65536):
-                    a, b = q[i[s : s + 65536]], part.start + j[s : s + 65536]
+                    a, b = q[i[s : s + 65536]], at + j[s : s + 65536]
                     cos = np.einsum("ij,ij->i", x[a], self.x[b])
                     hit = cos >= self.index.threshold
                     if hit.any():
@@ -200,7 +208,7 @@ def search(vectors: DataFrame, dim: int, threshold: float, collector, schema: st
                     s = slice(x, x + 4096)
                     take = pa.array(who[s])
                     yield pa.RecordBatch.from_pydict(
-                        {"part": rows_.column("part").take(take), "group": where[s].astype("i4"), "block": number[s].astype("i4"), "kind": kind[s], "rep": rows_.column("rep").take(take), "mult": rows_.column("mult").take(take), "vec": rows_.column("vec").take(take)}
+                        {"part": rows_.column("part").take(take), "group": where[s].astype("i4"), "block": number[s].astype("i4"), "kind": kind[s], "rep": rows_.column("rep").take(take), "mult": rows_.column("mult").take(take), "own": own[who[s]].astype("i4"), "vec": rows_.column("vec").take(take)}
                     )
 
     def meet(batches):
@@ -217,24 +225,24 @@ def search(vectors: DataFrame, dim: int, threshold: float, collector, schema: st
                         yield from held.finish()
                     key, parts, held = here, [], None
                 some = batch.slice(s, e - s)
-                rep, mult, x = some.column("rep").to_numpy(), some.column("mult").to_numpy(), unit_rows(matrix(some.column("vec"), dim))
+                rep, mult, own, x = some.column("rep").to_numpy(), some.column("mult").to_numpy(), some.column("own").to_numpy(), unit_rows(matrix(some.column("vec"), dim))
                 if cols[3][s] == 0:
-                    parts.append((rep, mult, x))
+                    parts.append((rep, mult, own, x))
                     continue
                 if held is None and parts:
-                    rep_, mult_, x_ = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                    held, block, parts = collector(rep_, mult_), Block(shared.value, here[1], rep_, x_), []
+                    rep_, mult_, own_, x_ = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                    held, block, parts = collector(rep_, mult_), Block(shared.value, rep_, own_, x_), []
                 if held is None:
                     continue
                 for at in range(0, len(rep), QUERY_ROWS):
                     q = slice(at, at + QUERY_ROWS)
-                    for a, b, cos in block.pairs(rep[q], x[q]):
+                    for a, b, cos in block.pairs(rep[q], own[q], x[q]):
                         yield from held.add(rep[q], mult[q], a, b, cos)
         if held:
             yield from held.finish()
 
     kind = vectors.schema["vec"].dataType.simpleString()
-    dealt = vectors.select("part", "rep", "mult", "vec").mapInArrow(deal, f"part long, group int, block int, kind int, rep long, mult long, vec {kind}")
+    dealt = vectors.select("part", "rep", "mult", "vec").mapInArrow(deal, f"part long, group int, block int, kind int, rep long, mult long, own int, vec {kind}")
     by = ["part", "group", "block"]
     return dealt.repartition(width, *by).sortWithinPartitions(*by, "kind", "rep").mapInArrow(meet, schema)
 
