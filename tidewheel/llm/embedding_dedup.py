@@ -82,11 +82,15 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_
     found = materialize(found, "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     part = connected_components(found.where("b is not null"))
-    labelled = (
-        classes.join(counts, "rep", "left")
+    tags = (
+        classes.select("rep", "mult")
+        .join(counts, "rep", "left")
         .join(part, F.col("rep") == F.col("node"), "left")
-        .select("vec", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("rep", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = valid.join(labelled, "vec").select("vec_id", "n_links", "component_id")
+    # only vectors that come more than once have to be looked up again
+    copies = valid.join(classes.where("mult > 1").select("vec", "rep"), "vec").select("vec_id", "rep").join(tags, "rep")
+    singles = tags.where("mult = 1").withColumn("vec_id", F.col("rep"))
+    out = singles.select("vec_id", "n_links", "component_id").unionByName(copies.select("vec_id", "n_links", "component_id"))
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
