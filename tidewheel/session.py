@@ -94,3 +94,18 @@ def written(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, st
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The table of ``written``."""
     return written(df, name, keep)[0]
+
+
+#: Spark's own sizes of an Arrow batch, and those for rows that hold whole documents.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few whole documents, on both sides of the pipe to Python.
+
+    With Spark's own sizes each running task holds 64 MB outside of the heap, twice that
+    while a buffer grows, and as much in Python. A session's own settings stay.
+    """
+    for key, (own, ours) in BATCHES.items():
+        if spark.conf.get(key) == own:
+            spark.conf.set(key, ours)
