@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on texts with nulls, ties, copies and junk."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -155,6 +156,42 @@ def test_quality_rules(docs, nothing):
     assert rules.quality_report(nothing).count() == 0 and rules.quality_rules(nothing).count() == 0
 
 
+def test_cascade_charges_what_a_rule_adds():
+    """Work of shared features counts once, rejections only among texts that are left."""
+    a, b, c = (rules.Rule(n, reads, None) for n, reads in (("a", ("n_words",)), ("b", ("n_words", "most_common")), ("c", ("n_symbols",))))
+    # (bytes, words, lines, rejected by a, b, c)
+    sample = [(600, 100, 1, [k < 5, k < 8, False]) for k in range(10)]
+    plan = rules.order_rules((a, b, c), sample)
+    assert [(x["rule"].name, x["selectivity"]) for x in plan] == [("a", 0.5), ("b", 0.6), ("c", 0.0)]
+    work = rules.FEATURES
+    after_a = [x for x in plan if x["rule"].name == "b"][0]
+    assert after_a["cost_ns"] == pytest.approx(100 * (work["ids"][1][1] + work["most_common"][1][1]))  # words are there already
+    assert [x for x in rules.order_rules((a,), sample, rules.needed(("n_words",)))][0]["cost_ns"] == 0
+    cheap = rules.order_rules((a, b, c), [(600, 100, 1, [k < 5, k < 8, k == 9]) for k in range(10)])
+    assert [x["rule"].name for x in cheap] == ["c", "a", "b"]  # a tenth for a sixth of the work
+
+
+def test_cascade_is_the_same_again(docs, spark):
+    names = lambda: [x["rule"].name for x in rules.plan_cascade(docs, rules.BASE_RULES + rules.ADDED_RULES)]
+    first = names()
+    assert sorted(first) == sorted(r.name for r in rules.BASE_RULES + rules.ADDED_RULES) and all(names() == first for _ in range(3))
+    assert sorted(map(str, rules.quality_rules(docs).collect())) == sorted(map(str, rules.quality_rules(docs).collect()))
+    with pytest.raises(ValueError):
+        rules.quality_rules(docs.withColumn("kept", F.lit(1)), keep=("kept",))
+
+
+def test_report_equals_sql(docs, spark):
+    import duckdb
+
+    c = duckdb.connect()
+    table = docs.toArrow()
+    c.register("documents", table)
+    want = c.execute(rules.REPORT_SQL)
+    names = [d[0] for d in want.description]
+    key = lambda r: str(r)
+    assert sorted((tuple(r[n] for n in names) for r in rules.quality_report(docs).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
 def test_repeated_words_random():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -217,6 +254,96 @@ def test_disclosing_terms_of_odd_letters(spark, monkeypatch):
     assert all(got[k] == ["zanzi²bar"] for k in range(5)) and not any(got[10 + k] for k in range(100))
 
 
+def slow_base(text):
+    """Base spans by plain scans: patterns tried from each place, checks by arithmetic."""
+    found, digits = [], lambda x: [int(c) for c in x if c in "0123456789"]
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        at, tried = 0, re.compile(pattern)
+        while at < len(text):
+            m = tried.match(text, at)
+            if not m:
+                at += 1
+                continue
+            d, at = digits(m[0]), m.end()
+            luhn = sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d)))
+            if kind == "email" or (kind == "ip" and max(map(int, m[0].split("."))) <= 255) or (kind == "card" and 12 <= len(d) <= 19 and luhn % 10 == 0) or (kind == "phone" and 9 <= len(d) <= 15):
+                found.append((m.start(), ["email", "ip", "card", "phone"].index(kind), m.end(), kind))
+    return sorted(found)
+
+
+def test_base_spans_against_plain_scans(spark):
+    rng = np.random.default_rng(0)
+    bits = ["a.b@c.de", "@", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111 11111111", "5500 0000 0000 0004 1", "+49 (30) 123-4567", "+1", " ", ".", "-", "é", "日本", "12", "\n", "note", "٣٤"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_personal_data(rows).collect():
+        want = slow_base(texts[r["doc_id"]])
+        digest = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        assert r["base_sha256"] == hashlib.sha256(digest.encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(x[3] == k for x in want) for k in ("email", "ip", "card", "phone")]
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("term")) == digest
+
+
+def slow_terms(texts, support=pii.SUPPORT, disclosure=pii.DISCLOSURE):
+    """Disclosing terms from sets of different texts."""
+    texts = sorted({t for t in texts if t is not None} | ({""} if None in texts else set()))
+    holds, levels = {}, {}
+    for n, t in enumerate(texts):
+        spans = slow_base(t)
+        for m in re.finditer(r"[^\W\d_]{3,}", t):
+            if not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
+                holds.setdefault(m[0].lower(), set()).add(n)
+        for a, _, b, kind in spans:
+            for key, own in pii._levels(kind, t[a:b]):
+                levels.setdefault((key, own), set()).add(n)
+    out, total = set(), len(texts)
+    for (_, own), at in levels.items():
+        if not support <= len(at) < total:
+            continue
+        p = len(at) / total
+        for term, where in holds.items():
+            both, weight = len(at & where), 0 if own else support
+            if both >= support and np.log2((both + weight * p) / (len(where) + weight) / p) >= disclosure * -np.log2(p) - 1e-12:
+                out.add(term)
+    return out
+
+
+@pytest.mark.parametrize("sent", [pii.SENT_TERMS, 0])
+def test_disclosing_terms_against_sets(spark, sent):
+    """Copies, terms with and without their entity, classes of entities; sent to all tasks or joined."""
+    rng = np.random.default_rng(1)
+    common, secret = [f"word{chr(97 + k)}" for k in range(20)], [f"secret{chr(97 + k)}" for k in range(12)]
+    rows = []
+    for k in range(900):
+        text = " ".join(rng.choice(common, 12))
+        if k % 9 == 0:
+            who = rng.integers(0, 12)
+            text = f"{secret[who].title() if k % 2 else secret[who]} {text} u{who if k % 18 else k}@{'host' + chr(97 + who)}.org"
+        elif k % 31 == 0:
+            text += " " + secret[rng.integers(0, 12)]
+        rows.append((k, text, f"note{k}"))
+    rows += [(1000 + k, rows[0][1], "copy") for k in range(500)] + [(None, rows[9][1], "x"), (2000, None, "x"), (2001, "", "x"), (2000, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3)
+    flagged = slow_terms([t for _, t, _ in rows])
+    assert len(flagged) > 4
+    assert {r[0] for r in pii.disclosing_terms(docs).collect()} == flagged
+    got = pii.find_personal_data(docs, sent=sent).collect()
+    assert len(got) == len(rows)
+    text = {}
+    for k, t, _ in rows:
+        text.setdefault(k, t or "")
+    for r in got:
+        t = text[r["doc_id"]]
+        base = [(a, b) for a, _, b, _ in slow_base(t)]
+        want = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in flagged and not any(a < m.end() and m.start() < b for a, b in base)]
+        assert [(x["s"], x["e"]) for x in r["_spans"] if pii.KINDS[x["k"]] == "term"] == want
+    clean = pii.sanitise(docs, sent=sent)
+    assert clean.columns == docs.columns and clean.where("spans = 'copy'").count() == 500
+    assert all(not flagged.intersection(re.findall(r"[^\W\d_]{3,}", (r["text"] or "").lower())) and "@" not in (r["text"] or "") for r in clean.collect())
+    with pytest.raises(ValueError):
+        pii.find_personal_data(docs, keep=("spans",))
+
+
 def test_mixing(docs, nothing, spark):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(TEXTS) + 2 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
@@ -240,6 +367,146 @@ def test_mixing_fills_rare_sources(spark, monkeypatch):
     assert all(abs(a - t) <= 2 for a, t in per.values()), per
 
 
+def slow_targets(sizes, weights, times):
+    """Targets by raising the level of all open sources until each is full or the total is given."""
+    from fractions import Fraction
+
+    total, target, open_ = Fraction(sum(sizes)), [Fraction(0)] * len(sizes), {k for k, n in enumerate(sizes) if n}
+    while open_ and total:
+        whole = sum(weights[k] for k in open_)
+        step = min([total / whole] + [(times * sizes[k] - target[k]) / Fraction(weights[k]) for k in open_])
+        for k in open_:
+            target[k] += step * weights[k]
+        total -= step * whole
+        open_ = {k for k in open_ if target[k] < times * sizes[k]}
+    return [float(x) for x in target]
+
+
+def test_mixing_against_brute_force(spark):
+    """Every column of every document, from plain counts and targets by another way."""
+    rng = np.random.default_rng(7)
+    sources = ["b", "ä", "a", None, "z", "tiny"]
+    rows = [(int(k) if k % 50 else None, None if k % 97 == 0 else " ".join(["w"] * int(rng.integers(0, 40))) + "\x1f\t", sources[min(5, int(rng.exponential(1.2)))] if k % 400 else "tiny", "kept") for k in range(3000)]
+    rows += [rows[5]] * 40 + [(9000, "one", "alone", "kept"), (9001, "", "empty", "kept"), (9002, None, "nothing", "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(5)
+    got = [r.asDict() for r in mixing.mix_sources(docs, keep=("note",)).collect()]
+    sizes = Counter()
+    plain = Counter()
+    for i, t, s, _ in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        sizes[s] += n
+        plain[(i, n, s)] += 1
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = dict(zip(names, slow_targets([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 3)))
+    assert Counter((r["doc_id"], r["size"], r["pattern"][0]) for r in got) == plain
+    taken = Counter()
+    for r in got:
+        s = r["pattern"][0]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s], abs=1e-6) and r["note"] == "kept"
+        assert r["taken"] == r["times_taken"] * r["size"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 8 for s in names), (taken, target)
+    key = lambda rs: sorted(str((r["doc_id"], r["size"], r["pattern"], r["taken"])) for r in rs)
+    assert key(got) == key([r.asDict() for r in mixing.mix_sources(docs.repartition(3)).collect()])
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs.withColumn("draw", F.lit(1)), keep=("draw",))
+
+
+def test_mixing_splits_repeated_rows(spark, monkeypatch):
+    """A row that fills a hash bucket by itself is taken part by part."""
+    monkeypatch.setattr(mixing, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(mixing, "LEAST_ROWS", 40)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    rows = [(1, "w w w", "a")] * 2000 + [(k, "w " * (1 + k % 5), "a" if k % 2 else "b") for k in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    per = {}
+    got = mixing.mix_sources(docs).collect()
+    for r in got:
+        n = per.setdefault(r["pattern"][0], [0, r["target"]])
+        n[0] += r["taken"]
+    assert len(got) == len(rows) and all(abs(a - t) <= 5 for a, t in per.values()), per
+    assert {r["times_taken"] for r in got if r["doc_id"] == 1} <= {0, 1, 2, 3}
+
+
+def slow_route(capacity, quota, times):
+    """Most words and least cost by shortest paths, one at a time."""
+    edges = []  # from, to, capacity, cost
+
+    def join(a, b, cap, cost):
+        edges.append([a, b, cap, cost])
+        edges.append([b, a, 0, -cost])
+
+    for m, n in capacity.items():
+        for t in range(times):
+            join("in", ("p", m, t), n, t)
+            for s in m:
+                join(("p", m, t), ("s", s), n, 0)
+    for s, q in quota.items():
+        join(("s", s), "out", q, 0)
+    words = cost = 0
+    while True:
+        dist, back = {"in": 0}, {}
+        for _ in range(len(edges)):
+            before = dict(dist)
+            for k, (a, b, cap, c) in enumerate(edges):
+                if cap and a in dist and dist[a] + c < dist.get(b, 10**9):
+                    dist[b], back[b] = dist[a] + c, k
+            if before == dist:
+                break
+        if "out" not in dist:
+            return words, cost
+        path, v = [], "out"
+        while v != "in":
+            path.append(back[v])
+            v = edges[back[v]][0]
+        n = min(edges[k][2] for k in path)
+        for k in path:
+            edges[k][2] -= n
+            edges[k ^ 1][2] += n
+        words, cost = words + n, cost + n * dist["out"]
+
+
+def test_route_against_shortest_paths():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        names = "abcde"[: rng.integers(1, 6)]
+        capacity = {}
+        for _ in range(rng.integers(1, 9)):
+            capacity[tuple(sorted(rng.choice(list(names), rng.integers(1, len(names) + 1), replace=False)))] = int(rng.integers(0, 12))
+        quota = {s: int(rng.integers(0, 40)) for s in {s for m in capacity for s in m}}
+        given = mixing.route(capacity, quota, 3)
+        assert all(0 <= given[m] <= 3 * n for m, n in capacity.items())
+        cost = sum(max(0, min(given[m] - t * n, n)) * t for m, n in capacity.items() for t in range(3))
+        assert (sum(given.values()), cost) == slow_route(capacity, quota, 3), (capacity, quota)
+
+
+def test_route_of_many_patterns():
+    import time
+
+    rng = np.random.default_rng(0)
+    capacity = {tuple(sorted({*rng.integers(0, 300, rng.integers(1, 5)).tolist()})): int(rng.integers(1, 10_000)) for _ in range(100_000)}
+    size = Counter()
+    for m, n in capacity.items():
+        for s in m:
+            size[s] += n
+    total = sum(capacity.values())
+    weights = rng.exponential(1, 300)
+    quota = {s: int(total * w / weights.sum()) for s, w in enumerate(weights)}
+    began = time.perf_counter()
+    given = mixing.route(capacity, quota, 3)
+    assert time.perf_counter() - began < 60
+    assert sum(given.values()) > 0.99 * sum(min(quota[s], 3 * size[s]) for s in quota)
+
+
+def test_rare_patterns_count_for_one_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 6)
+    rng = np.random.default_rng(1)
+    rows = [(k, "w " * (1 + k % 4), sorted({*rng.choice(list("abcde"), rng.integers(1, 4)).tolist()})) for k in range(500)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(500)) and len({tuple(r["pattern"]) for r in got}) <= 6 + 5
+    assert all(set(r["pattern"]) <= set(rows[r["doc_id"]][2]) for r in got)
+
+
 def test_shares_and_flow():
     assert mixing.shares([100, 100, 100], [5, 2, 1], 300, 3) == pytest.approx([187.5, 75, 37.5])
     assert mixing.shares([10, 1000], [5, 2], 1010, 3) == pytest.approx([30, 980])
@@ -256,12 +523,50 @@ def test_overlapping_sources(spark):
 
 
 def test_licenses(spark, nothing):
-    mit = licenses.TEMPLATES["mit"]
+    mit = licenses.TEMPLATES["mit-opening"]
     edited = mit.replace("charge", "cost")
     rows = [(0, "intro words here. Released under the MIT License. more"), (1, None), (2, "x " * 400 + mit + " y" * 37), (3, edited), (4, "words about the License and nothing else at all"), (5, "Released under the MIT"), (6, f"{LONG} {licenses.TEMPLATES['bsd']} {LONG}")]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: "mit-notice", 1: "", 2: "mit", 3: "mit", 4: "", 5: "", 6: "bsd"}
+    rows += [(7, ""), (None, "# SPDX-License-Identifier: MIT"), (0, "SPDX-License-Identifier: ISC"), (8, licenses.TEMPLATES["bsd-3-clause"]), (9, "public domain, CC0 1.0."), (10, "public domain CC0")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, spans string, n_matches string")
+    got = [(r["doc_id"], r["licenses"]) for r in licenses.scan_licenses(docs).collect()]
+    want = [(0, "mit-notice"), (1, ""), (2, "mit-opening"), (3, "mit-opening"), (4, ""), (5, ""), (6, "bsd"), (7, ""), (None, "spdx-mit"), (0, "spdx-isc"), (8, "bsd,bsd-2-clause,bsd-3-clause"), (9, "cc0-1.0-notice"), (10, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
     assert licenses.scan_licenses(nothing).count() == 0
+    with pytest.raises(ValueError):
+        licenses.Library({"none": " "})
+    assert len(licenses.Library({"cc0": "Public domain CC0 1.0", "mit": "MIT License"}).short) == 2
+
+
+def test_licenses_against_brute_force():
+    """Containment of every template in every window, on edited copies among other words."""
+    library = licenses.Library(licenses.TEMPLATES)
+    rng = np.random.default_rng(0)
+    other = [f"other{k}" for k in range(300)]
+    docs, places = [], 0
+    for n in range(160):
+        words = list(rng.choice(other, rng.integers(0, 400)))
+        for _ in range(rng.integers(0, 3)):
+            t = library.templates[rng.integers(0, len(library.templates))]
+            text = licenses.TEMPLATES[t.name].split()
+            for _ in range(rng.integers(0, 1 + len(text) // 40)):
+                kind, at = rng.integers(0, 3), int(rng.integers(0, len(text)))
+                text[at : at + 1] = [[], ["changed"], [text[at], "more"]][kind]
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = text
+        docs.append(licenses.word_hashes(words))
+    met = missed = 0
+    for doc, got in zip(docs, library.scan(docs)):
+        assert all(0 <= s < e <= len(doc) for _, s, e in got)
+        shingles = licenses.shingle_hashes(doc)
+        for t in library.templates:
+            here = [(s, e) for n, s, e in got if n == t.name]
+            for s, e in here:  # what is found is there
+                near_ = shingles[max(0, s - 2 * t.span) : e + 2 * t.span]
+                assert np.isin(t.shingles, near_).mean() >= licenses.CONTAINED
+            starts = range(max(1, len(shingles) - t.span + 1)) if np.isin(t.shingles, shingles).mean() >= licenses.CONTAINED else ()
+            if any(np.isin(t.shingles, shingles[i : i + t.span]).mean() >= licenses.CONTAINED for i in starts):
+                met, missed = met + 1, missed + (not here)
+    assert met > 100 and missed == 0
 
 
 @pytest.mark.parametrize("list_rows", [64, 8])

@@ -24,7 +24,7 @@ import unicodedata
 import numpy as np
 
 #: Pre-tokens that a worker remembers; the memory is cleared when full.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONGEST = 64
 
 

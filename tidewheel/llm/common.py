@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.session import small_batches
+
 #: Words are maximal runs of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +35,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         for part in pieces(batches):

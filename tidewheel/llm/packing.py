@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidewheel.llm.bpe import load, tokenizer_path
 from tidewheel.llm.common import pieces, salts
-from tidewheel.session import materialize
+from tidewheel.session import materialize, small_batches
 
 #: Lengths are planned in classes of this many tokens, rounded up.
 GRAIN = 8
@@ -111,6 +111,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id_co
     of equal id apart. The end id is a document's last. Null texts hold it alone.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):

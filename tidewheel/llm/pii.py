@@ -6,13 +6,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import map_rows, positional
-from tidewheel.session import materialize
+from tidewheel.session import materialize, small_batches
 
 #: Kinds in the order that ties are listed in; the method's own spans come last.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -30,7 +31,11 @@ SUPPORT = 3
 #: Share of an entity's information that a term may disclose.
 DISCLOSURE = 0.9
 #: Different terms whose counts a task holds before it passes them on.
-AT_A_TIME = 300_000
+AT_A_TIME = 100_000
+#: Disclosing terms that are sent to all tasks at most; more are joined to the documents that may hold them.
+SENT_TERMS = 200_000
+#: Bits of the filter that tells which documents may hold one of more terms: 16 MB whatever their number.
+FILTER_BITS = 1 << 27
 
 
 def luhn(digits: str) -> bool:
@@ -121,13 +126,14 @@ def _term_counts(texts: DataFrame, copies: DataFrame) -> DataFrame:
                     found.clear()
         yield out()
 
+    small_batches(texts.sparkSession)
     # each of m copies counts as 1/m
     shared = texts.join(copies, "_h", "left").select("_text", "m")
     return shared.mapInArrow(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
-def _disclosing(docs: DataFrame, text: str, support: int, disclosure: float) -> frozenset[str]:
-    """Terms above the threshold for an entity or a class of entities."""
+def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """A table of the terms, ``term``, above the threshold for an entity or a class of entities."""
     texts = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_h"))
     near = _with_entities(texts)
     copies = materialize(texts.groupBy("_h").agg(F.count("*").alias("m")).where("m > 1"), "copies")
@@ -140,15 +146,74 @@ def _disclosing(docs: DataFrame, text: str, support: int, disclosure: float) ->
     judged = materialize(judged.withColumn("prior", prior).withColumn("weight", weight).withColumn("most", most + 1e-6), "levels")
     widest = judged.agg(F.max("most")).first()[0]
     if widest is None:
-        return frozenset()
+        return docs.sparkSession.createDataFrame([], "term string")
     counts = _term_counts(texts, copies).where(F.col("n").between(support, widest))
     pairs = near.select("_h", F.explode("_terms").alias("term")).join(counts, "term").join(at.join(judged, ["ent", "own"]), "_h").where("n <= most")
     both = pairs.groupBy("ent", "own", "term").agg(F.count("*").alias("n_both"), *(F.first(c).alias(c) for c in ("n", "prior", "weight"))).where(F.col("n_both") >= support)
     told = F.log2((F.col("n_both") + F.col("weight") * F.col("prior")) / (F.col("n") + F.col("weight")) / F.col("prior"))
-    return frozenset(r[0] for r in both.where(told >= disclosure * -F.log2("prior")).select("term").distinct().collect())
+    return materialize(both.where(told >= disclosure * -F.log2("prior")).select("term").distinct(), "disclosing")
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def _filter_of(flagged: DataFrame) -> np.ndarray:
+    """A bit for each hash of a term, as bytes; of fixed size."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)) + 1
+    found = flagged.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768, 4096), "u1")
+    for k, bits in found.collect():  # FILTER_BITS / 32768 rows of 4096 bytes at most
+        out[k - 1] = np.frombuffer(bits, "u1")
+    return out.reshape(-1)
+
+
+def _with_terms(rows: DataFrame, text: str, flagged: DataFrame, at_most: int) -> tuple[DataFrame, frozenset[str] | None]:
+    """The rows with what is needed to find the flagged terms in them: the terms themselves, or the column ``_mine``.
+
+    Up to ``at_most`` terms go to all tasks. More stay where they are: a filter of fixed
+    size goes instead, the documents' words that pass it are joined to the terms, and
+    each row gets those that it holds.
+    """
+    n = flagged.count()
+    if n <= at_most:
+        return rows.withColumn("_mine", F.lit(None).cast("array<string>")), frozenset(r[0] for r in flagged.collect())
+    bits = rows.sparkSession.sparkContext.broadcast(_filter_of(flagged))
+    rows = materialize(rows.withColumn("_n", F.monotonically_increasing_id()), "numbered")
+
+    def may_hold(batch):
+        out = {"_n": [], "term": []}
+        for k, x in zip(batch.column("_n").to_pylist(), batch.column(text).to_pylist(), strict=True):
+            words_ = sorted(terms(x or "", base_spans(x or "")))
+            at = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in words_), "u8", len(words_)) & np.uint64(FILTER_BITS - 1)
+            hit = np.flatnonzero(bits.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1)
+            out["_n"] += [k] * len(hit)
+            out["term"] += [words_[i] for i in hit]
+        return out
+
+    met = map_rows(rows.select("_n", text), may_hold, "_n long, term string").join(flagged, "term")
+    return rows.join(met.groupBy("_n").agg(F.collect_list("term").alias("_mine")), "_n", "left").drop("_n"), None
+
+def _spans_of(text: str, flagged: frozenset[str] | set[str]) -> tuple[list, list]:
+    """The base spans of a text, and all its spans."""
+    base = base_spans(text)
+    if not flagged or flagged.isdisjoint(terms(text, base)):
+        return base, base
+    return base, sorted(base + [(a, "term", b) for a, b, w in words(text, base) if w in flagged], key=lambda y: (y[0], _ORDER[y[1]], y[2]))
+
+
+def _pass(docs: DataFrame, text: str, columns: tuple[str, ...], made: str, make, support: int, disclosure: float, sent: int) -> DataFrame:
+    """One pass over whole texts; ``make(rows, texts, found)`` gives the columns, ``found`` has both lists of spans of each."""
+    rows, flagged = _with_terms(docs, text, disclosing_terms(docs, text, support, disclosure), sent)
+    shared = docs.sparkSession.sparkContext.broadcast(flagged)  # SENT_TERMS at most
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batch):
+        texts = [x or "" for x in batch.column(text).to_pylist()]
+        mine = [shared.value] * len(texts) if shared.value is not None else [set(x or ()) for x in batch.column("_mine").to_pylist()]
+        found = [_spans_of(x, m) for x, m in zip(texts, mine, strict=True)]
+        return {c: batch.column(c) for c in columns} | make(batch, texts, found)
+
+    return map_rows(rows, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), made]))
+
+
+def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE, sent: int = SENT_TERMS) -> DataFrame:
     """Personal data in every whole text.
 
     Base kinds are patterns with checks (``KINDS``). To these come terms that disclose
@@ -165,56 +230,53 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     the place of the span. p(class | t) is smoothed by ``support`` different texts of the class's
     share, so that a common class needs more of them.
 
-    Texts may be null (empty) or very long; ids null or repeated: each row gives one.
-    Returns ``keep``, ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
-    _spans`` (the spans as an array, kinds as positions in ``KINDS``). A column of ``keep``
-    named as one of the operator's own is left out.
+    Texts may be null or empty (no span) or very long; ids null or repeated: each row gives
+    one, and equal texts get equal spans. An empty table gives no row. Returns ``keep``,
+    ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, _spans`` (the spans as an
+    array, kinds as positions in ``KINDS``). A column of ``keep`` named as one of the
+    operator's own is an error; ``sanitise`` takes columns of any name.
     """
-    keep = tuple(c for c in keep if c not in _OWN)
-    flagged = docs.sparkSession.sparkContext.broadcast(_disclosing(docs, text, support, disclosure))
+    if clash := _OWN.intersection(keep):
+        raise ValueError(f"the operator has columns of its own named {sorted(clash)}")
     source = docs.select(*keep, F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
-    def run(rows):
-        texts = [x or "" for x in rows.column("_text").to_pylist()]
-        spans = [base_spans(x) for x in texts]
-        out = {c: rows.column(c) for c in keep} | {"doc_id": rows.column("_id")}
-        out |= {f"n_{k}": [sum(x[1] == k for x in s) for s in spans] for k in KINDS[:4]}
-        out["base_sha256"] = [hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s in spans]
-        if flagged.value:
-            spans = [sorted(s + [(a, "term", b) for a, b, w in words(x, s) if w in flagged.value], key=lambda y: (y[0], _ORDER[y[1]], y[2])) if not flagged.value.isdisjoint(terms(x, s)) else s for x, s in zip(texts, spans, strict=True)]
-        out["spans"] = [",".join(f"{k}:{a}:{b}" for a, k, b in s) for s in spans]
-        out["_spans"] = [[{"s": a, "k": _ORDER[k], "e": b} for a, k, b in s] for s in spans]
+    def make(batch, texts, found):
+        out = {"doc_id": batch.column("_id")} | {f"n_{k}": [sum(x[1] == k for x in s) for s, _ in found] for k in KINDS[:4]}
+        out["base_sha256"] = [hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s, _ in found]
+        out["spans"] = [",".join(f"{k}:{a}:{b}" for a, k, b in s) for _, s in found]
+        out["_spans"] = [[{"s": a, "k": _ORDER[k], "e": b} for a, k, b in s] for _, s in found]
         return out
 
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    schema += "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, _spans array<struct<s:int,k:int,e:int>>"
-    return map_rows(source, run, schema)
+    made = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, _spans array<struct<s:int,k:int,e:int>>"
+    return _pass(source, "_text", keep, made, make, support, disclosure, sent)
 
 
-def replace_spans(text: str | None, spans: list[dict]) -> str | None:
+def replace_spans(text: str | None, spans: list[tuple[int, str, int]]) -> str | None:
     """The text with each span generalised to its kind; overlapping spans are one, named by the first."""
     if not text or not spans:
         return text
     out, at = [], 0
-    for x in sorted(spans, key=lambda x: (x["s"], -x["e"])):
-        if x["e"] <= at:
+    for start, kind, end in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if end <= at:
             continue
-        if x["s"] >= at:
-            out += [text[at : x["s"]], f"[{KINDS[x['k']].upper()}]"]
-        at = x["e"]
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = end
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
-    """The same rows and columns with personal data and disclosing terms generalised to their kinds."""
+def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE, sent: int = SENT_TERMS) -> DataFrame:
+    """The same rows and columns with personal data and disclosing terms generalised to their kinds.
+
+    Columns may have any names. A null text stays null and an empty one empty; rows that
+    repeat are each kept; ids play no part and may be null.
+    """
     plain, name, back = positional(docs)
-    columns, text = plain.columns, name(text)
-    found = find_personal_data(plain, text, name(id_col), tuple(columns), **settings)
-    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    body = name(text)
+    others = tuple(c for c in plain.columns if c != body)
 
-    def run(rows):
-        new = [replace_spans(t, s) for t, s in zip(rows.column(text).to_pylist(), rows.column("_spans").to_pylist(), strict=True)]
-        return {c: rows.column(c) for c in columns} | {text: new}
+    def make(batch, texts, found):
+        whole = batch.column(body).to_pylist()
+        return {body: [replace_spans(t, s) for t, (_, s) in zip(whole, found, strict=True)]}
 
-    return back(map_rows(found, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns)))
+    return back(_pass(plain, body, others, f"`{body}` string", make, support, disclosure, sent))

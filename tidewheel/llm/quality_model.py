@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import map_rows, pieces
+from tidewheel.session import small_batches
 
 #: Words are hashed to so many rows of so many dimensions: the model's size is fixed.
 BUCKETS, DIM = 1 << 15, 48
@@ -103,6 +104,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     schema = "block int, sums binary"
+    small_batches(docs.sparkSession)
     width = min(BUCKETS // BLOCK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.select(text).mapInArrow(local, schema).repartition(width, "block").mapInArrow(total, schema)
     vectors = np.zeros((BUCKETS // BLOCK, BLOCK * DIM))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.bpe import load, tokenizer_path
 from tidewheel.llm.common import pieces
-from tidewheel.session import new_path
+from tidewheel.session import new_path, small_batches
 
 #: Stands for a null document id in the files.
 NO_ID = -(2**63)
@@ -71,6 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     spark = docs.sparkSession
+    small_batches(spark)
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)
     top = max([end_id, *vocabulary["model"]["vocab"].values(), *(x["id"] for x in vocabulary["added_tokens"])])
