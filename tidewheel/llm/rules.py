@@ -175,13 +175,15 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", s
     The sample only decides the order in which rules run; a document's verdict, which is
     whether any rule rejects it, is the same in every order.
     """
-    drawn = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample)
+    drawn = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0)
 
     def figures(rows):
         texts = [Text(x) for x in rows.column("text").to_pylist()]
         return {"b": [len(t.raw) for t in texts], "w": [t.n_words for t in texts], "l": [t.raw.count(b"\n") + 1 for t in texts], "hit": [[bool(r.rejects(t)) for r in rules] for t in texts]}
 
-    return order_rules(rules, sorted(tuple(r) for r in map_rows(drawn, figures, "b long, w long, l long, hit array<boolean>").collect()), known)
+    # the limit stands last, so that only as many partitions are read as it takes
+    few = map_rows(drawn, figures, "b long, w long, l long, hit array<boolean>").limit(sample).collect()
+    return order_rules(rules, sorted(tuple(r) for r in few), known)
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + ADDED_RULES, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
