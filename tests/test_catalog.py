@@ -94,3 +94,43 @@ def test_newest_score_is_by_string(spark, catalog):
 def test_ingest_once(spark, catalog):
     catalog.ingest(rows(spark)["episodes"])
     assert catalog.table("episodes").count() == 3
+
+
+def test_ingest_of_a_dataset(spark, tmp_path):
+    """Read, hashed, scored and registered once; a second run, copies and a run in parts add nothing."""
+    import numpy as np
+
+    from tidewheel.sources import lerobot
+
+    t = np.arange(60) / 15
+    rows = []
+    for e, k in enumerate((1.0, 2.0, 1.0)):  # the third is a copy of the first
+        q = np.stack([np.sin(t * k), np.cos(t * k)], 1)
+        rows += [(f"e{e}", i, float(t[i]), q[i].tolist(), (q[i] * 0.9).tolist()) for i in range(60)]
+    frames = spark.createDataFrame(rows, "episode_id string, frame_index long, timestamp double, state array<double>, action array<double>")
+    said = spark.createDataFrame([(f"e{e}", "stir the pot") for e in range(3)], "episode_id string, language_instruction string")
+    root = f"file://{tmp_path}/d"
+    lerobot.write_v3(frames, said, root, 15.0, "franka")
+    c = Catalog.init(spark, f"file://{tmp_path}/c")
+    assert c.ingest_dataset(root, batches=2) == {"seen": 3, "registered": 2, "skipped": 1, "scored": 2}
+    assert c.ingest_dataset(root)["registered"] == 0
+    e = c.table("episodes").orderBy("episode_id").collect()
+    assert {r["robot"] for r in e} == {"franka"} and all(r["fps"] == 15 and r["num_frames"] == 60 and r["duration_s"] == 4 and r["state_dim"] == 2 and r["language_instruction"] == "stir the pot" for r in e)
+    assert {r["extra"]["source_episode_id"] for r in e} == {"episode_000000", "episode_000001"}
+    q = c.latest_quality().collect()
+    assert len(q) == 2 and all(r["overall_score"] > 0 and r["ldlj"] < 0 and r["overall_saturation"] is None and r["state_action_consistency"] is not None for r in q)
+    assert c.studio().count() == 2 and c.label_counts().count() == 0
+
+
+def test_losers_in_sql(spark, catalog):
+    catalog.compute_edges("m@1")
+    found = lambda policy, at=0.9: [r[0] for r in catalog.query(f"SELECT * FROM v_dup_losers({at}, '{policy}')").collect()]
+    assert found("higher-quality") == ["e1"] and found("longer") == ["e0"] and found("longer", 1.1) == []
+
+
+def test_embedding_skips_what_is_there(spark, catalog):
+    images = spark.createDataFrame([(e, "top", i, [float(i), float(e[1])]) for e in ("e0", "n1", "n2") for i in range(40)], "episode_id string, camera string, frame_index long, image array<double>")
+    make = lambda: lambda rows: [[sum(x), 1.0] for x in rows]
+    assert catalog.embed(images, "sum@1", 10.0, make=make) == 3 and catalog.embed(images, "sum@1", 10.0, make=make) == 0
+    row = catalog.table("embeddings").where("model_id = 'sum@1' and episode_id = 'n2'").first()
+    assert row["num_frames_sampled"] == 4 and row["vector"] == [17.0, 1.0] and row["camera"] == "top"

@@ -73,23 +73,46 @@ def lint_episodes(episodes: DataFrame, task: str = "language_instruction", frame
     return episodes.select("episode_id", F.explode(issues).alias("i")).select("episode_id", "i.code", "i.severity")
 
 
-def lint_dataset(frames: DataFrame, columns: tuple[str, ...] = ("action", "state")) -> DataFrame:
-    """Dataset-wide issues: no frame at all, a column missing, or of several widths."""
+def lint_dataset(frames: DataFrame, columns: tuple[str, ...] = ("action", "state"), episodes: DataFrame | None = None, task: str = "language_instruction") -> DataFrame:
+    """Dataset-wide issues: no frame at all, a column missing or of several widths, instructions missing in all or some episodes."""
     sizes = frames.agg(F.count("*").alias("n"), *(F.count_distinct(F.size(c)).alias(f"{c}_d") for c in columns), *(F.count(c).alias(f"{c}_n") for c in columns))
     rules = [("dataset.empty", "error", F.col("n") == 0)]
     for c in columns:
         rules += [(f"{c}.missing", "warn", (F.col("n") > 0) & (F.col(f"{c}_n") == 0)), (f"{c}.inconsistent_dim", "error", F.col(f"{c}_d") > 1)]
+    if episodes is not None:
+        said = episodes.agg(F.count("*").alias("_e"), F.count_if(F.trim(F.coalesce(F.col(task), F.lit(""))) != "").alias("_t"))
+        sizes = sizes.crossJoin(said)  # one row each
+        rules += [("task.missing", "warn", (F.col("_e") > 0) & (F.col("_t") == 0)), ("task.partial_coverage", "warn", (F.col("_t") > 0) & (F.col("_t") < F.col("_e")))]
     issues = F.array_compact(F.array(*(F.when(w, F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for c, s, w in rules)))
     return sizes.select(F.explode(issues).alias("i")).select("i.*")
 
 
-def lint_cameras(cameras: DataFrame, min_views: int = 2, min_width: int = 640, min_height: int = 480) -> DataFrame:
-    """Camera issues from rows ``episode_id, name, width, height``."""
-    name = F.lower("name")
-    per = cameras.select("episode_id", F.when(name.isin(*AMBIGUOUS_CAMERAS), "camera.ambiguous").alias("a"), F.when((F.col("width") < min_width) | (F.col("height") < min_height), "camera.low_resolution").alias("b"))
+def lint_cameras(cameras: DataFrame, episodes: DataFrame | None = None, min_views: int = 2, min_width: int = 640, min_height: int = 480) -> DataFrame:
+    """Camera issues ``episode_id, code, severity`` from rows ``episode_id, name, width, height``.
+
+    A name is judged by what follows its last dot. With ``episodes``, those without any
+    camera are named too. Episodes that differ in their cameras give one row without an id.
+    """
+    name = F.lower(F.element_at(F.split("name", r"\."), -1))
+    per = cameras.select("episode_id", F.when(name.isin(*AMBIGUOUS_CAMERAS), "camera.ambiguous_name").alias("a"), F.when((F.col("width") < min_width) | (F.col("height") < min_height), "camera.low_resolution").alias("b"))
     one = per.select("episode_id", F.explode(F.array_compact(F.array("a", "b"))).alias("code")).distinct()
-    few = cameras.groupBy("episode_id").agg(F.count_distinct("name").alias("n")).where(F.col("n") < min_views).select("episode_id", F.lit("camera.too_few_views").alias("code"))
-    return one.unionByName(few)
+    views = cameras.groupBy("episode_id").agg(F.count_distinct("name").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
+    found = one.unionByName(views.where(F.col("n") < min_views).select("episode_id", F.lit("camera.too_few_views").alias("code")))
+    if episodes is not None:
+        found = found.unionByName(episodes.join(views, "episode_id", "left_anti").select("episode_id", F.lit("camera.none").alias("code")))
+    kind = cameras.schema["episode_id"].dataType.simpleString()
+    differ = views.agg(F.count_distinct("names").alias("n")).where("n > 1").select(F.lit(None).cast(kind).alias("episode_id"), F.lit("camera.inconsistent_keys").alias("code"))
+    mild = F.col("code").isin("camera.too_few_views", "camera.low_resolution")
+    return found.unionByName(differ).withColumn("severity", F.when(mild, "info").otherwise("warn"))
+
+
+def analysis_needed(rules: FilterRules, reader: dict[str, tuple[str, ...]]) -> set[str]:
+    """Which costly analyses a filter needs: those of ``reader`` whose columns it bounds.
+
+    Without a bound on any, none has to run. ``reader`` maps an analysis (pixels, motion) to
+    its columns.
+    """
+    return {kind for kind, columns in reader.items() if any(c in rules.video and rules.video[c] != (None, None) for c in columns)}
 
 
 def dimension_stats(frames: DataFrame, column: str, key: list[str], first: int | None = None) -> DataFrame:

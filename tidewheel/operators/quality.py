@@ -274,7 +274,7 @@ def episode_metrics(
     ``gripper``: the channels, if any. ``limits``: of the commands; without them there is no
     saturation. ``dims`` and ``scales``: of the state. ``spectra``: also ``sparc``, the
     shares of power by band, the variance of actions in like states and the flag
-    ``psd_high_band_chatter``, by a pass on Arrow batches. ``tracking_pairs``: see
+    ``psd_high_band_chatter``, and the ``content_hash``, by a pass on Arrow batches. ``tracking_pairs``: see
     ``diagnostics.tracking``.
 
     Two reads, each shuffled once by episode: what needs the frames' order (windows of
@@ -299,7 +299,7 @@ def episode_metrics(
     out = out.join(by_dim, "episode_id", "left")
     if spectra:
         # joined by episode; the kernels hold one episode at a time
-        out = out.join(kernels.episode_kernels(_checked(frames, fps).select(frames.columns), fps).drop("n_frames", "content_hash"), "episode_id", "left")
+        out = out.join(kernels.episode_kernels(_checked(frames, fps).select(frames.columns), fps).drop("n_frames"), "episode_id", "left")
     if tracking_pairs:
         follow, stalls = diagnostics.tracking(frames, fps, tracking_pairs, tracking_lag_s, scales)
         out = out.join(follow, "episode_id", "left").join(stalls.groupBy("episode_id").agg(F.count("*").alias("n_stalls")), "episode_id", "left")

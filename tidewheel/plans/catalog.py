@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import cosine, latest, mean_vector, similar_pairs
-from tidewheel.plans.schema import SCHEMA_VERSION, TABLES, conform, schema_of
+from tidewheel.plans.schema import METRICS, SCHEMA_VERSION, TABLES, conform, schema_of
 
 POLICIES = ("higher-quality", "longer", "first")
 LABELS = ("approved", "rejected", "held")
@@ -21,7 +21,7 @@ class Files:
     """Small files through the cluster's own file systems."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
+        self.jvm, self.gateway, self.root = spark.sparkContext._jvm, spark.sparkContext._gateway, root.rstrip("/")
         self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str):
@@ -38,14 +38,19 @@ class Files:
             with_.close()
 
     def write(self, name: str, text: str) -> None:
-        """Whole or not at all: written under another name, then renamed."""
+        """Written under another name, then renamed; where the store can, the rename replaces an older file at once."""
         temp = f"{name}.{uuid.uuid4().hex}.tmp"
         out = self.fs.create(self.path(temp), True)
         out.write(text.encode())
         out.close()
-        if self.exists(name):
-            self.fs.delete(self.path(name), False)
-        self.fs.rename(self.path(temp), self.path(name))
+        if not self.exists(name):
+            self.fs.rename(self.path(temp), self.path(name))
+            return
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(temp).toUri(), self.fs.getConf())
+        replace = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = replace
+        context.rename(self.path(temp), self.path(name), options)
 
     def glob(self, pattern: str) -> list[str]:
         found = self.fs.globStatus(self.path(pattern))
@@ -116,6 +121,9 @@ class Catalog:
         self.curation().createOrReplaceTempView("v_curation")
         for policy in POLICIES:
             self.dup_losers(0.0, policy, keep_similarity=True).createOrReplaceTempView(f"v_dup_losers_{policy.replace('-', '_')}")
+        self.spark.sql("DROP TEMPORARY FUNCTION IF EXISTS v_dup_losers")
+        chosen = " UNION ALL ".join(f"SELECT episode_id, similarity, '{p}' AS policy FROM v_dup_losers_{p.replace('-', '_')}" for p in POLICIES)
+        self.spark.sql(f"CREATE TEMPORARY FUNCTION v_dup_losers(thr DOUBLE, chosen STRING) RETURNS TABLE (episode_id STRING) RETURN SELECT DISTINCT l.episode_id FROM ({chosen}) l WHERE l.similarity >= v_dup_losers.thr AND l.policy = v_dup_losers.chosen")
 
     def query(self, sql: str) -> DataFrame:
         """A single SELECT (or WITH) over the catalog's tables and views."""
@@ -188,13 +196,81 @@ class Catalog:
         x = e.join(q, "episode_id", "left").withColumn("task", F.coalesce("task", F.lit("(none)")))
         return x.groupBy("task").agg(F.count("*").alias("episodes"), F.sum("num_frames").alias("frames"), F.sum("duration_s").alias("seconds"), F.min("overall_score").alias("min_score"), F.avg("overall_score").alias("avg_score"), F.median("overall_score").alias("median_score"), F.max("overall_score").alias("max_score"))
 
-    def ingest(self, episodes: DataFrame, scores: DataFrame | None = None) -> str:
+    def ingest(self, episodes: DataFrame, scores: DataFrame | None = None, batch_id: str | None = None) -> str:
         """Register episodes whose content is not there yet; of equal ones, the first id."""
         new = latest(episodes, ["content_hash"], F.col("episode_id")).join(self.table("episodes").select("content_hash"), "content_hash", "left_anti")
         tables = {"episodes": new}
         if scores is not None:
             tables["quality_scores"] = scores.join(new.select("episode_id"), "episode_id", "left_semi")
-        return self.commit(tables)
+        return self.commit(tables, batch_id)
+
+    def ingest_dataset(self, path: str, fps: float | None = None, robot: str | None = None, scorer: str = "q-v2", batches: int = 1, **settings) -> dict[str, int]:
+        """Read a dataset, hash, score and register its episodes.
+
+        Episodes whose content is in the catalog, or comes twice in the dataset, are passed
+        over. Ids follow from source and content, so a repeated run makes the same. With
+        several ``batches``, episodes are committed part by part, dealt by their hash, and
+        ``_batches/<id>/_checkpoint.json`` says how far a run came; a run that was cut short is
+        taken up by running it again. ``fps`` is the dataset's own if it is not given, else that
+        of its times, and 30 to judge by if neither tells. ``settings`` go to ``episode_metrics``.
+        """
+        from tidewheel.operators import inspect, quality
+        from tidewheel.session import materialize
+        from tidewheel.sources import datasets, lerobot
+
+        kind = lerobot.detect_format(self.spark, path)
+        meta = lerobot.info(self.spark, path) if kind in ("lerobot-v2", "lerobot-v3", "groot") else {}
+        frames, said = datasets.open_dataset(self.spark, path, fps or meta.get("fps") or 30.0)
+        stored = fps or meta.get("fps")
+        if not stored:
+            rates = inspect.frame_rate(inspect.first_episodes(frames, 5, 100)).where("fps is not null").orderBy("episode_id").take(1)
+            stored = rates[0]["fps"] if rates else 0.0
+        frames = frames.withColumn("episode_id", F.col("episode_id").cast("string"))
+        metrics = quality.episode_metrics(frames, float(stored or 30.0), spectra=True, **settings)
+        sizes = frames.groupBy("episode_id").agg(F.min_by(F.size("state"), "frame_index").alias("state_dim"), F.min_by(F.size("action"), "frame_index").alias("action_dim"))
+        scored = materialize(metrics.join(sizes, "episode_id").join(said.withColumn("episode_id", F.col("episode_id").cast("string")), "episode_id", "left"), "scored")
+        ranked = latest(scored, ["content_hash"], F.col("episode_id"))
+        batch, now = uuid.uuid4().hex, _now()
+        ids = F.substring(F.sha2(F.concat_ws("|", F.lit(path), "episode_id", "content_hash"), 256), 1, 32)
+        dim = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("short"))
+        per = float(stored or 0.0)
+        episodes = ranked.select(
+            ids.alias("episode_id"), "content_hash", F.lit(path).alias("source_uri"), F.lit(kind).alias("source_format"), F.lit(robot or meta.get("robot_type")).cast("string").alias("robot"),
+            F.lit(None).cast("string").alias("task"), "language_instruction", F.col("num_frames").cast("int").alias("num_frames"), F.when(F.lit(per) > 0, F.col("num_frames") / F.lit(per or 1.0)).otherwise(0.0).cast("float").alias("duration_s"), F.lit(per).cast("float").alias("fps"),
+            F.array().cast("array<struct<name:string,width:int,height:int,fps:float>>").alias("cameras"), dim("state_dim").alias("state_dim"), dim("action_dim").alias("action_dim"), F.lit(batch).alias("ingest_batch_id"), F.lit(now).alias("ingested_at"), F.create_map(F.lit("source_episode_id"), "episode_id").alias("extra"),
+        )
+        number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None)).cast("float")
+        named = {"psd_high_fraction": "psd_high", "state_action_consistency": "neighbour_variance"}
+        scores = ranked.select(ids.alias("episode_id"), F.lit(scorer).alias("scorer_version"), number("overall_score").alias("overall_score"), *(number(named.get(m, m)).alias(m) for m in METRICS), "flags", F.lit(now).alias("computed_at"))
+        seen, before = scored.count(), self.table("episodes").count()
+        part = F.pmod(F.xxhash64("content_hash"), F.lit(batches))
+        of_part = episodes.select("episode_id", "content_hash")
+        for k in range(batches):
+            mine = episodes.where(part == k)
+            self.ingest(mine, scores.join(of_part.where(part == k).select("episode_id"), "episode_id", "left_semi"), f"{batch}-{k}" if batches > 1 else batch)
+            self.files.write(f"_batches/{batch}/_checkpoint.json", json.dumps({"batch_id": batch, "source_uri": path, "parts": batches, "done": k + 1, "updated_at": _now().isoformat()}))
+        registered = self.table("episodes").count() - before
+        return {"seen": seen, "registered": registered, "skipped": seen - registered, "scored": scores.where("overall_score is not null").count()}
+
+    def embed(self, images: DataFrame, model: str, fps: float | None = None, pooling: str = "mean", make=None) -> int:
+        """Vectors of episodes that have none of the model yet; how many rows were added."""
+        from tidewheel.operators.sampling import embed_episodes
+        from tidewheel.session import materialize
+
+        made = materialize(embed_episodes(images, model, fps, self.table("embeddings"), pooling, make=make), "vectors")
+        if not (n := made.count()):
+            return 0
+        self.commit({"embeddings": made})
+        return n
+
+    def studio(self) -> DataFrame:
+        """Every episode with its latest score and label, the best first, those without a score last."""
+        scores = self.latest_quality().select("episode_id", "overall_score", "flags")
+        labels = self.curation().select("episode_id", "label", "reason")
+        return self.table("episodes").join(scores, "episode_id", "left").join(labels, "episode_id", "left").orderBy(F.desc_nulls_last("overall_score"), "episode_id")
+
+    def label_counts(self) -> DataFrame:
+        return self.curation().groupBy("label").agg(F.count("*").alias("episodes"))
 
 
 def dup_losers(edges: DataFrame, quality: DataFrame, episodes: DataFrame, policy: str = "higher-quality", keep_similarity: bool = False) -> DataFrame:

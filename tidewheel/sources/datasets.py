@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.sources import lerobot, rlds, zarr
+from tidewheel.sources import lerobot, messages, rlds, zarr
 
-READABLE = ("lerobot-v2", "lerobot-v3", "groot", "rlds", "zarr")
+READABLE = ("lerobot-v2", "lerobot-v3", "groot", "rlds", "zarr", "mcap")
 WRITABLE = ("lerobot-v3", "rlds")
 COLUMNS = ("episode_id", "frame_index", "timestamp", "action", "state")
 
@@ -30,6 +30,9 @@ def open_dataset(spark: SparkSession, root: str, fps: float = 30.0) -> tuple[Dat
     if kind == "zarr":
         frames = zarr.read_frames(spark, root).withColumn("timestamp", F.coalesce("timestamp", F.col("frame_index") / fps))
         return frames.select(*COLUMNS), frames.select("episode_id").distinct().withColumn("language_instruction", F.lit(None).cast("string"))
+    if kind == "mcap":
+        frames, episodes = messages.read_episodes(spark, root)
+        return frames.select(*COLUMNS), episodes
     return lerobot.read_frames(spark, root).select(*COLUMNS), lerobot.read_episodes(spark, root).select("episode_id", "language_instruction")
 
 

@@ -61,12 +61,30 @@ def read_tasks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_episodes(spark: SparkSession, root: str) -> DataFrame:
-    """One row per episode: length, widths, and its instruction by the first frame's task."""
+    """One row per episode: length, widths, and its instruction: the first task that its own record names, else that of its first frame."""
     x = read_frames(spark, root)
     fps = float(info(spark, root).get("fps") or 0)
     per = x.groupBy("episode_id").agg(F.count("*").alias("num_frames"), F.min_by("task_index", "frame_index").alias("task_index"), F.max(F.size("state")).alias("state_dim"), F.max(F.size("action")).alias("action_dim"))
     per = per.withColumns({"fps": F.lit(fps), "duration_s": F.when(F.lit(fps) > 0, F.col("num_frames") / fps).otherwise(0.0)})
-    return per.join(read_tasks(spark, root), "task_index", "left").withColumnRenamed("task", "language_instruction")
+    out = per.join(read_tasks(spark, root), "task_index", "left")
+    own = episode_tasks(spark, root)
+    if own is not None:
+        out = out.join(own, "episode_id", "left").withColumn("task", F.coalesce("_own", "task")).drop("_own")
+    return out.withColumnRenamed("task", "language_instruction")
+
+
+def episode_tasks(spark: SparkSession, root: str) -> DataFrame | None:
+    """``episode_id`` and the first task of each episode's record, from Parquet or JSON lines; None without records."""
+    files = Files(spark, root)
+    if files.exists("meta/episodes"):
+        x = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/meta/episodes")
+    elif files.exists("meta/episodes.jsonl"):
+        x = spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{root}/meta/episodes.jsonl")
+    else:
+        return None
+    if "tasks" not in x.columns:
+        return None
+    return x.select(F.format_string("episode_%06d", F.col("episode_index").cast("long")).alias("episode_id"), F.get("tasks", 0).alias("_own"))
 
 
 def write_v3(frames: DataFrame, episodes: DataFrame, root: str, fps: float, robot: str = "unknown") -> None:
@@ -75,6 +93,7 @@ def write_v3(frames: DataFrame, episodes: DataFrame, root: str, fps: float, robo
     ``frames``: ``episode_id, frame_index, timestamp, action, state``; ``episodes``:
     ``episode_id, language_instruction``. Episodes are numbered by id, tasks in the order
     of their first episode; an episode without an instruction has the task "default".
+    Frames may have ``action_tokens`` beside or instead of ``action``.
     """
     spark = frames.sparkSession
     sizes = frames.groupBy("episode_id").agg(F.count("*").alias("length"))
@@ -86,20 +105,26 @@ def write_v3(frames: DataFrame, episodes: DataFrame, root: str, fps: float, robo
     x = frames.join(full.select("episode_id", "episode_index", "task_index", "_base"), "episode_id")
     out = x.select(
         "episode_index", F.col("frame_index").cast("long").alias("frame_index"), (F.col("_base") + F.col("frame_index")).cast("long").alias("index"), "task_index",
-        F.coalesce(F.col("timestamp"), F.col("frame_index") / fps).cast("float").alias("timestamp"), F.col("state").cast("array<float>").alias("observation.state"), F.col("action").cast("array<float>").alias("action"),
+        F.coalesce(F.col("timestamp"), F.col("frame_index") / fps).cast("float").alias("timestamp"), F.col("state").cast("array<float>").alias("observation.state"),
+        *([F.col("action").cast("array<float>").alias("action")] if "action" in x.columns else []), *([F.col("action_tokens").cast("array<bigint>").alias("action_tokens")] if "action_tokens" in x.columns else []),
     )
     out.repartitionByRange("episode_index", "frame_index").sortWithinPartitions("episode_index", "frame_index").write.parquet(f"{root}/data")
     full.select("episode_index", F.array("task").alias("tasks"), "length").write.parquet(f"{root}/meta/episodes")
     tasks.coalesce(1).write.parquet(f"{root}/meta/tasks.parquet")
     pooled = {}
     for name, column in (("observation.state", "state"), ("action", "action")):
+        if column not in frames.columns:
+            continue
         stats = dimension_stats(frames, column, ["episode_id"])
         rows = pooled_stats(stats).orderBy("dim").collect()  # one row per dimension
         pooled[name] = {k: [r[k] for r in rows] for k in ("min", "max", "mean", "std")} | {"count": [rows[0]["count"] if rows else 0]}
     total = sizes.agg(F.count("*"), F.sum("length")).first()
+    tokens = {}
+    if "action_tokens" in frames.columns:
+        tokens = {"action_tokens": {"dtype": "int64", "shape": [frames.agg(F.max(F.size("action_tokens"))).first()[0] or 0], "names": None}}
     files = Files(spark, root)
     files.write("meta/stats.json", json.dumps(pooled))
-    files.write("meta/info.json", json.dumps({"codebase_version": "v3.0", "robot_type": robot, "fps": fps, "total_episodes": total[0], "total_frames": total[1] or 0, "features": {k: {"dtype": "float32", "shape": [len(v["min"])], "names": None} for k, v in pooled.items()}}))
+    files.write("meta/info.json", json.dumps({"codebase_version": "v3.0", "robot_type": robot, "fps": fps, "total_episodes": total[0], "total_frames": total[1] or 0, "features": {k: {"dtype": "float32", "shape": [len(v["min"])], "names": None} for k, v in pooled.items()} | tokens}))
 
 
 HUB_URL = re.compile(r"^hf://(?P<org>[^/:@]+)/(?P<repo>[^/:@]+)(?::(?P<subset>[^@]+))?(?:@(?P<revision>.+))?$")
