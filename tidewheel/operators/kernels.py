@@ -53,17 +53,22 @@ def psd_bands(x: np.ndarray, fps: float, low: float = 2.0, high: float = 8.0) ->
     return float(lo.mean()), float(mid.mean()), float(hi.mean())
 
 
-def neighbour_variance(states: np.ndarray, actions: np.ndarray, k: int = 5, block: int = 512) -> float | None:
-    """Variance of the actions taken in each frame's ``k`` nearest states, averaged."""
+def neighbour_variance(states: np.ndarray, actions: np.ndarray, k: int = 5, block: int = 256) -> float | None:
+    """Variance of the actions taken in each frame's ``k`` nearest states, averaged; the earlier frame on a tie."""
     n = len(states)
     if n < k + 2 or len(actions) != n:
         return None
-    square, total = (states**2).sum(1), 0.0
+    total = 0.0
     for at in range(0, n, block):
-        d = square[at : at + block, None] + square[None] - 2 * states[at : at + block] @ states.T
+        some = states[at : at + block]
+        d = np.zeros((len(some), n))
+        for j in range(states.shape[1]):
+            d += (some[:, j : j + 1] - states[None, :, j]) ** 2
         d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-        near = np.argpartition(d, k, axis=1)[:, :k]
-        total += actions[near].var(axis=1).mean(axis=1).sum()
+        last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        near, tie = d < last, d == last
+        near |= tie & (tie.cumsum(axis=1) <= k - near.sum(axis=1, keepdims=True))
+        total += actions[np.nonzero(near)[1].reshape(-1, k)].var(axis=1).mean(axis=1).sum()
     return float(total / n)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewheel.functions import vectors as V
-from tidewheel.operators import action_tokens, curation, diagnostics, kernels, quality, segment, temporal, video
+from tidewheel.operators import action_tokens, curation, diagnostics, images, inspect, kernels, quality, sampling, segment, temporal, video
 from tidewheel.plans.catalog import dup_losers
 from tidewheel.plans.relational import ORACLES as RELATIONAL_SQL
 from tidewheel.plans.relational import QUERIES as RELATIONAL
@@ -124,6 +124,33 @@ def video_camera_quality(spark, sf_dir):
 
 
 
+@query(
+    f"""WITH {_CAM}, r AS (SELECT ep, cam, run, count(*) FILTER (fz) AS n FROM c2 GROUP BY ALL), m AS (SELECT ep, cam, max(n) AS n FROM r GROUP BY ALL),
+q AS (SELECT ep, cam, min(abs(value)) FILTER (ok) AS sh, avg(CAST(abs(value) < 100 AS INT)) FILTER (ok) AS bl, avg(CAST((id % 19) / 50 > 0.2 AS INT)) FILTER (ok) AS ov, any_value(m.n) AS fr FROM c2 JOIN m USING (ep, cam) GROUP BY ep, cam)
+SELECT ep AS episode_id, count(*) AS cameras, round(min(sh), 6) AS min_sharpness, round(max(bl), 6) AS blurry_fraction, round(max(ov), 6) AS overexposed_fraction, CAST(max(fr) AS BIGINT) AS max_frozen_run FROM q GROUP BY ep"""
+)
+def video_rollup(spark, sf_dir):
+    r = video.episode_rollup(video.camera_quality(camera_frames(spark, sf_dir), 0.01))
+    return r.select("episode_id", "cameras", *(r6(c).alias(c) for c in ("min_sharpness", "blurry_fraction", "overexposed_fraction")), F.col("max_frozen_run").cast("long").alias("max_frozen_run"))
+
+
+_HASH = "CAST(user_id // 3 AS BIGINT) * 2862933555777 + CAST({k} AS BIGINT) * 40503"
+
+
+@query(
+    f"""WITH RECURSIVE u AS (SELECT DISTINCT user_id FROM events), h AS (SELECT u.user_id AS ep, k, xor({_HASH.format(k="k")}, CAST(CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 7 END AS BIGINT)) AS h FROM u, range(0, 4) g(k)),
+d AS (SELECT a.ep AS a, b.ep AS b, avg(bit_count(xor(a.h, b.h)) / 64) AS d FROM h a JOIN h b ON a.k = b.k AND a.ep < b.ep GROUP BY ALL), l AS (SELECT a, b FROM d WHERE d <= 0.1 UNION SELECT b, a FROM d WHERE d <= 0.1),
+r(ep, to_ep) AS (SELECT user_id, user_id FROM u UNION SELECT r.ep, l.b FROM r JOIN l ON l.a = r.to_ep) SELECT ep AS episode_id, min(to_ep) AS representative, ep = min(to_ep) AS kept FROM r GROUP BY ep"""
+)
+def perceptual_duplicates(spark, sf_dir):
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("keyframe")
+    x = u.select("user_id", k)
+    flip = F.when(F.col("user_id") % 3 == 0, 0).when(F.col("user_id") % 3 == 1, 5).otherwise(7).cast("long")
+    h = (F.floor(F.col("user_id") / 3).cast("long") * F.lit(2862933555777) + F.col("keyframe").cast("long") * 40503).bitwiseXOR(flip)
+    return images.duplicate_clusters(x.select(F.col("user_id").alias("episode_id"), F.lit("top").alias("camera"), "keyframe", h.alias("hash")))
+
+
 # --- multi-rate streams -------------------------------------------------------------------
 
 
@@ -352,9 +379,35 @@ def tracking_stall(spark, sf_dir):
     return x.select("episode_id", *(r6(n).alias(n) for n in ("tracking_mean", "tracking_p95", "stall_fraction")))
 
 
+def timed_frames(spark, sf_dir):
+    """Twenty frames a second, whatever the events' times."""
+    return frames(spark, sf_dir).withColumn("timestamp", F.col("frame_index") / 20.0)
+
+
 @query()
 def episode_kernels(spark, sf_dir):
-    return kernels.episode_kernels(frames(spark, sf_dir), 20.0)
+    return kernels.episode_kernels(timed_frames(spark, sf_dir), 20.0)
+
+
+@query(
+    f"""WITH {_F}, {_ACTION}, c AS (SELECT *, x - avg(x) OVER (PARTITION BY ep, dim) AS y, count(*) OVER (PARTITION BY ep, dim) AS n FROM x),
+w AS (SELECT ep, dim, n, k, pow(sum(y * cos(2 * pi() * k * i / n)), 2) + pow(sum(y * sin(2 * pi() * k * i / n)), 2) AS p FROM c, range(0, 100000) r(k) WHERE k <= n // 2 AND n >= 4 GROUP BY ALL),
+s AS (SELECT ep, dim, sum(p) AS t, sum(CASE WHEN k * 20.0 / n <= 2 THEN p ELSE 0 END) AS lo, sum(CASE WHEN k * 20.0 / n > 8 THEN p ELSE 0 END) AS hi FROM w GROUP BY ep, dim)
+SELECT ep AS episode_id, round(avg(CASE WHEN t > 1e-18 THEN lo / t ELSE 0 END), 5) AS psd_low, round(avg(CASE WHEN t > 1e-18 THEN (t - lo - hi) / t ELSE 0 END), 5) AS psd_mid, round(avg(CASE WHEN t > 1e-18 THEN hi / t ELSE 0 END), 5) AS psd_high FROM s GROUP BY ep"""
+)
+def action_spectrum(spark, sf_dir):
+    x = kernels.episode_kernels(timed_frames(spark, sf_dir), 20.0)
+    return x.select("episode_id", *(F.round(c, 5).alias(c) for c in ("psd_low", "psd_mid", "psd_high")))
+
+
+@query(
+    f"""WITH {_F}, d AS (SELECT a.ep, a.i, b.a0, b.a1, row_number() OVER (PARTITION BY a.ep, a.i ORDER BY (a.s0 - b.s0) * (a.s0 - b.s0) + (a.s1 - b.s1) * (a.s1 - b.s1), b.i) AS r FROM f a JOIN f b ON a.ep = b.ep AND a.i <> b.i),
+v AS (SELECT ep, i, (var_pop(a0) + var_pop(a1)) / 2 AS v FROM d WHERE r <= 5 GROUP BY ep, i), n AS (SELECT ep, count(*) AS n FROM f GROUP BY ep)
+SELECT n.ep AS episode_id, CASE WHEN n >= 7 THEN round(avg(v), 5) END AS variance FROM n LEFT JOIN v ON v.ep = n.ep GROUP BY n.ep, n"""
+)
+def state_conditioned_variance(spark, sf_dir):
+    x = kernels.episode_kernels(timed_frames(spark, sf_dir), 20.0)
+    return x.select("episode_id", F.round("neighbour_variance", 5).alias("variance"))
 
 
 # --- diagnostics --------------------------------------------------------------------------
@@ -422,6 +475,59 @@ def phase_labels(spark, sf_dir):
     return segment.label_phases(x, pieces, "state", "gripper").select("episode_id", "segment", "label")
 
 
+@query(f"WITH {_F}, s AS (SELECT ep, count(DISTINCT i // 10) AS n FROM f GROUP BY ep) SELECT round(avg(n), 6) AS mean_segments, min(n) AS min_segments, max(n) AS max_segments, CAST(sum(n - 1) AS BIGINT) AS total_changepoints, list_sort(list(n))[count(*) // 2 + 1] AS median_segments FROM s")
+def segment_summary(spark, sf_dir):
+    pieces = frames(spark, sf_dir).select("episode_id", F.floor(F.col("frame_index") / 10).alias("segment")).distinct()
+    return segment.segment_summary(pieces).withColumn("mean_segments", r6("mean_segments"))
+
+
+# --- what the numbers say -----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_F}, d AS (SELECT ep, t - lag(t) OVER {_W} AS dt FROM f), m AS (SELECT *, median(dt) OVER (PARTITION BY ep) AS mid FROM d WHERE dt IS NOT NULL),
+s AS (SELECT ep, max(mid) AS mid, CASE WHEN count(*) FILTER (dt > mid * 0.5 AND dt < mid * 2) >= 2 THEN avg(dt) FILTER (dt > mid * 0.5 AND dt < mid * 2) ELSE avg(dt) END AS step FROM m GROUP BY ep), r AS (SELECT *, 1 / step AS r FROM s)
+SELECT ep AS episode_id, CASE WHEN mid > 0 AND step > 0 THEN coalesce({", ".join(f"CASE WHEN abs(r - {c}) < 2 THEN {c}.0 END" for c in inspect.COMMON_FPS)}, round(r, 1)) END AS fps FROM r"""
+)
+def inferred_frame_rate(spark, sf_dir):
+    return inspect.frame_rate(frames(spark, sf_dir))
+
+
+_REWARD = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 9) / 4.0 - 1 END"
+
+
+@query(
+    f"WITH e AS (SELECT user_id AS ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {_REWARD} AS r FROM events), l AS (SELECT ep, arg_max(struct_pack(r := r), i).r AS last, sum(r) AS total FROM e GROUP BY ep) "
+    "SELECT ep AS episode_id, CASE WHEN last > 0.5 THEN true WHEN last < -0.5 THEN false WHEN total > 0.5 THEN true WHEN total < -0.5 THEN false END AS success FROM l"
+)
+def episode_success(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), F.row_number().over(w).alias("frame_index"), F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 9) / 4.0 - 1).alias("reward"), F.lead("event_id").over(w).isNull().alias("is_last"))
+    return inspect.success(x)
+
+
+@query(f"WITH {_F}, n AS (SELECT ep, count(*) AS n FROM f GROUP BY ep), k AS (SELECT ep, CAST(floor(k * (n - 1) / 6) AS BIGINT) AS i FROM n, range(0, 7) r(k) WHERE n > 7 UNION SELECT f.ep, f.i FROM f JOIN n USING (ep) WHERE n <= 7) SELECT DISTINCT ep AS episode_id, i AS frame_index FROM k")
+def evenly_spaced_frames(spark, sf_dir):
+    return inspect.every(frames(spark, sf_dir).select("episode_id", "frame_index"), ["episode_id"], 7, ["frame_index"])
+
+
+@query(f"WITH {_F}, s AS (SELECT ep, i, row_number() OVER {_W} - 1 AS j, count(*) OVER (PARTITION BY ep) AS n FROM f WHERE i % 2 = 0) SELECT ep AS episode_id, i AS frame_index FROM s WHERE n <= 8 OR j IN (SELECT CAST(round_even(k * (s.n - 1) / 7, 0) AS BIGINT) FROM range(0, 8) r(k))")
+def sampled_for_embedding(spark, sf_dir):
+    return sampling.sampled_frames(frames(spark, sf_dir), 2.0, 1.0, 8).select("episode_id", "frame_index")
+
+
+@query(
+    "WITH c AS (SELECT user_id AS ep, 'observation.images.' || event_type AS name, max(CASE WHEN event_id % 2 = 0 THEN 640 ELSE 320 END) AS w FROM events WHERE event_id % 3 > 0 GROUP BY ALL), v AS (SELECT ep, list_sort(list(name)) AS names, count(*) AS n FROM c GROUP BY ep), "
+    "o AS (SELECT DISTINCT ep, 'camera.low_resolution' AS code FROM c WHERE w < 640 UNION ALL SELECT ep, 'camera.too_few_views' FROM v WHERE n < 5 UNION ALL SELECT NULL, 'camera.inconsistent_keys' FROM (SELECT count(DISTINCT names) AS k FROM v) WHERE k > 1 "
+    "UNION ALL SELECT DISTINCT user_id, 'camera.none' FROM events WHERE user_id NOT IN (SELECT ep FROM v)) SELECT ep AS episode_id, code, CASE WHEN code IN ('camera.low_resolution', 'camera.too_few_views') THEN 'info' ELSE 'warn' END AS severity FROM o"
+)
+def lint_cameras(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    width = F.max(F.when(F.col("event_id") % 2 == 0, 640).otherwise(320))
+    cameras = e.where("event_id % 3 > 0").groupBy(F.col("user_id").alias("episode_id"), F.concat(F.lit("observation.images."), "event_type").alias("name")).agg(width.alias("width"), F.lit(480).alias("height"))
+    return curation.lint_cameras(cameras, e.select(F.col("user_id").alias("episode_id")).distinct(), min_views=5)
+
+
 _TOK = "WITH f AS (SELECT event_id, value AS a FROM events), "
 
 
@@ -457,6 +563,19 @@ def tokenizer_compare(spark, sf_dir):
     return action_tokens.compare(table(spark, sf_dir, "events").select(F.array("value").alias("action")), bins=64)
 
 
+_CMP = "SELECT '{s}' AS strategy, round(avg(power(d - a, 2)), 4) AS mse, round(avg(abs(d - a)), 4) AS mae, round(max(abs(d - a)), 4) AS max_abs, round(sqrt(avg(power(d - a, 2))), 4) AS rmse, least(1.0, count(DISTINCT k) / 16) AS vocab_used FROM ({q})"
+
+
+@query(
+    "WITH f AS (SELECT event_id, value AS a FROM events), b AS (SELECT min(a) AS lo, max(a) AS hi, quantile_cont(a, 0.01) AS p, quantile_cont(a, 0.99) AS q FROM f), "
+    "u AS (SELECT a, len(list_filter(range(1, 16), lambda e: lo + e * ((hi - lo) / 16) <= a)) AS k, lo + (k + 0.5) * ((hi - lo) / 16) AS d FROM f, b), o AS (SELECT a, len(list_filter(range(1, 16), lambda e: p + e * ((q - p) / 16) <= a)) AS k, p + (k + 0.5) * ((q - p) / 16) AS d FROM f, b) "
+    + " UNION ALL ".join(_CMP.format(s=s, q=q) for s, q in (("uniform-bins", "SELECT * FROM u"), ("openvla-bins", "SELECT * FROM o")))
+)
+def tokenizer_errors(spark, sf_dir):
+    x = action_tokens.compare(table(spark, sf_dir, "events").select(F.array("value").alias("action")), ("uniform-bins", "openvla-bins"), bins=16)
+    return x.select("strategy", *(F.round(c, 4).alias(c) for c in ("mse", "mae", "max_abs")), F.round(F.get("dim_rmse", 0), 4).alias("rmse"), "vocab_used")
+
+
 # --- filter, lint, statistics -------------------------------------------------------------
 
 

@@ -11,6 +11,14 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "full_join": ("SELECT s.k AS sk, c.k AS ck FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) s FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey > 5 GROUP BY c_nationkey) c ON s.k = c.k", None),
     "semi_join": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)", None),
     "anti_join": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
+    "right_join": ("SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY n_name", None),
+    "natural_join": ("SELECT doc_id, lang, quality, toxic FROM documents NATURAL JOIN labels", None),
+    "union_by_name": ("SELECT r_name AS name, r_regionkey AS region, CAST(NULL AS BIGINT) AS nation FROM region UNION ALL SELECT n_name, CAST(NULL AS BIGINT), n_nationkey FROM nation", "SELECT r_name AS name, r_regionkey AS region FROM region UNION ALL BY NAME SELECT n_nationkey AS nation, n_name AS name FROM nation"),
+    "map_scalars": (
+        "SELECT event_id, element_at(m, 'kind') AS kind, size(m) AS n, array_join(array_sort(map_keys(m)), ',') AS names, coalesce(try_element_at(m, 'none'), 'absent') AS other FROM (SELECT event_id, map('kind', event_type, 'user', CAST(user_id AS STRING)) AS m FROM events)",
+        "SELECT event_id, m['kind'] AS kind, cardinality(m) AS n, array_to_string(list_sort(map_keys(m)), ',') AS names, coalesce(m['none'], 'absent') AS other FROM (SELECT event_id, MAP {'kind': event_type, 'user': CAST(user_id AS VARCHAR)} AS m FROM events)",
+    ),
+    "first_rows_sample": ("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3", None),
     "cross_small": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "range_join": ("SELECT p.p_partkey, b.b FROM part p JOIN (SELECT id AS b, id * 10 AS lo, id * 10 + 9 AS hi FROM range(5)) b ON p.p_size BETWEEN b.lo AND b.hi", "SELECT p.p_partkey, b.b FROM part p JOIN (SELECT range AS b, range * 10 AS lo, range * 10 + 9 AS hi FROM range(5)) b ON p.p_size BETWEEN b.lo AND b.hi"),
     "group_median": ("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, min(l_shipdate) AS first_ship, round(median(l_extendedprice), 4) AS mid FROM lineitem GROUP BY l_returnflag, l_linestatus", None),
