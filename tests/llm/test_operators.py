@@ -47,6 +47,19 @@ def test_ids_equal_the_library(name):
     assert b.count_all(texts) == [len(of(x)) for x in texts]
 
 
+def test_ids_with_little_memory(monkeypatch):
+    """What is remembered changes no id, however often it is given up."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"word{k} the" for k in rng.integers(0, 60, 12)) for _ in range(60)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        b, of = bpe.Bpe(bpe.tokenizer_path(name)), library(name)
+        for at in range(0, 60, 4):
+            part = texts[at : at + 4]
+            assert [np.frombuffer(x, "<u4").tolist() for x in b.encode_all(part)] == [of(x) for x in part]
+            assert b.count_all(part) == [len(of(x)) for x in part]
+
+
 def test_token_counts(docs, nothing):
     of = library("word_bpe_49k.json")
     for r in token_counts.count_tokens(docs, limit=100).collect():

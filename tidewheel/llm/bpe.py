@@ -16,6 +16,7 @@ out of the table.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
@@ -23,8 +24,8 @@ import unicodedata
 
 import numpy as np
 
-#: Pre-tokens that a worker remembers; the memory is cleared when full.
-REMEMBERED = 100_000
+#: Pre-tokens that a worker remembers; when there are so many, those met since the time before stay and the others go.
+REMEMBERED = 150_000
 LONGEST = 64
 
 
@@ -104,6 +105,22 @@ def proven_tokens(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
     return ranks, np.array(ids, "<u4")
 
 
+def _without_gc(method):
+    """Let the collector of cycles rest: the lists of words that are made here have none, and it would walk them all."""
+
+    @functools.wraps(method)
+    def run(*args):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return method(*args)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
 class Bpe:
     """A tokenizer file of the tokenizers library with the shortcuts above."""
 
@@ -121,6 +138,8 @@ class Bpe:
         split = r"[^\x00\x01]+\x00|\x01" if self.word_ends else r"[^\x00\x01]+|\x01"
         self._merge = tiktoken.Encoding("proven", pat_str=split, mergeable_ranks=self._ranks, special_tokens={}).encode_ordinary
         self._ids: dict[str, bytes] = {}
+        self._ids_before: dict[str, bytes] = {}
+        self._counts_before: dict[str, int] = {}
 
     def _merged(self, groups: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ranks of the pre-tokens of all groups, one after the other, and where each group ends."""
@@ -144,14 +163,20 @@ class Bpe:
             return _split(text, False)
         return text.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0")
 
-    def _learn(self, known: dict, fixed: dict, cut: list[list[str] | None], make) -> None:
-        """See that ``known`` has every chunk of a few texts; the memory is cleared when full."""
+    def _learn(self, known: dict, fixed: dict, before: dict, cut: list[list[str] | None], make) -> None:
+        """See that ``known`` has every chunk of a few texts; what is in ``before`` need not be made again."""
         met = set().union(*(x for x in cut if x))
         new = met.difference(known)
         if len(known) + len(new) > REMEMBERED + len(fixed):
+            before.clear()
+            before.update(known)
             known.clear()
             known.update(fixed)
             new = met.difference(known)
+        if new and before:
+            back = [x for x in new if x in before]
+            known.update(zip(back, map(before.__getitem__, back), strict=True))
+            new.difference_update(back)
         if new:
             known.update(zip(new, make([_split(x, self.word_ends) for x in new]), strict=True))
 
@@ -168,17 +193,19 @@ class Bpe:
         merged = np.diff(ends, prepend=0).tolist()
         return [len(g) - len(r) + n for g, r, n in zip(groups, rest, merged, strict=True)]
 
+    @_without_gc
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """All ids of each text as little-endian unsigned 32-bit bytes."""
         cut = [self.chunks(x) for x in texts]
-        self._learn(self._ids, {}, cut, self._ids_of)
+        self._learn(self._ids, {}, self._ids_before, cut, self._ids_of)
         of = self._ids.__getitem__
         return [self._whole(x) if c is None else b"".join(map(of, c)) for x, c in zip(texts, cut, strict=True)]
 
+    @_without_gc
     def count_all(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
         cut = [self.chunks(x) for x in texts]
-        self._learn(self._counts, self._ones, cut, self._counts_of)
+        self._learn(self._counts, self._ones, self._counts_before, cut, self._counts_of)
         of = self._counts.__getitem__
         return [len(self._whole(x)) // 4 if c is None else sum(map(of, c)) for x, c in zip(texts, cut, strict=True)]
 
@@ -212,6 +239,9 @@ class Bpe:
 def _split(text: str, word_ends: bool) -> list[str]:
     """The pre-tokens of a text of safe characters."""
     if text.isascii():
+        # most chunks are one word, which the patterns would return as it is
+        if (text if word_ends or text[:1] != " " else text[1:]).isalpha() and (not word_ends or text.islower()):
+            return [text]
         return (_WORD_ASCII if word_ends else _BYTE_ASCII).findall(text)
     return (_WORD_SPLIT if word_ends else _BYTE_SPLIT).findall(text)
 
