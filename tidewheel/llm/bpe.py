@@ -124,7 +124,8 @@ def _without_gc(method):
 class Bpe:
     """A tokenizer file of the tokenizers library with the shortcuts above."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -167,7 +168,7 @@ class Bpe:
         """See that ``known`` has every chunk of a few texts; what is in ``before`` need not be made again."""
         met = set().union(*(x for x in cut if x))
         new = met.difference(known)
-        if len(known) + len(new) > REMEMBERED + len(fixed):
+        if len(known) + len(new) > self.remembered + len(fixed):
             before.clear()
             before.update(known)
             known.clear()
@@ -254,6 +255,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 @functools.lru_cache(maxsize=4)
-def load(path: str) -> Bpe:
-    """The tokenizer at ``path``, once for each worker process."""
-    return Bpe(path)
+def load(path: str, remembered: int | None = None) -> Bpe:
+    """The tokenizer at ``path``, once for each worker process; ``remembered`` pre-tokens instead of ``REMEMBERED``."""
+    return Bpe(path, remembered)

@@ -16,6 +16,8 @@ from tidewheel.llm.bpe import load, tokenizer_path
 from tidewheel.llm.common import pieces
 from tidewheel.session import new_path, small_batches
 
+#: Pre-tokens that a worker remembers: it holds no other state, so there is room for more than elsewhere.
+REMEMBERED = 200_000
 #: Stands for a null document id in the files.
 NO_ID = -(2**63)
 
@@ -84,7 +86,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         part, shard = TaskContext.get().partitionId(), None
         for rows in pieces(batches):
             shard = shard or _Shard(folder, part, dtype)
-            encoded = load(path).encode_all([x or "" for x in rows.column("text").to_pylist()])
+            encoded = load(path, REMEMBERED).encode_all([x or "" for x in rows.column("text").to_pylist()])
             shard.add(rows.column("doc_id").to_pylist(), [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoded])
         if shard:
             shard.close()
