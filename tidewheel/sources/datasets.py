@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewheel.sources import lerobot, messages, rlds, zarr
 
 READABLE = ("lerobot-v2", "lerobot-v3", "groot", "rlds", "zarr", "mcap")
-WRITABLE = ("lerobot-v3", "rlds")
+WRITABLE = ("lerobot-v3", "rlds", "mcap")
 COLUMNS = ("episode_id", "frame_index", "timestamp", "action", "state")
 
 
@@ -31,7 +31,7 @@ def open_dataset(spark: SparkSession, root: str, fps: float = 30.0) -> tuple[Dat
         frames = zarr.read_frames(spark, root).withColumn("timestamp", F.coalesce("timestamp", F.col("frame_index") / fps))
         return frames.select(*COLUMNS), frames.select("episode_id").distinct().withColumn("language_instruction", F.lit(None).cast("string"))
     if kind == "mcap":
-        frames, episodes = messages.read_episodes(spark, root)
+        frames, episodes = messages.read_numbered(spark, root) if messages.has_episode_topics(spark, root) else messages.read_episodes(spark, root)
         return frames.select(*COLUMNS), episodes
     return lerobot.read_frames(spark, root).select(*COLUMNS), lerobot.read_episodes(spark, root).select("episode_id", "language_instruction")
 
@@ -43,5 +43,7 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, fps: float
     frames, episodes = open_dataset(spark, source, fps)
     if kind == "rlds":
         rlds.write(frames, episodes, target, name, fps)
+    elif kind == "mcap":
+        messages.write_episodes(frames, episodes, target)
     else:
         lerobot.write_v3(frames, episodes, target, fps)

@@ -1,140 +1,39 @@
-"""Numbers and text out of the messages of robot logs, and episodes out of their topics."""
+"""Numbers, text and images out of the messages of robot logs, and episodes out of their topics and back."""
 
 from __future__ import annotations
 
 import json
-import struct
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewheel.operators import segment, temporal
-from tidewheel.sources import records, topics
+from tidewheel.operators.numbering import number_rows
+from tidewheel.session import materialize
+from tidewheel.sources import mcap, topics, wire
 
 STRATEGIES = ("single", "time_gap", "marker", "segment")
-#: How messages name the parts of a joint state.
-JOINT_PARTS = {"position": ("position", "joint_positions"), "velocity": ("velocity", "joint_velocities"), "effort": ("effort", "joint_efforts")}
 MAX_SKEW_MS = 50.0
 
 
-class _Cdr:
-    """Reads little- or big-endian CDR, whose values are aligned from behind the four bytes of the header."""
-
-    def __init__(self, raw: bytes):
-        self.raw, self.at, self.order = raw, 4, "<" if raw[1] & 1 else ">"
-
-    def one(self, kind: str):
-        size = struct.calcsize(kind)
-        self.at += -(self.at - 4) % size
-        (x,) = struct.unpack_from(self.order + kind, self.raw, self.at)
-        self.at += size
-        return x
-
-    def text(self) -> str:
-        n = self.one("I")
-        x = self.raw[self.at : self.at + n].rstrip(b"\0").decode("utf-8", "replace")
-        self.at += n
-        return x
-
-    def numbers(self, kind: str) -> list[float]:
-        n = self.one("I")
-        return [float(self.one(kind)) for _ in range(n)]
-
-    def header(self) -> None:
-        self.one("i"), self.one("I"), self.text()
-
-
-def decode_cdr(schema: str, raw: bytes) -> dict | None:
-    """The fields of a message of a known type; None for others."""
-    kind = schema.replace("/msg/", "/")
-    c = _Cdr(raw)
-    if kind == "sensor_msgs/JointState":
-        c.header()
-        names = [c.text() for _ in range(c.one("I"))]
-        return {"name": names} | {k: c.numbers("d") for k in ("position", "velocity", "effort")}
-    if kind in ("std_msgs/Float64MultiArray", "std_msgs/Float32MultiArray"):
-        for _ in range(c.one("I")):
-            c.text(), c.one("I"), c.one("I")
-        c.one("I")
-        return {"data": c.numbers("d" if "64" in kind else "f")}
-    if kind == "geometry_msgs/PoseStamped":
-        c.header()
-        x = [c.one("d") for _ in range(7)]
-        return {"pose": x, "data": x}
-    if kind == "std_msgs/String":
-        return {"data": c.text()}
-    if kind in ("std_msgs/Float64", "std_msgs/Float32"):
-        return {"data": c.one("d" if "64" in kind else "f")}
-    return None
-
-
-def decode(schema: str, encoding: str, raw: bytes) -> dict | None:
-    if encoding == "json":
-        try:
-            made = json.loads(raw)
-        except ValueError:
-            return None
-        return made if isinstance(made, dict) else {"data": made}
-    return decode_cdr(schema, raw) if encoding == "cdr" and len(raw) >= 4 else None
-
-
-def numbers_of(message: dict, part: str | None) -> list[float] | None:
-    """The numbers under a part of a message, by any of its names; a single number is a list of one."""
-    found = next((message[n] for n in JOINT_PARTS.get(part or "data", (part or "data",)) if n in message), None)
-    if isinstance(found, dict):  # a pose: place, then turn
-        found = [v for k in ("position", "orientation") for v in (found.get(k) or {}).values()] or list(found.values())
-    try:
-        return [float(x) for x in found] if isinstance(found, list) else None if found is None or isinstance(found, bool) else [float(found)]
-    except (TypeError, ValueError):
-        return None
-
-
-def text_of(message: dict) -> str | None:
-    found = message.get("data", message.get("value"))
-    return found if isinstance(found, str) else None
-
-
-_ROW = pa.schema([("path", pa.string()), ("topic", pa.string()), ("ts_ns", pa.int64()), ("value", pa.list_(pa.float64())), ("text", pa.string())])
-
-
-def read_topics(spark: SparkSession, path: str, parts: dict[str, str | None]) -> DataFrame:
-    """``path, topic, ts_ns, value, text`` of the wanted topics; ``parts`` names each topic's part that holds numbers.
+def read_topics(spark: SparkSession, path: str, parts: dict[str, str | None | list]) -> DataFrame:
+    """``path, topic, ts_ns, part, value, text`` of the wanted topics.
 
-    One pass over each file; a message that can't be decoded has neither value nor text.
+    ``parts`` names each topic's part that holds numbers, or lists several, each with a numpy type
+    or None; ``part`` is the place in that list.
+    Only chunks of these topics are read, and messages are decoded by the file's own schema; one
+    that can't be decoded has neither value nor text.
     """
+    return mcap.read(spark, path, "fields", parts=parts)
 
-    def messages(raw: bytes) -> Iterator[tuple]:
-        schemas: dict[int, str] = {}
-        channels: dict[int, tuple[str, str, str]] = {}
-        for op, rec in records._mcap_records(raw):
-            (number,) = struct.unpack_from("<H", rec)
-            if op == 3:
-                schemas[number] = records._text(rec, 2)[0]
-            elif op == 4:
-                topic, p = records._text(rec, 4)
-                channels[number] = (topic, schemas.get(struct.unpack_from("<H", rec, 2)[0], ""), records._text(rec, p)[0])
-            elif op == 5 and channels[number][0] in parts:
-                topic, schema, encoding = channels[number]
-                made = decode(schema, encoding, rec[22:]) or {}
-                yield topic, struct.unpack_from("<Q", rec, 6)[0], numbers_of(made, parts[topic]), text_of(made)
-
-    def run(batches):
-        for batch in batches:
-            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for m in messages(raw):
-                    rows.append((p, *m))
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, topic string, ts_ns long, value array<double>, text string")
+def read_images(spark: SparkSession, path: str, topics: list[str] | None = None) -> DataFrame:
+    """``path, topic, ts_ns, height, width, encoding, format, data`` of image messages; compressed ones have no size."""
+    return mcap.read(spark, path, "images", topics=topics)
 
 
 @dataclass
@@ -153,6 +52,7 @@ class LogConfig:
     max_skew_ms: float = MAX_SKEW_MS
     task: str | None = None
     task_topic: str | None = None
+    attachments: list[dict] = field(default_factory=list)
 
 
 def load_config(raw: dict | str | None) -> LogConfig:
@@ -177,34 +77,47 @@ def load_config(raw: dict | str | None) -> LogConfig:
     e, s, t = parts["episodes"], parts["sync"], parts["task"]
     need(e.get("strategy", "single") in STRATEGIES, "episodes.strategy", f"must be one of {', '.join(STRATEGIES)}")
     if e.get("strategy") == "marker":
-        need(bool(e.get("marker_topic")), "episodes.marker_topic", "required when strategy=marker")
+        need(bool(e.get("marker_topic")), "episodes.marker_topic", "a topic that marks the starts is needed")
     if e.get("strategy") == "time_gap":
-        need(isinstance(e.get("time_gap_seconds"), (int, float)) and e["time_gap_seconds"] > 0, "episodes.time_gap_seconds", "required and above 0 when strategy=time_gap")
+        need(isinstance(e.get("time_gap_seconds"), (int, float)) and e["time_gap_seconds"] > 0, "episodes.time_gap_seconds", "a number of seconds above 0 is needed")
     if e.get("strategy") == "segment":
-        need(bool(e.get("segment_signal")), "episodes.segment_signal", "required when strategy=segment")
+        need(bool(e.get("segment_signal")), "episodes.segment_signal", "the field to cut by is needed")
     need(s.get("method", "nearest") in temporal.METHODS, "sync.method", f"must be one of {', '.join(temporal.METHODS)}")
     for name, f in parts["fields"].items():
         need(isinstance(f, dict), f"fields.{name}", "must be a mapping")
-        need(bool(f.get("topic")), f"fields.{name}.topic", "required")
+        need(bool(f.get("topic")), f"fields.{name}.topic", "must name a topic")
+        shape = f.get("target_shape")
+        need(shape is None or isinstance(shape, (list, tuple)) and all(isinstance(n, int) and n > 0 for n in shape), f"fields.{name}.target_shape", "must list whole numbers above 0")
+        if f.get("dtype") is not None:
+            try:
+                np.dtype(f["dtype"])
+            except TypeError:
+                need(False, f"fields.{name}.dtype", f"no number type {f['dtype']!r}")
+    attached = raw.get("attachments") or []
+    need(isinstance(attached, list), "attachments", "must be a list")
+    for k, a in enumerate(attached):
+        need(isinstance(a, dict) and bool(a.get("name")), f"attachments[{k}]", "must be a mapping with a name")
     for place, name in (("sync.primary", s.get("primary")), ("episodes.segment_signal", e.get("segment_signal"))):
         need(name is None or name in parts["fields"], place, f"no field {name!r}")
     return LogConfig(
         parts["fields"], e.get("strategy", "single"), e.get("marker_topic"), e.get("time_gap_seconds"), e.get("segment_signal"), int(e.get("min_length_frames", 0)), int(e.get("drop_first_n_frames", 0)),
-        s.get("primary"), s.get("method", "nearest"), float(s.get("max_skew_ms", MAX_SKEW_MS)), t.get("description"), t.get("topic"),
+        s.get("primary"), s.get("method", "nearest"), float(s.get("max_skew_ms", MAX_SKEW_MS)), t.get("description"), t.get("topic"), attached,
     )
 
 
 def proposed_config(spark: SparkSession, path: str) -> LogConfig:
     """A config from the channels of the logs: number fields, marker and task of the first file that names them."""
-    found = topics.propose_fields(records.mcap_inventory(spark, path)).orderBy("path", "field").collect()  # a row for each channel
+    channels = mcap.read(spark, path, "channels")
+    first = F.min_by(F.struct("topic", "part", "encoding"), "path").alias("first")
+    found = topics.propose_fields(channels).groupBy("field").agg(first).select("field", "first.*").orderBy("field").collect()  # a row for each field name
     config = LogConfig(max_skew_ms=topics.MAX_SKEW_MS)
     for r in found:
         if r["field"] == "episode_marker":
-            config.marker_topic = config.marker_topic or r["topic"]
+            config.marker_topic = r["topic"]
         elif r["field"] == "task":
-            config.task_topic = config.task_topic or r["topic"]
+            config.task_topic = r["topic"]
         elif r["encoding"] is None:
-            config.fields.setdefault(r["field"], {"topic": r["topic"], "field": r["part"]})
+            config.fields[r["field"]] = {"topic": r["topic"], "field": r["part"]}
     if config.marker_topic:
         config.strategy = "marker"
     return config
@@ -215,7 +128,7 @@ def _split(config: LogConfig, primary: DataFrame, all_topics: DataFrame, signal:
     if config.strategy == "time_gap":
         return temporal.split_time_gap(primary, ["path"], "ts", int(config.time_gap_seconds * 1e9))
     if config.strategy == "marker":
-        marks = all_topics.where(F.col("topic") == config.marker_topic).select("path", F.col("ts_ns").alias("ts"))
+        marks = all_topics.where((F.col("topic") == config.marker_topic) & (F.col("part") == 0)).select("path", F.col("ts_ns").alias("ts"))
         return temporal.split_marker(primary, marks, ["path"], "ts")
     if config.strategy == "segment":
         w = Window.partitionBy("path").orderBy("ts")
@@ -235,16 +148,29 @@ def read_episodes(spark: SparkSession, path: str, config: LogConfig | None = Non
     ``episode_id, frame_index, timestamp`` (seconds from the episode's first), ``state``
     (all fields that begin with observation.state, in order), ``action``, ``skewed`` and the
     other fields by name in ``others``. Episodes: ``episode_id, language_instruction``.
+
+    A field's ``dtype`` rounds its numbers to that type; with a ``target_shape`` messages of
+    another number of values count as missing. Values stay flat.
     """
     config = config or proposed_config(spark, path)
     if not config.fields:
         raise ValueError(f"no field of numbers in the logs at {path}")
-    parts = {f["topic"]: f.get("field") for f in config.fields.values()} | {t: None for t in (config.marker_topic, config.task_topic) if t}
-    rows = read_topics(spark, path, parts)
-    streams = {n: rows.where((F.col("topic") == f["topic"]) & F.col("value").isNotNull()).select("path", F.col("ts_ns").alias("ts"), "value") for n, f in config.fields.items()}
+    wanted: dict[str, set] = {}
+    for f in config.fields.values():
+        wanted.setdefault(f["topic"], set()).add((f.get("field"), f.get("dtype")))
+    parts = {t: [list(p) for p in sorted(found, key=str)] for t, found in wanted.items()} | {t: None for t in (config.marker_topic, config.task_topic) if t and t not in wanted}
+    rows = materialize(read_topics(spark, path, parts), "topics")  # decoded once, whatever reads it below
+
+    def stream(f: dict) -> DataFrame:
+        part = parts[f["topic"]].index([f.get("field"), f.get("dtype")])
+        size = int(np.prod(f["target_shape"])) if f.get("target_shape") else None
+        fits = F.col("value").isNotNull() & (F.lit(True) if size is None else F.size("value") == size)
+        return rows.where((F.col("topic") == f["topic"]) & (F.col("part") == part) & fits).select("path", F.col("ts_ns").alias("ts"), "value")
+
+    streams = {n: stream(f) for n, f in config.fields.items()}
     primary = config.primary
     if primary is None:
-        counts = dict(rows.where("value is not null").groupBy("topic").count().collect())  # a row for each topic
+        counts = dict(rows.where("value is not null and part = 0").groupBy("topic").count().collect())  # a row for each topic
         primary = max(config.fields, key=lambda n: counts.get(config.fields[n]["topic"], 0))
     signal = streams[config.segment_signal] if config.segment_signal else None
     if signal is not None and config.segment_signal != primary:
@@ -276,3 +202,58 @@ def read_episodes(spark: SparkSession, path: str, config: LogConfig | None = Non
         first = rows.where((F.col("topic") == config.task_topic) & F.col("text").isNotNull()).groupBy("path").agg(F.min_by("text", "ts_ns").alias("said"))
         episodes, said = episodes.join(first, "path", "left"), F.col("said")
     return frames.drop("path"), episodes.select("episode_id", said.alias("language_instruction"))
+
+
+#: What follows the topics of each episode in a log that holds several.
+SUFFIX = r"/ep_(\d+)$"
+
+
+def write_episodes(frames: DataFrame, episodes: DataFrame | None, path: str, state_topic: str = "/observation/state", action_topic: str = "/action", task_topic: str = "/task", compression: str = "zstd", attachments: list[dict] | None = None, mode: str = "append") -> None:
+    """Write frames as logs: joint states on topics that end with the number of their episode.
+
+    Episodes are numbered by id; all of an episode goes to one file. A frame without
+    a time, or without an id, raises. ``episodes`` gives the text of the task topic.
+    """
+    spark = frames.sparkSession
+    ids = number_rows(frames.select("episode_id").distinct(), "episode_id", "episode")
+    said = None if episodes is None else episodes.groupBy("episode_id").agg(F.min("language_instruction").alias("said"))
+    ids = ids.withColumn("said", F.lit(None).cast("string")) if said is None else ids.join(said, "episode_id", "left")
+    checked = F.when(F.col("episode_id").isNull() | F.col("timestamp").isNull(), F.raise_error(F.lit("a frame has no episode or no time"))).otherwise(F.round(F.col("timestamp") * 1e9).cast("long"))
+    rows = frames.select("episode_id", checked.alias("ts_ns"), "frame_index", F.col("action").cast("array<double>").alias("action"), F.col("state").cast("array<double>").alias("state")).join(ids, "episode_id")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(width, "episode").sortWithinPartitions("episode", "frame_index")
+    joint, text = ("sensor_msgs/JointState", wire.ros_text("sensor_msgs/JointState").encode()), ("std_msgs/String", wire.ros_text("std_msgs/String").encode())
+    schema = "topic string, ts_ns long, data binary, encoding string, schema_name string, schema_encoding string, schema binary"
+
+    def messages(batches):
+        last = None
+        for batch in batches:
+            out = []
+            for episode, ts, said_, *vectors in zip(*(batch.column(n).to_pylist() for n in ("episode", "ts_ns", "said")), *(batch.column(n) for n in ("state", "action")), strict=True):
+                if episode != last and said_ is not None:
+                    out.append((f"{task_topic}/ep_{episode:04d}", ts, wire.string_cdr(said_), "cdr", text[0], "ros2msg", text[1]))
+                last = episode
+                for base, v in zip((state_topic, action_topic), vectors, strict=True):
+                    if v.is_valid:
+                        values = v.values.to_numpy(zero_copy_only=False)
+                        out.append((f"{base}/ep_{episode:04d}", ts, wire.joint_state_cdr(ts, values), "cdr", joint[0], "ros2msg", joint[1]))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(("topic", "ts_ns", "data", "encoding", "schema_name", "schema_encoding", "schema"), map(list, zip(*out, strict=True)), strict=True)))
+
+    mcap.write(placed.mapInArrow(messages, schema), path, mode, compression, attachments)
+
+
+def has_episode_topics(spark: SparkSession, path: str) -> bool:
+    """Whether the logs hold episodes on topics of their own."""
+    return not mcap.read(spark, path, "channels").where(F.col("topic").rlike(SUFFIX)).isEmpty()
+
+
+def read_numbered(spark: SparkSession, path: str, state_topic: str = "/observation/state", action_topic: str = "/action", task_topic: str = "/task") -> tuple[DataFrame, DataFrame]:
+    """Frames and episodes of logs whose topics end with their episode's number: what ``write_episodes`` writes."""
+    rows = mcap.read(spark, path, "fields").withColumns({"base": F.regexp_replace("topic", SUFFIX, ""), "episode": F.regexp_extract("topic", SUFFIX, 1)})
+    rows = materialize(rows.where("episode <> ''").withColumn("episode_id", F.concat(F.lit("ep_"), "episode")).drop("path", "topic", "episode"), "numbered-topics")
+    moved = rows.where(F.col("base").isin(state_topic, action_topic)).groupBy("episode_id", "ts_ns").agg(*(F.max(F.when(F.col("base") == t, F.col("value"))).alias(n) for t, n in ((action_topic, "action"), (state_topic, "state"))))
+    w = Window.partitionBy("episode_id").orderBy("ts_ns")
+    frames = moved.select("episode_id", (F.row_number().over(w) - 1).cast("long").alias("frame_index"), (F.col("ts_ns") / F.lit(1e9)).alias("timestamp"), "action", "state")
+    said = rows.where(F.col("base") == task_topic).groupBy("episode_id").agg(F.min_by("text", "ts_ns").alias("language_instruction"))
+    return frames, moved.select("episode_id").distinct().join(said, "episode_id", "left")

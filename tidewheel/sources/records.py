@@ -1,7 +1,7 @@
-"""Containers that Spark has no reader for: TFRecord examples and MCAP messages.
+"""Containers that Spark has no reader for: TFRecord examples, and MCAP messages through their own data source.
 
-Files come through ``binaryFile``, so any store that Spark reads will do; each file is
-parsed in one task. Both parsers follow the published layouts.
+TFRecord files come through ``binaryFile``, so any store that Spark reads will do; each
+file is parsed in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewheel.sources import mcap
+
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
@@ -99,107 +101,14 @@ def read_tfrecord(spark: SparkSession, path: str) -> DataFrame:
 
 
 _TF = pa.schema([("path", pa.string()), ("record", pa.int64()), ("name", pa.string()), ("values", pa.string())])
-_MCAP = pa.schema([("path", pa.string()), ("topic", pa.string()), ("ts_ns", pa.int64()), ("publish_ns", pa.int64()), ("encoding", pa.string()), ("data", pa.binary())])
-_CHANNELS = pa.schema([("path", pa.string()), ("topic", pa.string()), ("schema_name", pa.string()), ("encoding", pa.string()), ("n_messages", pa.int64()), ("start_ns", pa.int64()), ("end_ns", pa.int64())])
-MAGIC = b"\x89MCAP0\r\n"
-
-
-def _text(raw: bytes, at: int) -> tuple[str, int]:
-    (n,) = struct.unpack_from("<I", raw, at)
-    return raw[at + 4 : at + 4 + n].decode(), at + 4 + n
-
-
-def _mcap_records(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    """Kind and body of each record of the data section; chunks, plain or zstd, are opened."""
-    if not raw.startswith(MAGIC):
-        raise ValueError("not an MCAP file")
-
-    def walk(body: bytes, at: int):
-        while at + 9 <= len(body):
-            op = body[at]
-            (n,) = struct.unpack_from("<Q", body, at + 1)
-            rec, at = body[at + 9 : at + 9 + n], at + 9 + n
-            if op == 6:
-                kind, p = _text(rec, 28)
-                (size,) = struct.unpack_from("<Q", rec, p)
-                data = rec[p + 8 : p + 8 + size]
-                if kind == "zstd":
-                    import zstandard
-
-                    data = zstandard.ZstdDecompressor().decompress(data, max_output_size=struct.unpack_from("<Q", rec, 16)[0])
-                elif kind:
-                    raise ValueError(f"chunks compressed by {kind} are not supported")
-                yield from walk(data, 0)
-            elif op in (2, 15):
-                return
-            else:
-                yield op, rec
-
-    yield from walk(raw, len(MAGIC))
-
-
-def mcap_messages(raw: bytes, topics: frozenset[str] | None = None) -> Iterator[tuple[str, int, int, str, bytes]]:
-    """Topic, log time, publish time, encoding and payload of each message."""
-    channels: dict[int, tuple[str, str]] = {}
-    for op, rec in _mcap_records(raw):
-        if op == 4:
-            (cid,) = struct.unpack_from("<H", rec)
-            topic, p = _text(rec, 4)
-            channels[cid] = (topic, _text(rec, p)[0])
-        elif op == 5:
-            cid, _, log, publish = struct.unpack_from("<HIQQ", rec)
-            topic, encoding = channels[cid]
-            if topics is None or topic in topics:
-                yield topic, log, publish, encoding, rec[22:]
-
-
-def mcap_channels(raw: bytes) -> list[tuple]:
-    """Topic, schema, message encoding, messages, first and last log time of each channel; no payload is kept."""
-    schemas, channels, seen = {}, {}, {}
-    for op, rec in _mcap_records(raw):
-        (number,) = struct.unpack_from("<H", rec)
-        if op == 3:
-            schemas[number] = _text(rec, 2)[0]
-        elif op == 4:
-            topic, p = _text(rec, 4)
-            channels[number] = (topic, struct.unpack_from("<H", rec, 2)[0], _text(rec, p)[0])
-        elif op == 5:
-            at = struct.unpack_from("<Q", rec, 6)[0]
-            n, low, high = seen.get(number, (0, at, at))
-            seen[number] = (n + 1, min(low, at), max(high, at))
-    return [(topic, schemas.get(schema, ""), encoding, *seen.get(k, (0, None, None))) for k, (topic, schema, encoding) in channels.items()]
-
-
 def mcap_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``path, topic, schema_name, encoding, n_messages, start_ns, end_ns`` of every channel."""
-
-    def run(batches):
-        for batch in batches:
-            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found = [(p, *c) for c in mcap_channels(raw)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _CHANNELS, strict=True)], schema=_CHANNELS)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, topic string, schema_name string, encoding string, n_messages long, start_ns long, end_ns long")
+    """``path, topic, schema_name, encoding, n_messages, start_ns, end_ns`` of every channel, from the files' summaries."""
+    return mcap.read(spark, path, "channels")
 
 
 def read_mcap(spark: SparkSession, path: str, topics: list[str] | None = None) -> DataFrame:
     """``path, topic, ts_ns, publish_ns, encoding, data`` of every message of the wanted topics."""
-    wanted = frozenset(topics) if topics else None
-
-    def run(batches):
-        for batch in batches:
-            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for m in mcap_messages(raw, wanted):
-                    rows.append((p, *m))
-                    if len(rows) == 1024:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MCAP, strict=True)], schema=_MCAP)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MCAP, strict=True)], schema=_MCAP)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, topic string, ts_ns long, publish_ns long, encoding string, data binary")
+    return mcap.read(spark, path, topics=topics or None).select("path", "topic", "ts_ns", "publish_ns", "encoding", "data")
 
 
 def write_mcap(messages: list[tuple[str, int, bytes]], encoding: str = "json", schemas: dict[str, str] | None = None) -> bytes:
@@ -211,7 +120,7 @@ def write_mcap(messages: list[tuple[str, int, bytes]], encoding: str = "json", s
     def text(s: str) -> bytes:
         return struct.pack("<I", len(s.encode())) + s.encode()
 
-    out, known, numbers = [MAGIC, record(1, text("") + text("tidewheel"))], {}, {}
+    out, known, numbers = [mcap.MAGIC, record(1, text("") + text("tidewheel"))], {}, {}
     for name in dict.fromkeys((schemas or {}).values()):
         numbers[name] = len(numbers) + 1
         out.append(record(3, struct.pack("<H", numbers[name]) + text(name) + text("") + struct.pack("<I", 0)))
@@ -220,4 +129,4 @@ def write_mcap(messages: list[tuple[str, int, bytes]], encoding: str = "json", s
             known[topic] = len(known) + 1
             out.append(record(4, struct.pack("<HH", known[topic], numbers.get((schemas or {}).get(topic), 0)) + text(topic) + text(encoding) + struct.pack("<I", 0)))
         out.append(record(5, struct.pack("<HIQQ", known[topic], k, at, at) + data))
-    return b"".join([*out, record(15, struct.pack("<I", 0)), record(2, struct.pack("<QQI", 0, 0, 0)), MAGIC])
+    return b"".join([*out, record(15, struct.pack("<I", 0)), record(2, struct.pack("<QQI", 0, 0, 0)), mcap.MAGIC])
