@@ -19,10 +19,23 @@ SMOOTHING = 5
 UNIT = 1_000_000_000
 
 
-def terms_of(text: Column) -> Column:
-    """All terms of a text, A-Z as small letters; plain terms take the quick way."""
-    lowered = lambda t: F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lowered)
+def lowered(term: Column) -> Column:
+    """A-Z as small letters; terms without other letters take the quick way."""
+    return F.when(F.length(term) == F.octet_length(term), F.lower(term)).otherwise(F.translate(term, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``lang, source, term, n, docs``: how often a term comes in a group, and in how many of its documents.
+
+    The matches of a text are taken once: all of them, and each different one, are
+    exploded together and told apart by ``kind``.
+    """
+    matched = docs.select("lang", "source", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("terms"))
+    once = F.array_distinct(F.transform(F.array_distinct("terms"), lowered))
+    parts = F.array(F.struct(F.lit(0).alias("kind"), F.col("terms")), F.struct(F.lit(1).alias("kind"), once.alias("terms")))
+    rows = matched.select("lang", "source", F.explode(parts).alias("part")).select("lang", "source", F.col("part.kind").alias("kind"), F.explode("part.terms").alias("term"))
+    term = F.when(F.col("kind") == 0, lowered(F.col("term"))).otherwise(F.col("term"))
+    return rows.select("lang", "source", "kind", term.alias("term")).groupBy("lang", "source", "term").agg(F.sum((1 - F.col("kind")).cast("long")).alias("n"), F.sum(F.col("kind").cast("long")).alias("docs"))
 
 
 def _share(count: Column, total: Column, kept: Column, smoothing: int) -> Column:
@@ -59,10 +72,9 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     """
     spark = docs.sparkSession
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    terms = terms_of(F.col("text"))
-    kept = materialize(plain.select("lang", F.explode(F.array_distinct(terms)).alias("term")).groupBy("lang", "term").count().where(F.col("count") >= least_docs).select("lang", "term"), "kept-terms")
-    counted = plain.select("lang", "source", F.explode(terms).alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    counts = materialize(counted.join(kept, ["lang", "term"], "left_semi"), "term-counts")
+    found = materialize(term_counts(plain), "all-term-counts")
+    kept = materialize(found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"), "kept-terms")
+    counts = materialize(found.select("lang", "source", "term", "n").join(kept, ["lang", "term"], "left_semi"), "term-counts")
     groups = materialize(plain.select("lang", "source").distinct(), "groups")
 
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
