@@ -205,12 +205,13 @@ def test_repeats_against_brute_force(docs, window):
     assert Counter(tuple(r) for r in got) == slow_without([(r[0], r[1]) for r in small_rows()], window)
 
 
-@pytest.mark.parametrize("frequent,remembered,together", [(200_000, 50_000, 400_000), (1, 3, 60), (1, 50_000, 10**6), (200_000, 3, 60)])
+@pytest.mark.parametrize("frequent,remembered,together", [(200_001, 50_000, 400_000), (200_000, 50_000, 400_000), (1, 3, 60), (1, 50_000, 10**6), (200_000, 3, 60)])
 def test_repeats_whatever_way_windows_travel(spark, monkeypatch, frequent, remembered, together):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)
     monkeypatch.setattr(substrings, "TIMES_MEAN", 0 if frequent == 1 else 8)
     monkeypatch.setattr(substrings, "REMEMBERED", remembered)
     monkeypatch.setattr(substrings, "TOGETHER", together)
+    monkeypatch.setattr(substrings, "VOCABULARY", 4 if frequent == 200_001 else 60_000)
     rng = np.random.default_rng(5)
     passages = [" ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(20, 60))) for _ in range(6)]
     rows = [(int(rng.integers(0, 120)), " ".join([f"d{k}", *(str(rng.choice(passages)) if rng.random() < 0.5 else " ".join(f"w{x}" for x in rng.integers(0, 3, 25)) for _ in range(rng.integers(1, 5)))])) for k in range(150)]
@@ -232,8 +233,16 @@ def test_strings_cover_each_window_once(monkeypatch, longest):
     w = substrings.Windows(texts, 20)
     begin, length = w.runs(np.zeros(len(w.at), bool))
     got = []
-    for s, n, text, at in zip(w.packed(begin, length), length, w.text[begin], w.at[begin] - w.base[w.text[begin]]):
-        words = s.split(b" ")
+    numbers = {b"w0": 0, b"w2": 1, b"a": 2}
+    strings = w.packed(begin, length, numbers)
+    name = {}
+    for k, word in zip(substrings.unpack(strings, length + 19).tolist(), [x for b, n in zip(w.at[begin], length) for x in w.words[b : b + n + 19]]):
+        assert name.setdefault(k, word) == word
+    assert len(set(name.values())) == len(name)
+    rest = {v: k for k, v in numbers.items()}
+    for s, n, text, at in zip(strings, length, w.text[begin], w.at[begin] - w.base[w.text[begin]]):
+        other = iter(s[2 * (n + 19) :].split(b" "))
+        words = [rest.get(c) or next(other) for c in np.frombuffer(s[: 2 * (n + 19)], "<u2").tolist()]
         assert len(words) == n + 19
         got += [(int(text), int(at + k), b" ".join(words[k : k + 20])) for k in range(n)]
     want = [(t, k, b" ".join(x.split()[k : k + 20])) for t, x in enumerate(texts) for k in range(len(x.split()) - 19)]
@@ -248,7 +257,7 @@ def test_strings_cover_each_window_once(monkeypatch, longest):
 def test_two_windows_of_one_hash_stay_apart(monkeypatch):
     """With a hash that says nothing, the words themselves decide."""
     monkeypatch.setattr(substrings, "_rolled", lambda values, width: np.zeros(max(len(values) - width + 1, 0), "u8"))
-    strings = [b"a b c d", b"a b c e", b"x b c e", b"a b c d"]
+    strings = [np.array(x, "<u2").tobytes() for x in ([0, 1, 2, 3], [0, 1, 2, 4], [5, 1, 2, 4], [0, 1, 2, 3])]
     row, off = substrings._later_places(3, np.zeros(4, bool), np.array([4, 3, 2, 1]), np.zeros(4, "i8"), np.full(4, 2), strings)
     assert sorted(zip(row.tolist(), off.tolist())) == [(0, 0), (0, 1), (1, 0), (1, 1)]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, repeat
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +34,9 @@ COUNTED = 16
 FREQUENT, TIMES_MEAN = 200_000, 8
 #: Packed strings that a task remembers in each of two generations.
 REMEMBERED = 50_000
+#: Words that travel as a number of two bytes, and the documents they are looked for in; all others travel as they are.
+VOCABULARY, VOCABULARY_DOCS = 60_000, 20_000
+_OTHER = 0xFFFF
 #: Words that a bucket task takes together, always whole buckets.
 TOGETHER = 400_000
 _SCHEMA = "key long, doc_id long, h long, start int, n int, packed binary"
@@ -112,11 +115,38 @@ class Windows:
         begin = np.repeat(first, cuts) + LONGEST * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
         return begin, np.diff(np.append(begin, n))
 
-    def packed(self, begin: np.ndarray, length: np.ndarray) -> list[bytes]:
-        joined = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), "i8", len(self.words)) + 1)
-        starts = np.concatenate([[0], ends])
-        return [joined[a:b] for a, b in zip(starts[self.at[begin]].tolist(), (ends[self.at[begin + length - 1] + self.window - 1] - 1).tolist(), strict=True)]
+    def packed(self, begin: np.ndarray, length: np.ndarray, numbers: dict[bytes, int]) -> list[bytes]:
+        """Each string's words as two-byte numbers, and behind them the words that have none, in order."""
+        codes = np.fromiter(map(numbers.get, self.words, repeat(_OTHER)), "<u2", len(self.words))
+        other = np.flatnonzero(codes == _OTHER)
+        first, end = self.at[begin], self.at[begin + length - 1] + self.window
+        a, b = np.searchsorted(other, first), np.searchsorted(other, end)
+        raw = codes.tobytes()
+        strings = [raw[x:y] for x, y in zip((2 * first).tolist(), (2 * end).tolist(), strict=True)]
+        rest = [self.words[k] for k in other.tolist()]
+        for k in np.flatnonzero(b > a).tolist():
+            strings[k] += b" ".join(rest[a[k] : b[k]])
+        return strings
+
+
+def unpack(strings: list[bytes], n_words: np.ndarray) -> np.ndarray:
+    """A number for each word of all strings; equal words of these strings have equal numbers."""
+    ends = (2 * n_words).tolist()
+    word = np.frombuffer(b"".join([s[:e] for s, e in zip(strings, ends, strict=True)]), "<u2").astype("i4")
+    rest = b" ".join([s[e:] for s, e in zip(strings, ends, strict=True) if len(s) > e])
+    if rest:
+        number: dict[bytes, int] = defaultdict(count(_OTHER).__next__)
+        words = rest.split(b" ")
+        word[word == _OTHER] = np.fromiter(map(number.__getitem__, words), "i4", len(words))
+    return word
+
+
+def frequent_words(docs: DataFrame) -> dict[bytes, int]:
+    """Numbers of the most frequent words of a sample; they only make what travels shorter."""
+    share = min(1.0, VOCABULARY_DOCS / max(1, docs.count()))
+    words = docs.sample(share, seed=2).select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    top = words.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(VOCABULARY)
+    return {r["word"].encode(): k for k, r in enumerate(top.collect())}  # VOCABULARY rows at most
 
 
 def _slot(minimiser: np.ndarray) -> np.ndarray:
@@ -146,19 +176,19 @@ def frequent_slots(docs: DataFrame, window: int) -> np.ndarray:
     return np.packbits(bits)
 
 
-def pack_windows(docs: DataFrame, window: int, alone: np.ndarray) -> DataFrame:
+def pack_windows(docs: DataFrame, window: int, alone: np.ndarray, numbers: dict[bytes, int]) -> DataFrame:
     """Packed strings of ``n`` windows from word ``start`` of a document; rows without a string are places known to be repeats.
 
     A task remembers the first place of strings that it has met. A later place of the same
     string is a repeat wherever the first may be, so it need not travel.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(alone)
+    sent, vocabulary = docs.sparkSession.sparkContext.broadcast(alone), docs.sparkSession.sparkContext.broadcast(numbers)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(sent.value).astype(bool) if sent.value.any() else None
-        young: dict[bytes, tuple] = {}
-        old: dict[bytes, tuple] = {}
+        young: dict[tuple, tuple] = {}
+        old: dict[tuple, tuple] = {}
         for part in pieces(batches):
             rows = sorted(zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), part.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0))
             w = Windows([(r[2] or "").encode() for r in rows], window)
@@ -166,14 +196,14 @@ def pack_windows(docs: DataFrame, window: int, alone: np.ndarray) -> DataFrame:
             begin, length = w.runs(single)
             if not len(begin):
                 continue
-            strings, text = w.packed(begin, length), w.text[begin]
+            strings, text = w.packed(begin, length, vocabulary.value), w.text[begin]
             key = w.minimiser[begin]
             if single.any():
                 key = np.where(single[begin], _rolled(w.values, window)[w.at[begin]], key)
             start = w.at[begin] - w.base[text]
             travels = np.zeros(len(begin), bool)
             ranks = [(r[0] is None, r[0] or 0) for r in rows]
-            for k, (s, t, a) in enumerate(zip(strings, text.tolist(), start.tolist(), strict=True)):
+            for k, (s, t, a) in enumerate(zip(zip(length.tolist(), strings, strict=True), text.tolist(), start.tolist(), strict=True)):
                 place = (ranks[t], a)
                 seen = young.get(s) or old.get(s)
                 if seen is None or place <= seen:
@@ -213,11 +243,8 @@ def _block(rows: list[tuple], key, text, start, length, strings, travels) -> pa.
 
 def _later_places(window: int, none: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Row and offset of the windows whose words also start at an earlier place among these rows."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    words = b" ".join(strings).split(b" ")
-    word = np.fromiter(map(number.__getitem__, words), "i4", len(words))
-    value = _mixed(np.fromiter(map(crc32, number), "u8", len(number)) + _ODD[2])
-    hashed = _rolled(value[word], window)
+    word = unpack(strings, n + window - 1)
+    hashed = _rolled(_mixed(word.astype("u8") + _ODD[2]), window)
     row = np.repeat(np.arange(len(n)), n)
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     base = np.cumsum(n + window - 1) - (n + window - 1)
@@ -300,7 +327,7 @@ def repeated_places(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     ``h`` is a hash of the text, so that rows of one id can be told apart.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
-    packed = pack_windows(rows, window, frequent_slots(rows, window))
+    packed = pack_windows(rows, window, frequent_slots(rows, window), frequent_words(rows))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_marks(window), "doc_id long, h long, start int, n int")
 
