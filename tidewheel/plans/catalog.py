@@ -11,52 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import cosine, latest, mean_vector, similar_pairs
+from tidewheel.plans.log import CommitLog, Files
 from tidewheel.plans.schema import METRICS, SCHEMA_VERSION, TABLES, conform, schema_of
 
 POLICIES = ("higher-quality", "longer", "first")
 LABELS = ("approved", "rejected", "held")
 
 
-class Files:
-    """Small files through the cluster's own file systems."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.gateway, self.root = spark.sparkContext._jvm, spark.sparkContext._gateway, root.rstrip("/")
-        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self.path(name))
-
-    def read(self, name: str) -> str:
-        with_ = self.fs.open(self.path(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(with_, "UTF-8")
-        finally:
-            with_.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Written under another name, then renamed; where the store can, the rename replaces an older file at once."""
-        temp = f"{name}.{uuid.uuid4().hex}.tmp"
-        out = self.fs.create(self.path(temp), True)
-        out.write(text.encode())
-        out.close()
-        if not self.exists(name):
-            self.fs.rename(self.path(temp), self.path(name))
-            return
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(temp).toUri(), self.fs.getConf())
-        replace = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = replace
-        context.rename(self.path(temp), self.path(name), options)
-
-    def glob(self, pattern: str) -> list[str]:
-        found = self.fs.globStatus(self.path(pattern))
-        return sorted(f.getPath().toString() for f in found or [])
-
-
 class Catalog:
     """Tables of episodes, scores, embeddings, near-duplicate edges and labels."""
 
@@ -64,6 +25,7 @@ class Catalog:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
         if not self.files.exists("catalog.json"):
             raise FileNotFoundError(f"no catalog at {root}")
+        self.log = CommitLog(spark, self.files)
         found = json.loads(self.files.read("catalog.json"))
         if found["schema_version"] > SCHEMA_VERSION:
             raise ValueError(f"catalog has schema version {found['schema_version']}; this code knows {SCHEMA_VERSION}")
@@ -80,20 +42,23 @@ class Catalog:
 
     def commit(self, tables: dict[str, DataFrame], batch_id: str | None = None) -> str:
         """Append rows of one or several tables; readers see all of them or none."""
+        return self._commit(tables, batch_id)["batch_id"]
+
+    def _commit(self, tables: dict[str, DataFrame], batch_id: str | None = None) -> dict:
+        self.log.refresh()
         batch, day = batch_id or uuid.uuid4().hex, _now().date().isoformat()
         named: dict[str, list[str]] = {}
         for name, df in tables.items():
             folder = f"{name}/ingest_date={day}/{batch}-{uuid.uuid4().hex[:8]}"
             conform(df, name).write.parquet(f"{self.root}/{folder}")
             named[name] = [f"{folder}/{p.rsplit('/', 1)[1]}" for p in self.files.glob(f"{folder}/*.parquet")]
-        self.files.write(f"_batches/{batch}/manifest-{uuid.uuid4().hex}.json", json.dumps({"batch_id": batch, "committed_at": _now().isoformat(), "files": named}))
-        return batch
-
-    def manifests(self) -> list[dict]:
-        return [json.loads(self.files.read(p.split(self.root.removeprefix("file://"), 1)[1].lstrip("/"))) for p in self.files.glob("_batches/*/manifest-*.json")]
+        at = _now().isoformat()
+        # for readers that know manifests only; the log's entry is the commit
+        self.files.write(f"_batches/{batch}/manifest-{uuid.uuid4().hex}.json", json.dumps({"batch_id": batch, "committed_at": at, "files": named}))
+        return self.log.append(batch, at, named)
 
-    def committed(self, table: str) -> list[str]:
-        return [f for m in self.manifests() for f in m["files"].get(table, [])]
+    def committed(self, table: str, after: int = -1) -> list[str]:
+        return self.log.committed(table, after)
 
     def orphans(self) -> list[str]:
         """Files on disk that no manifest names."""
@@ -101,8 +66,11 @@ class Catalog:
         found = [p for t in TABLES for p in self.files.glob(f"{t}/*/*/*.parquet")]
         return [p for p in found if "/".join(p.rsplit("/", 4)[1:]) not in known]
 
-    def table(self, name: str) -> DataFrame:
-        files = self.committed(name)
+    def table(self, name: str, after: int = -1) -> DataFrame:
+        """The committed rows, or only those of commits later than ``after``."""
+        return self._rows(name, self.committed(name, after))
+
+    def _rows(self, name: str, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], schema_of(name))
         return self.spark.read.schema(schema_of(name)).parquet(*(f"{self.root}/{f}" for f in files))
@@ -144,9 +112,7 @@ class Catalog:
         have = self.table("dedup_edges").where(F.col("model_id") == model_id).select("episode_a", "episode_b")
         new = pairs.join(have, ["episode_a", "episode_b"], "left_anti")
         rows = new.withColumns({"model_id": F.lit(model_id), "method": F.lit("ann-cosine"), "computed_at": F.lit(_now())})
-        batch = self.commit({"dedup_edges": rows})
-        files = [f for m in self.manifests() if m["batch_id"] == batch for f in m["files"]["dedup_edges"]]
-        return self.spark.read.schema(schema_of("dedup_edges")).parquet(*(f"{self.root}/{f}" for f in files)).count()
+        return self._rows("dedup_edges", self._commit({"dedup_edges": rows})["files"]["dedup_edges"]).count()
 
     def curate(self, by: str, where: str | None = None, ids: list[str] | None = None, label: str = "approved", reason: str | None = None, dedup: float | None = None, policy: str = "higher-quality") -> DataFrame:
         """Label a selection; near-duplicate losers in it are rejected instead."""

@@ -26,13 +26,17 @@ def ingest_stream(episodes: DataFrame, root: str, checkpoint: str):
     """Register a stream's episodes in a catalog, each content once.
 
     A micro-batch's id is the id of its commit: a batch that is run again after a
-    failure finds its manifest and is passed over.
+    failure finds its commit and is passed over. The catalog stays open between
+    micro-batches, so each reads the commits since the one before.
     """
+    opened: list[Catalog] = []
 
     def batch(df: DataFrame, epoch: int) -> None:
-        catalog = Catalog(df.sparkSession, root)
+        if not opened:
+            opened.append(Catalog(df.sparkSession, root))
+        catalog = opened[0]
         name = f"stream-{epoch:012d}"
-        if not any(m["batch_id"] == name for m in catalog.manifests()):
+        if not catalog.log.has_batch(name):
             from tidewheel.functions.vectors import latest
 
             new = latest(df, ["content_hash"], F.col("episode_id")).join(catalog.table("episodes").select("content_hash"), "content_hash", "left_anti")
