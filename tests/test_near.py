@@ -42,3 +42,41 @@ def test_scratch_tables_go(spark):
     assert kept.count() == 4
     exists = lambda p: os.path.exists(re.sub("^file:/*", "/", p))
     assert exists(stays) and not exists(gone)
+
+
+def brute(x, camera, threshold):
+    s = x @ x.T
+    return {(f"e{i:03}", f"e{j:03}"): s[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if camera[i] == camera[j] and s[i, j] >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 20.0])
+def test_dot_products_of_unlike_lengths(spark, monkeypatch, threshold):
+    """Lengths over three orders of magnitude."""
+    monkeypatch.setattr(near, "LIST_ROWS", 16)
+    monkeypatch.setattr(near, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(6)
+    x = near.unit_rows(rng.normal(0, 1, (300, 6))) * 10 ** rng.uniform(-1.5, 1.5, (300, 1))
+    camera = ["ab"[k % 2] for k in range(300)]
+    df = spark.createDataFrame([(f"e{k:03}", camera[k], [float(v) for v in r]) for k, r in enumerate(x)], "id string, camera string, v array<double>")
+    got = {(r[0], r[1]): r[2] for r in vectors.similar_pairs(df, threshold, "id", "v", ["camera"], "dot").collect()}
+    want = brute(x, camera, threshold)
+    assert set(got) == set(want) and len(want) > 50
+    assert all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+
+
+def test_one_long_vector_opens_no_other_band(spark):
+    rng = np.random.default_rng(7)
+    x = near.unit_rows(rng.normal(0, 1, (4000, 32)))
+    df = spark.createDataFrame([(float(n),) for n in [*np.linalg.norm(x, axis=1).tolist(), 5.0]], "norm double")
+    tops = vectors.band_tops(df, 0.97)
+    limits = vectors.band_thresholds(tops, 0.97)
+    assert len(tops) == 2 and tops[1] == 5.0 and limits[0, 0] == pytest.approx(0.97) and limits[0, 1] == pytest.approx(0.194)
+    index = near.Index(x, len(x), limits, share=1.0)
+    inside = index.place(x, index.reaches[0, 0])[1].mean()
+    assert inside < 0.7 * index.place(x, index.reaches[0, 1])[1].mean()
+    assert inside == near.Index(x, len(x), 0.97 - 1e-9, share=1.0).place(x)[1].mean()
+
+
+def test_bands():
+    limits = vectors.band_thresholds([0.1, 1.0, 10.0], 0.97)
+    assert limits[0, 0] > 1 and limits[0, 1] > 1 and limits[0, 2] < 1 and limits[2, 2] < 0.01
