@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.functions.vectors import cosine, latest, mean_vector, similar_pairs
+from tidewheel.functions.vectors import check_metric, cosine, latest, mean_vector, usable
 from tidewheel.plans.log import CommitLog, Files
 from tidewheel.plans.schema import METRICS, SCHEMA_VERSION, TABLES, conform, schema_of
+from tidewheel.plans.vector_index import VectorIndex
 
 POLICIES = ("higher-quality", "longer", "first")
 LABELS = ("approved", "rejected", "held")
@@ -105,14 +106,40 @@ class Catalog:
         return dup_losers(edges, self.latest_quality(), self.table("episodes"), policy, keep_similarity)
 
     def compute_edges(self, model_id: str, threshold: float = 0.97, metric: str = "dot") -> int:
-        """Near-duplicate edges that are not there yet."""
-        v = self.table("embeddings").where((F.col("model_id") == model_id) & (F.col("level") == "episode"))
-        v = v.withColumn("camera", F.coalesce("camera", F.lit("")))
-        pairs = similar_pairs(v, threshold, "episode_id", "vector", ["camera"], metric)
+        """Near-duplicate edges that are not there yet; how many were added.
+
+        Vectors stay in an index (see ``vector_index``): only those committed since the last
+        run at this threshold or a lower one query it, and pairs of older ones are not
+        looked at again. The first run, a lower threshold and a table that has outgrown
+        its lists go over all vectors.
+        """
+        check_metric(threshold, metric)
+        head, found, saved = self.log.head(), None, []
+        mine = self._episode_vectors(model_id)
+        sizes = {r["dim"]: r["n"] for r in mine.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each length of vector
+        for dim in sorted(d for d in sizes if d > 0):
+            index = VectorIndex(self, model_id, dim, metric)
+            rows = mine if index.needs_all(threshold, sizes[dim]) else self._episode_vectors(model_id, index.state["head"])
+            rows = usable(rows.where(F.size("vector") == dim), "episode_id", "vector", ["camera"]).withColumnRenamed("_k0", "camera")
+            if rows.isEmpty():
+                continue
+            pairs, state = index.update(rows, sizes[dim], head, threshold)
+            saved.append((index, state))
+            if pairs is not None:
+                found = pairs if found is None else found.unionByName(pairs)
         have = self.table("dedup_edges").where(F.col("model_id") == model_id).select("episode_a", "episode_b")
-        new = pairs.join(have, ["episode_a", "episode_b"], "left_anti")
-        rows = new.withColumns({"model_id": F.lit(model_id), "method": F.lit("ann-cosine"), "computed_at": F.lit(_now())})
-        return self._rows("dedup_edges", self._commit({"dedup_edges": rows})["files"]["dedup_edges"]).count()
+        added = 0
+        if found is not None:
+            best = found.groupBy("episode_a", "episode_b").agg(F.max("similarity").alias("similarity"))
+            rows = best.join(have, ["episode_a", "episode_b"], "left_anti").withColumns({"model_id": F.lit(model_id), "method": F.lit("ann-cosine"), "computed_at": F.lit(_now())})
+            added = self._rows("dedup_edges", self._commit({"dedup_edges": rows})["files"]["dedup_edges"]).count()
+        for index, state in saved:  # once the edges are there; a run that stops before is done again
+            index.save(state)
+        return added
+
+    def _episode_vectors(self, model_id: str, after: int = -1) -> DataFrame:
+        v = self.table("embeddings", after).where((F.col("model_id") == model_id) & (F.col("level") == "episode"))
+        return v.withColumn("camera", F.coalesce("camera", F.lit("")))
 
     def curate(self, by: str, where: str | None = None, ids: list[str] | None = None, label: str = "approved", reason: str | None = None, dedup: float | None = None, policy: str = "higher-quality") -> DataFrame:
         """Label a selection; near-duplicate losers in it are rejected instead."""
