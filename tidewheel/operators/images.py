@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators import hamming
 from tidewheel.operators.components import connected_components
 
 #: Fixed values.
@@ -96,28 +97,36 @@ def keyframes(n: int, count: int = KEYFRAMES) -> list[int]:
 
 
 def signature_pairs(signatures: DataFrame, most: float = 0.10) -> DataFrame:
-    """Pairs of episodes whose keyframe hashes differ in ``most`` of the bits or less.
+    """Pairs of episodes whose keyframe hashes differ in ``most`` of the bits or less: ``a, b, distance``.
 
     ``signatures``: ``episode_id, camera, keyframe, hash``. The distance of a camera is
-    the mean over keyframes, that of a pair the largest over shared cameras. Pairs meet
-    on camera, keyframe and at least one equal 16-bit quarter of a hash: two signatures
-    within a tenth of the bits have a keyframe that differs in 6 bits or less; since that
-    may touch all quarters, quarters are matched up to one differing bit.
+    the mean over keyframes, that of a pair the largest over shared cameras; episodes that
+    share none are no pair. Any ``most`` below 1 finds all pairs (see ``hamming``). Copies give
+    all their pairs here; ``duplicate_clusters`` does not need them.
     """
-    quarters = F.array(*(F.shiftrightunsigned("hash", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)))
-    keyed = signatures.select("*", F.posexplode(quarters).alias("q", "v"))
-    near = keyed.withColumn("v", F.explode(F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("v").bitwiseXOR(F.expr("1L") * F.pow(F.lit(2.0), i).cast("long"))))))
-    on = ["camera", "keyframe", "q", "v"]
-    met = keyed.select(*on, F.col("episode_id").alias("a")).join(near.select(*on, F.col("episode_id").alias("b")), on).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda n: signatures.select(F.col("episode_id").alias(n), "camera", "keyframe", F.col("hash").alias(f"h{n}"))
-    both = met.join(side("a"), "a").join(side("b"), ["b", "camera", "keyframe"])
-    per_camera = both.groupBy("a", "b", "camera").agg(F.avg(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) / 64).alias("d"))
-    return per_camera.groupBy("a", "b").agg(F.max("d").alias("distance")).where(F.col("distance") <= most)
+    if not 0 <= most < 1:
+        raise ValueError("most must be at least 0 and below 1")
+    members, rows, n = hamming.classes(signatures)
+    side = lambda n_: members.select(F.col("rep").alias(n_), F.col("episode_id").alias(f"e{n_}"))
+    apart = hamming.class_pairs(rows, n, most).join(side("a"), "a").join(side("b"), "b")
+    pairs = apart.select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b"), "distance")
+    equal = side("a").join(side("a").withColumnRenamed("ea", "eb"), "a").where("ea < eb").select(F.col("ea").alias("a"), F.col("eb").alias("b"), F.lit(0.0).alias("distance"))
+    return pairs.unionByName(equal)
 
 
 def duplicate_clusters(signatures: DataFrame, most: float = 0.10) -> DataFrame:
-    """Single-linkage clusters: ``episode_id, representative`` (the smallest id), ``kept``."""
-    part = connected_components(signature_pairs(signatures, most))
+    """Single-linkage clusters: ``episode_id, representative`` (the smallest id), ``kept``.
+
+    Episodes of equal signatures are one node, so copies are never paired with each other.
+    An episode without a hash is a cluster of its own.
+    """
+    if not 0 <= most < 1:
+        raise ValueError("most must be at least 0 and below 1")
+    members, rows, n = hamming.classes(signatures)
+    part = connected_components(hamming.class_pairs(rows, n, most).select("a", "b"))
+    named = members.join(part, F.col("rep") == F.col("node"), "left").select("episode_id", F.coalesce("component", "rep").alias("part"))
+    least = named.groupBy("part").agg(F.min("episode_id").alias("representative"))
+    found = named.join(least, "part").select("episode_id", "representative")
     ids = signatures.select("episode_id").distinct()
-    out = ids.join(part, F.col("episode_id") == F.col("node"), "left").select("episode_id", F.coalesce("component", "episode_id").alias("representative"))
+    out = ids.join(found, "episode_id", "left").select("episode_id", F.coalesce("representative", "episode_id").alias("representative"))
     return out.withColumn("kept", F.col("episode_id") == F.col("representative"))
