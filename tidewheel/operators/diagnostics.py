@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewheel.operators import stretches
 from tidewheel.operators.quality import by_episode
 from tidewheel.operators.temporal import align, min_duration_events
+from tidewheel.session import materialize
 
 #: Fixed values.
 SLOW = 1e-3
@@ -51,15 +53,17 @@ def transitions(frames: DataFrame, fps: float, dims: Sequence[int] | None = None
     ).drop("_ds", "_da").withColumn("slow", F.coalesce(F.col("valid") & (F.col("speed") <= SLOW), F.lit(False)))
 
 
-def run_seconds(flag: str, min_seconds: float, w=None) -> Column:
+def run_seconds(flag: str, min_seconds: float, w=None, carry: Column | None = None) -> Column:
     """At the last row of a run of flagged transitions, its seconds if they are enough; else null.
 
-    Running frames of the episode's own order, so a run costs its rows once.
+    Running frames of the episode's own order, so a run costs its rows once. ``carry``: where
+    the rows are a stretch, the time of the last unflagged row before it; only its own rows count then.
     """
     w = w if w is not None else by_episode()
     on = F.col(flag)
-    before = F.last(F.when(~on, F.col("timestamp")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    long = F.col("timestamp") - before
+    off = ~on if carry is None else ~on & F.col("_own")
+    before = F.last(F.when(off, F.col("timestamp")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    long = F.col("timestamp") - (before if carry is None else F.coalesce(before, carry))
     return F.when(on & ~F.coalesce(F.lead(flag).over(w), F.lit(False)) & (long + 1e-9 >= min_seconds), long)
 
 
@@ -94,16 +98,24 @@ def time_coverage(frames: DataFrame, fps: float) -> DataFrame:
     return out.withColumn("net_to_path_ratio", ratio).drop("_all", "_a", "_b")
 
 
-def proprio_events(frames: DataFrame, fps: float, min_seconds: float = 0.5, dims: Sequence[int] | None = None, scales: Sequence[float] | None = None) -> DataFrame:
-    """Events of all kinds, ``episode_id, kind, start, end, start_time, end_time``."""
-    x = transitions(frames, fps, dims, scales)
+def proprio_events(frames: DataFrame, fps: float, min_seconds: float = 0.5, dims: Sequence[int] | None = None, scales: Sequence[float] | None = None, stretch_rows: int | None = None) -> DataFrame:
+    """Events of all kinds, ``episode_id, kind, start, end, start_time, end_time``.
+
+    With ``stretch_rows`` an episode of more frames is shared by several tasks.
+    """
+    if stretch_rows:
+        x = materialize(stretches.halo(stretches.place(frames, stretch_rows), 2, 1), "stretches")
+        x = transitions(x, fps, dims, scales)
+    else:
+        x = transitions(frames, fps, dims, scales)
     found = None
     for kind, flag, least in (
         ("timestamp_gap", F.col("dt").isNotNull() & ~F.col("valid"), 0.0),
         ("held_command", F.col("held") & F.col("valid"), min_seconds),
         ("motion_pause", F.col("slow"), min_seconds),
     ):
-        one = min_duration_events(x, ["episode_id"], "frame_index", "timestamp", flag, least).withColumn("kind", F.lit(kind))
+        one = stretches.long_runs(x, flag, min_seconds=least) if stretch_rows else min_duration_events(x, ["episode_id"], "frame_index", "timestamp", flag, least)
+        one = one.withColumn("kind", F.lit(kind))
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewheel.operators import stretches
 from tidewheel.operators.temporal import runs
+from tidewheel.session import materialize
 
 #: Thresholds that results must agree on.
 DEAD_EPS = 1e-6
@@ -117,15 +119,20 @@ def _limits(limits) -> tuple[Column, Column]:
     return at[0], at[1]
 
 
-def _dimensions(frames: DataFrame, action: str, limits=None) -> DataFrame:
+def _dimensions(frames: DataFrame, action: str, limits=None, spread: bool = False) -> DataFrame:
     """``episode_id, dim, f, r, h``: share of frames at an edge, range, entropy of the bins.
 
     The arrays are shuffled by episode and opened afterwards, so the windows and
-    aggregates by dimension and bin all read that one shuffle.
+    aggregates by dimension and bin all read that one shuffle. With ``spread`` they stay
+    where they are, and ranges are aggregated and joined, so that a long episode has many tasks.
     """
     w, c = Window.partitionBy("episode_id", "dim"), F.col
-    x = frames.select("episode_id", action).repartition("episode_id").select("episode_id", F.posexplode(action).alias("dim", "x"))
-    x = x.withColumns({"_lo": F.min("x").over(w), "_hi": F.max("x").over(w), "_n": F.count("*").over(w)})
+    if spread:
+        x = frames.select("episode_id", F.posexplode(action).alias("dim", "x"))
+        x = x.join(x.groupBy("episode_id", "dim").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count("*").alias("_n")), ["episode_id", "dim"])
+    else:
+        x = frames.select("episode_id", action).repartition("episode_id").select("episode_id", F.posexplode(action).alias("dim", "x"))
+        x = x.withColumns({"_lo": F.min("x").over(w), "_hi": F.max("x").over(w), "_n": F.count("*").over(w)})
     x = x.withColumn("_bins", F.greatest(F.ceil(F.log2(c("_n").cast("double")) + 1), F.lit(2)).cast("double"))
     width = c("_hi") - c("_lo")
     place = F.when(width < 1e-10, 0).otherwise(F.least(F.floor(F.try_divide((c("x") - c("_lo")) * c("_bins"), width)), c("_bins").cast("long") - 1))
@@ -232,17 +239,32 @@ def composite_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"overall_score": F.try_divide(total * 10.0, weight), "flags": raised})
 
 
-def _checked(frames: DataFrame, fps: float) -> DataFrame:
-    """Frames with ``_bad_*`` and ``_has_*`` by signal; where an episode has no time at all, its own of ``fps``."""
-    w = by_episode()
+def _marked(frames: DataFrame) -> DataFrame:
+    """Frames with ``_bad_*`` and ``_has_*`` by signal."""
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     arrays = {"actions": F.col("action"), "states": F.col("state")}
     x = frames.withColumns({f"_has_{k}": F.coalesce(F.size(v) > 0, F.lit(False)) for k, v in arrays.items()} | {"_has_timestamps": F.col("timestamp").isNotNull()})
-    x = x.withColumns({f"_bad_{k}": F.coalesce(F.exists(v, odd), F.lit(False)) for k, v in arrays.items()} | {"_bad_timestamps": F.coalesce(odd(F.col("timestamp")), F.lit(False))})
+    return x.withColumns({f"_bad_{k}": F.coalesce(F.exists(v, odd), F.lit(False)) for k, v in arrays.items()} | {"_bad_timestamps": F.coalesce(odd(F.col("timestamp")), F.lit(False))})
+
+
+def _checked(frames: DataFrame, fps: float) -> DataFrame:
+    """``_marked`` frames; where an episode has no time at all, its own of ``fps``."""
+    w, x = by_episode(), _marked(frames)
     timed = F.count("timestamp").over(Window.partitionBy("episode_id"))
     return x.withColumn("timestamp", F.when(timed == 0, (F.row_number().over(w) - 1) / F.lit(float(fps))).otherwise(F.col("timestamp").cast("double")))
 
 
+def _stretched(frames: DataFrame, fps: float, grippers: list[Column], rows: int) -> DataFrame:
+    """``_checked`` frames by stretch, with the range of each gripper channel over its whole episode."""
+    x = _marked(frames).withColumns({f"_g{k}": g for k, g in enumerate(grippers)})
+    ranges = [f(f"_g{k}").alias(f"_{n}{k}") for k in range(len(grippers)) for n, f in (("lo", F.min), ("hi", F.max))]
+    whole = x.groupBy(F.col("episode_id").alias("_id")).agg(F.count("timestamp").alias("_timed"), *ranges)
+    x = stretches.place(x, rows)
+    x = x.join(whole, x["episode_id"].eqNullSafe(whole["_id"])).drop("_id")
+    x = x.withColumn("timestamp", F.when(F.col("_timed") == 0, F.col("_pos") / F.lit(float(fps))).otherwise(F.col("timestamp").cast("double"))).drop("_timed")
+    return materialize(stretches.halo(x, 3, 3), "stretches")
+
+
 def _check_totals() -> list[Column]:
     n = F.count("*")
     bad = [((F.count_if(f"_has_{k}") > 0) & ((F.count_if(f"_has_{k}") < n) | F.bool_or(f"_bad_{k}"))).alias(f"nan_in_{k}") for k in SIGNALS]
@@ -259,6 +281,7 @@ def episode_metrics(
     spectra: bool = False,
     tracking_pairs: Sequence[tuple[int, int]] = (),
     tracking_lag_s: float = 0.0,
+    stretch_rows: int | None = None,
 ) -> DataFrame:
     """All metrics of each episode beside its score, or the reason why it has none.
 
@@ -280,22 +303,39 @@ def episode_metrics(
     Two reads, each shuffled once by episode: what needs the frames' order (windows of
     one order, so one sort), and what needs each action dimension's range. Their results,
     a row per episode, are joined as they lie.
+
+    ``stretch_rows``: episodes of more frames are cut into stretches with a halo of three
+    frames, so that none is a single task (see ``stretches``). Spectra and tracking hold
+    an episode at a time and can't be asked for together with it.
     """
     from tidewheel.operators import diagnostics, kernels
 
     c = F.col
     grippers = [] if gripper is None else list(gripper) if isinstance(gripper, (list, tuple)) else [gripper]
-    x = diagnostics.transitions(_checked(frames, fps), fps, dims, scales).withColumn("_dead", dead_flag()).withColumn("_pos", diagnostics.scaled(c("state"), dims, scales))
-    x = _with_motion(x.withColumn("_pause", diagnostics.run_seconds("slow", 0.5)), fps, "_pos")
+    if stretch_rows and (spectra or tracking_pairs):
+        raise ValueError("spectra and tracking hold an episode at a time")
+    checked = _stretched(frames, fps, grippers, stretch_rows) if stretch_rows else _checked(frames, fps)
+    x = diagnostics.transitions(checked, fps, dims, scales).withColumn("_dead", dead_flag()).withColumn("_at", diagnostics.scaled(c("state"), dims, scales))
+    carry = None
+    if stretch_rows:
+        before = stretches.carried(x, F.when(~c("slow"), c("timestamp"))).withColumnRenamed("episode_id", "_stretch")
+        x, carry = x.join(before, x["episode_id"] == before["_stretch"]).drop("_stretch"), c("_carry")
+    x = _with_motion(x.withColumn("_pause", diagnostics.run_seconds("slow", 0.5, carry=carry)), fps, "_at")
     totals = [*_check_totals(), *_dead_totals(), _motion_totals(fps), *_time_totals("dt", fps), diagnostics.static_share(), F.coalesce(F.sum(F.when(c("valid"), c("step"))), F.lit(0.0)).alias("joint_path_length")]
     for k, channel in enumerate(grippers):
-        x = _with_turns(x, channel).withColumnRenamed("_turn", f"_turn{k}").drop("_g", "_lo", "_hi", "_on")
+        if stretch_rows:
+            x = x.withColumn("_on", c(f"_g{k}") > (c(f"_lo{k}") + c(f"_hi{k}")) / 2)
+            x = x.withColumn(f"_turn{k}", (c("_on") != F.lag("_on").over(by_episode())) & (c(f"_hi{k}") - c(f"_lo{k}") >= 1e-6)).drop("_on")
+        else:
+            x = _with_turns(x, channel).withColumnRenamed("_turn", f"_turn{k}").drop("_g", "_lo", "_hi", "_on")
         totals.append(F.count_if(f"_turn{k}").alias(f"_turns{k}"))
+    if stretch_rows:
+        x = x.where("_own").withColumn("episode_id", c("episode_id.id"))
     out = _time_ratios(x.groupBy("episode_id").agg(*totals, (F.max("timestamp") - F.min("timestamp")).alias("_span")))
     turns = [c(f"_turns{k}") for k in range(len(grippers))]
     most = F.greatest(*turns) if len(turns) > 1 else turns[0] if turns else F.lit(None).cast("long")
     out = out.withColumns({"n_transitions": sum(turns[1:], turns[0]) if turns else F.lit(None).cast("long"), "gripper_chatter_rate": most / F.greatest("_span", F.lit(1e-6))})
-    by_dim = _dimensions(frames, "action", limits).groupBy("episode_id").agg(*_saturation_totals(limits), _entropy_total())
+    by_dim = _dimensions(frames, "action", limits, bool(stretch_rows)).groupBy("episode_id").agg(*_saturation_totals(limits), _entropy_total())
     out = out.join(by_dim, "episode_id", "left")
     if spectra:
         # joined by episode; the kernels hold one episode at a time
