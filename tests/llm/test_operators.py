@@ -284,6 +284,23 @@ def slow_base(text):
     return sorted(found)
 
 
+def test_base_spans_of_odd_runs():
+    """Against the patterns themselves, on texts of few characters; and in linear time on long runs."""
+    import time
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = np.random.default_rng(8)
+    for _ in range(4000):
+        text = "".join(rng.choice(list("a@..-1 é"), rng.integers(1, 24)))
+        got = [(k, s, e) for s, k, e in pii.base_spans(text)]
+        assert [x[1:] for x in got if x[0] == "email"] == [m.span() for m in email.finditer(text)]
+        assert [x[1:] for x in got if x[0] == "ip"] == [m.span() for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for text in ("a" * 10**6 + " @", "a" * 10**6 + "@b", "1" * 10**6, "1." * 500_000 + "x", "a@" * 500_000, "@" * 10**6, "a@" + "b" * 10**6):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 2
+
+
 def test_base_spans_against_plain_scans(spark):
     rng = np.random.default_rng(0)
     bits = ["a.b@c.de", "@", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111 11111111", "5500 0000 0000 0004 1", "+49 (30) 123-4567", "+1", " ", ".", "-", "é", "日本", "12", "\n", "note", "٣٤"]

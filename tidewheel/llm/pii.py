@@ -18,8 +18,10 @@ from tidewheel.session import materialize, small_batches
 #: Kinds in the order that ties are listed in; the method's own spans come last.
 KINDS = ("email", "ip", "card", "phone", "term")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Only the first digit of a run can begin a match, so no run is tried from each of its places.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -48,11 +50,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Start and end of the matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, in time linear in the text.
+
+    No run of local characters holds an "@", so each "@" is looked at once, with the run
+    before it and the domain behind it.
+    """
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append((start, m.end()))
+            free = m.end()
+        else:
+            # what lies before this sign belongs to no later match
+            free = at + 1
+        at = text.find("@", free)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """Start, kind and end of all base matches, in order."""
     found = []
     if "@" in text:
-        found += [(m.start(), "email", m.end()) for m in _EMAIL.finditer(text)]
+        found += [(s, "email", e) for s, e in _emails(text)]
     if _DIGIT.search(text):
         found += [(m.start(), "ip", m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
