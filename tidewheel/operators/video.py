@@ -23,6 +23,7 @@ GAP_FACTOR, DROP_FRAMES, DROP_SECONDS, DROP_FRACTION = 1.5, 3, 0.2, 0.05
 NO_MOTION = 0.05
 
 KEY = ["episode_id", "camera"]
+OUTCOMES = ("missing", "decoded", "decode_failure", "invalid", "stride", "cap")
 
 
 def _decoded():
@@ -80,7 +81,7 @@ def camera_quality(frames: DataFrame, fps: float) -> DataFrame:
     })
     per = x.groupBy(*KEY).agg(
         F.count("*").alias("expected_frames"),
-        *(_count(F.col("outcome") == o).alias(o) for o in ("missing", "decoded", "decode_failure", "invalid", "stride", "cap")),
+        *(_count(F.col("outcome") == o).alias(o) for o in OUTCOMES),
         F.avg(F.when(_decoded(), F.col("sharpness"))).alias("mean_sharpness"), F.min(F.when(_decoded(), F.col("sharpness"))).alias("min_sharpness"),
         mean_of(F.col("sharpness") < BLURRY).alias("blurry_fraction"), mean_of(over).alias("overexposed_fraction"), mean_of(under).alias("underexposed_fraction"),
         F.avg(F.when(_decoded(), F.col("brightness"))).alias("mean_luma"), F.avg(F.when(_decoded(), F.col("colourfulness"))).alias("mean_colourfulness"),
@@ -91,6 +92,11 @@ def camera_quality(frames: DataFrame, fps: float) -> DataFrame:
         (1 / F.avg("_dt")).alias("effective_fps"), (F.stddev_pop("_dt") / F.avg("_dt")).alias("jitter_ratio"),
         F.count("_dt").alias("_n"), F.count("timestamp").alias("_stored"), F.bool_or("_large").alias("_large"),
     )
+    return judged(per)
+
+
+def judged(per: DataFrame) -> DataFrame:
+    """Shares and flags from a camera's totals."""
     present = F.col("expected_frames") - F.col("missing")
     complete = (F.col("_stored") == F.col("expected_frames")) & (F.col("expected_frames") > 1) & (F.col("_n") == F.col("expected_frames") - 1)
     per = per.withColumns({

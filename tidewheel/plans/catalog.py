@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import check_metric, cosine, latest, mean_vector, usable
+from tidewheel.plans import functions
 from tidewheel.plans.log import CommitLog, Files
 from tidewheel.plans.schema import METRICS, SCHEMA_VERSION, TABLES, conform, schema_of
 from tidewheel.plans.vector_index import VectorIndex
@@ -84,6 +85,8 @@ class Catalog:
         return latest(self.table("curation_labels"), ["episode_id"], F.desc("labeled_at"), F.desc("label"))
 
     def views(self) -> None:
+        """The tables and views by name, and the functions of ``functions`` beside them."""
+        functions.register(self.spark)
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
         self.latest_quality().createOrReplaceTempView("v_latest_quality")

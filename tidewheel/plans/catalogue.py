@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 
 from tidewheel.functions import vectors as V
 from tidewheel.operators import action_tokens, curation, diagnostics, images, inspect, kernels, quality, sampling, segment, temporal, video
-from tidewheel.plans.catalog import dup_losers
+from tidewheel.plans import functions
+from tidewheel.plans.catalog import Catalog, dup_losers
 from tidewheel.plans.relational import ORACLES as RELATIONAL_SQL
 from tidewheel.plans.relational import QUERIES as RELATIONAL
+from tidewheel.session import new_path
+from tidewheel.sources import mcap, messages
 
 FPS = 1.0
 
@@ -345,8 +348,8 @@ SELECT ep AS episode_id, CASE WHEN ok AND steady AND lj IS NOT NULL THEN round(1
   CASE WHEN bad THEN 'invalid input' WHEN short THEN 'too few frames' WHEN back THEN 'times do not increase' WHEN NOT steady THEN 'irregular times' WHEN lj IS NULL THEN 'no motion to judge' ELSE 'scored' END AS status FROM m"""
 
 
-def _scored(spark, sf_dir, limits=None):
-    return quality.episode_metrics(judged_frames(spark, sf_dir), FPS, F.col("gripper"), limits)
+def _scored(spark, sf_dir, limits=None, stretch_rows=None):
+    return quality.episode_metrics(judged_frames(spark, sf_dir), FPS, F.col("gripper"), limits, stretch_rows=stretch_rows)
 
 
 @query(_composite(None))
@@ -354,6 +357,12 @@ def composite_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("episode_id", r6("overall_score").alias("overall_score"), F.concat_ws(",", "flags").alias("flags"), "status")
 
 
+@query(_composite(None))
+def stretched_score(spark, sf_dir):
+    """The same rows, episodes cut into stretches of sixteen frames."""
+    return _scored(spark, sf_dir, stretch_rows=16).select("episode_id", r6("overall_score").alias("overall_score"), F.concat_ws(",", "flags").alias("flags"), "status")
+
+
 @query(_composite(_GIVEN))
 def composite_score_with_limits(spark, sf_dir):
     return _scored(spark, sf_dir, LIMITS).select("episode_id", r6("overall_score").alias("overall_score"), F.concat_ws(",", "flags").alias("flags"), "status")
@@ -384,6 +393,21 @@ def timed_frames(spark, sf_dir):
     return frames(spark, sf_dir).withColumn("timestamp", F.col("frame_index") / 20.0)
 
 
+@query(
+    f"""WITH {_F} SELECT CAST(ep AS VARCHAR) AS episode, count(*) AS n_actions, round(min(i / 20.0), 6) AS first_s, round(sum(a0 + a1), 3) AS total FROM f WHERE i / 20.0 >= 0.5 AND i / 20.0 < 2.0 GROUP BY ep"""
+)
+def log_roundtrip(spark, sf_dir):
+    """Episodes written as indexed logs, their action topics read back between half a second and two by chunk."""
+    x = timed_frames(spark, sf_dir).withColumn("episode_id", F.lpad(F.col("episode_id").cast("string"), 12, "0"))
+    path = new_path(spark, "logs")
+    messages.write_episodes(x, x.select("episode_id", F.col("episode_id").alias("language_instruction")).distinct(), path)
+    read = mcap.read(spark, path, "fields", topics=None).where((F.col("ts_ns") >= 500_000_000) & (F.col("ts_ns") < 2_000_000_000) & F.col("topic").startswith("/action/"))
+    named = mcap.read(spark, path, "fields").where(F.col("topic").startswith("/task/")).select(F.regexp_extract("topic", messages.SUFFIX, 1).alias("k"), F.col("text").cast("long").cast("string").alias("episode"))
+    total = F.aggregate("value", F.lit(0.0), lambda s, v: s + v)
+    out = read.groupBy(F.regexp_extract("topic", messages.SUFFIX, 1).alias("k")).agg(F.count("*").alias("n_actions"), r6(F.min("ts_ns") / F.lit(1e9)).alias("first_s"), F.round(F.sum(total), 3).alias("total"))
+    return out.join(named, "k").drop("k")
+
+
 @query()
 def episode_kernels(spark, sf_dir):
     return kernels.episode_kernels(timed_frames(spark, sf_dir), 20.0)
@@ -425,6 +449,22 @@ def proprio_events(spark, sf_dir):
     return x.withColumns({c: r6(c) for c in ("start_time", "end_time")})
 
 
+@query(ORACLES["proprio_events"])
+def stretched_events(spark, sf_dir):
+    """The same events, episodes cut into stretches of sixteen frames."""
+    x = diagnostics.proprio_events(frames(spark, sf_dir), FPS, stretch_rows=16)
+    return x.withColumns({c: r6(c) for c in ("start_time", "end_time")})
+
+
+@query(ORACLES["proprio_events"])
+def quality_events(spark, sf_dir):
+    """The same events by the table function."""
+    functions.register(spark)
+    frames(spark, sf_dir).createOrReplaceTempView("quality_frames")
+    x = spark.sql(f"SELECT * FROM quality_events(TABLE(quality_frames) PARTITION BY episode_id ORDER BY (frame_index), fps => {FPS}D)")
+    return x.withColumns({c: r6(c) for c in ("start_time", "end_time")})
+
+
 @query(
     f"WITH {_F}, {_STEP} SELECT ep AS episode_id, round(sum(CASE WHEN valid THEN dt ELSE 0 END), 6) AS valid_duration_s, round(sum(CASE WHEN valid THEN dt ELSE 0 END) / nullif(max(t) - min(t), 0), 6) AS time_coverage, "
     "round(sum(CASE WHEN valid THEN step ELSE 0 END), 6) AS path_length FROM v GROUP BY ep"
@@ -650,6 +690,43 @@ def near_dup_pairs(spark, sf_dir):
     return _edges(spark, sf_dir).withColumn("similarity", F.round("similarity", 5))
 
 
+_LONG = "e AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 7) * (CASE WHEN vec_id = 3 THEN 40 ELSE 1 END)) AS v FROM embeddings)"
+
+
+@query(f"WITH {_LONG} SELECT a.vec_id AS episode_a, b.vec_id AS episode_b, round(list_dot_product(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 20")
+def dot_pairs_of_unlike_lengths(spark, sf_dir):
+    """Products of 20 or more among vectors of one to seven times their length, one of them forty times longer."""
+    scale = (1 + F.col("vec_id") % 7) * F.when(F.col("vec_id") == 3, 40).otherwise(1)
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double") * scale))
+    return V.similar_pairs(e, 20.0, "vec_id", "v", ["label"], "dot").withColumn("similarity", F.round("similarity", 4))
+
+
+@query("SELECT lpad(CAST(a.vec_id AS VARCHAR), 12, '0') AS episode_a, lpad(CAST(b.vec_id AS VARCHAR), 12, '0') AS episode_b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35")
+def edges_in_two_runs(spark, sf_dir):
+    """A catalog gets its vectors in two commits; the second run searches the kept index with the new ones only."""
+    c = Catalog.init(spark, new_path(spark, "catalog"))
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("episode_id"), F.lit("table").alias("model_id"), F.lit("episode").alias("level"), F.col("label").cast("string").alias("camera"), F.lit("none").alias("pooling"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.current_timestamp().alias("computed_at"), "vec_id")
+    for some in (F.col("vec_id") % 10 != 0, F.col("vec_id") % 10 == 0):
+        c.commit({"embeddings": rows.where(some).drop("vec_id")})
+        c.compute_edges("table", 0.35, "cosine")
+    return c.table("dedup_edges").select("episode_a", "episode_b")
+
+
+@query(
+    """WITH h AS (SELECT vec_id AS e, list_transform(range(0, len(embedding) // 32), lambda k: list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[32 * k + i] > 0 THEN (1::UBIGINT << (i - 1))::HUGEINT ELSE 0 END))::BIGINT) AS hs FROM embeddings),
+p AS (SELECT a.e AS a, b.e AS b, list_sum(list_transform(range(1, len(a.hs) + 1), lambda k: bit_count(xor(a.hs[k], b.hs[k])))) / (64.0 * len(a.hs)) AS d FROM h a JOIN h b ON a.e < b.e)
+SELECT a, b, round(d, 6) AS distance FROM p WHERE d <= 0.15"""
+)
+def signatures_by_signs(spark, sf_dir):
+    """Pairs of signatures within 15 % of the bits: the signs of each 32 components of a vector are the low half of a hash."""
+    e = table(spark, sf_dir, "embeddings")
+    word = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 32).cast("int") - 1), lambda k: F.slice("embedding", k * 32 + 1, 32))).alias("keyframe", "part")
+    bits = F.aggregate(F.transform("part", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s + v)
+    x = e.select(F.col("vec_id").alias("episode_id"), F.lit("all").alias("camera"), word).select("episode_id", "camera", "keyframe", bits.alias("hash"))
+    return images.signature_pairs(x, 0.15).withColumn("distance", r6("distance"))
+
+
 def _losers(policy):
     def run(spark, sf_dir):
         return dup_losers(_edges(spark, sf_dir), scores(spark, sf_dir), episodes(spark, sf_dir), policy)
