@@ -97,3 +97,18 @@ def test_rollup_reads_motion(spark):
     cameras = video.camera_quality(spark.createDataFrame([(e, c, i, i / 30, "decoded", 200.0, 90.0, 0.0, 0.0, 9.0, False) for e, c, i, *_ in rows], "episode_id string, camera string, frame_index long, timestamp double, outcome string, sharpness double, brightness double, shadow_fraction double, highlight_fraction double, colourfulness double, frozen boolean"), 30.0)
     got = {r["episode_id"]: r for r in video.episode_rollup(cameras.join(found.drop("flags"), ["episode_id", "camera"])).collect()}
     assert "no_motion" not in got["multi"]["flags"] and got["multi"]["mean_motion"] > 0.2 and "no_motion" in got["quiet"]["flags"]
+
+
+def test_measures_of_frames(spark):
+    """Measures by DataFrame equal those of single pictures, with the frame before."""
+    from tidewheel.operators import images
+
+    a, b = noise(1), noise(2)
+    rows = rows_of("x", [a, a, b, None, b, b[:50], b[..., 0].copy()]) + [("x", "cam", 7, 0.3, b"123", 2, 2)]
+    got = images.measure_frames(spark.createDataFrame(rows, KIND).repartition(3)).orderBy("frame_index").collect()
+    assert [r["outcome"] for r in got] == ["decoded"] * 3 + ["missing"] + ["decoded"] * 3 + ["invalid"]
+    assert [r["frozen"] for r in got] == [None, True, False, None, None, None, None, None]
+    want = images.frame_measures(images.as_uint8(b))
+    for n in ("sharpness", "brightness", "shadow_fraction", "highlight_fraction", "colourfulness"):
+        assert got[2][n] == pytest.approx(want[n])
+    assert video.camera_quality(images.measure_frames(spark.createDataFrame(rows, KIND)), 30.0).first()["expected_frames"] == 8

@@ -6,11 +6,13 @@ Frames come decoded, as arrays; decoding video needs a codec library that is a p
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators import hamming
 from tidewheel.operators.components import connected_components
+from tidewheel.session import small_batches
 
 #: Fixed values.
 BLURRY, DARK, FROZEN = 100.0, 32.0, 0.1
@@ -64,6 +66,51 @@ def frame_measures(x: np.ndarray, before: np.ndarray | None = None) -> dict[str,
     }
 
 
+_MEASURES = "sharpness double, brightness double, shadow_fraction double, highlight_fraction double, colourfulness double, frozen boolean"
+
+
+def measure_frames(frames: DataFrame, longest: int | None = 128) -> DataFrame:
+    """Adds the measures of ``frame_measures`` to frames with ``pixels, height, width``, and ``outcome`` where it is not there.
+
+    ``pixels`` are bytes, one or three a pixel. A frame without them is ``missing``, one whose
+    size does not fit ``invalid``; both break the comparison with the frame before, as a
+    change of size does. Each camera is walked in order, two frames at a time. These are
+    the rows that ``video`` reads.
+    """
+    small_batches(frames.sparkSession)
+    key = ["episode_id", "camera"]
+    kept = [f for f in frames.schema.fields if f.name not in ("pixels", "outcome")]
+    width = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [x.split()[0] for x in _MEASURES.split(", ")]
+
+    def walk(batches):
+        last = before = None
+        for batch in batches:
+            out = {n: [] for n in ("outcome", *names)}
+            for episode, camera, pixels, h, w in zip(*(batch.column(n).to_pylist() for n in (*key, "pixels", "height", "width")), strict=True):
+                if (episode, camera) != last:
+                    last, before = (episode, camera), None
+                fits = pixels is not None and h and w and len(pixels) in (h * w, 3 * h * w)
+                out["outcome"].append("decoded" if fits else "missing" if pixels is None else "invalid")
+                if not fits:
+                    before = None
+                    found = dict.fromkeys(names)
+                else:
+                    x = np.frombuffer(pixels, np.uint8).reshape(h, w, -1)
+                    x = as_uint8(x if x.shape[2] == 3 else x[..., 0], longest)
+                    same = before is not None and before[1] == (h, w)
+                    found, before = frame_measures(x, before[0] if same else None), (x, (h, w))
+                for n in names:
+                    out[n].append(found[n])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in kept), pa.array(out["outcome"], pa.string()), *(pa.array(out[n], pa.bool_() if n == "frozen" else pa.float64()) for n in names)], names=[*(f.name for f in kept), "outcome", *names]
+            )
+
+    placed = frames.drop("outcome").repartition(width, *key).sortWithinPartitions(*key, "frame_index")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", outcome string, " + _MEASURES
+    return placed.mapInArrow(walk, schema)
+
+
 def _grey(x: np.ndarray, h: int, w: int) -> np.ndarray:
     """Grey levels averaged over an ``h`` x ``w`` grid."""
     y = luma(x)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewheel.functions import vectors as V
-from tidewheel.operators import action_tokens, curation, diagnostics, images, inspect, kernels, quality, sampling, segment, temporal, video
+from tidewheel.operators import action_tokens, curation, diagnostics, images, inspect, kernels, motion, quality, sampling, segment, temporal, video
 from tidewheel.plans import functions
 from tidewheel.plans.catalog import Catalog, dup_losers
 from tidewheel.plans.relational import ORACLES as RELATIONAL_SQL
@@ -137,6 +137,38 @@ def video_rollup(spark, sf_dir):
     return r.select("episode_id", "cameras", *(r6(c).alias(c) for c in ("min_sharpness", "blurry_fraction", "overexposed_fraction")), F.col("max_frozen_run").cast("long").alias("max_frozen_run"))
 
 
+def _bytes(values: Column) -> Column:
+    """An array of numbers of 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")), ""))
+
+
+@query(
+    """WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(least(greatest(128 + 300 * x::DOUBLE, 0), 255)) AS DOUBLE)) AS g, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings WHERE len(embedding) = 64),
+y AS (SELECT *, list_transform(g, lambda v: v * 0.299 + v * 0.587 + v * 0.114) AS y FROM p),
+l AS (SELECT *, list_transform(list_filter(range(1, 65), lambda k: (k - 1) % 8 BETWEEN 1 AND 6 AND k > 8 AND k <= 56), lambda k: y[k - 8] + y[k + 8] + y[k - 1] + y[k + 1] - 4 * y[k]) AS lap, lag(g) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM y)
+SELECT vec_id, round(list_avg(y) + 1e-6, 3) AS brightness, round(len(list_filter(y, lambda v: v <= 4)) / 64 + 1e-6, 4) AS shadow_fraction, round(len(list_filter(y, lambda v: v >= 254)) / 64 + 1e-6, 4) AS highlight_fraction,
+  round(list_var_pop(lap) + 1e-6, 2) AS sharpness, CASE WHEN b IS NOT NULL THEN list_avg(list_transform(range(1, 65), lambda k: abs(g[k] - b[k]))) < 0.1 END AS frozen FROM l"""
+)
+def pixel_measures(spark, sf_dir):
+    """Vectors of 64 numbers as pictures of eight rows, those of a label as a camera's frames."""
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    grey = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(128 + 300 * x.cast("double"), F.lit(0)), F.lit(255))))
+    x = images.measure_frames(e.select("vec_id", F.lit("table").alias("episode_id"), F.col("label").cast("string").alias("camera"), F.col("vec_id").alias("frame_index"), _bytes(grey).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width")))
+    near = lambda c, n: F.round(F.col(c) + 1e-6, n).alias(c)
+    return x.select("vec_id", near("brightness", 3), near("shadow_fraction", 4), near("highlight_fraction", 4), near("sharpness", 2), "frozen")
+
+
+@query()
+def video_motion(spark, sf_dir):
+    """Stripes that move with an event's value, sixteen rows of sixteen; dense flow can't be said in SQL."""
+    at = F.sequence(F.lit(0), F.lit(255))
+    x = camera_frames(spark, sf_dir)
+    grey = F.transform(at, lambda k: F.floor(128 + 60 * F.sin((k % 16 + F.col("sharpness") / 40) / 2.5) + 50 * F.cos(F.floor(k / 16) / 3)))
+    frames_ = x.select("episode_id", "camera", "frame_index", "timestamp", F.when(F.col("outcome") == "decoded", _bytes(grey)).alias("pixels"), F.lit(16).alias("height"), F.lit(16).alias("width"))
+    m = motion.camera_motion(frames_)
+    return m.select("episode_id", "camera", *(r6(c).alias(c) for c in ("mean_motion", "scene_motion_fraction")), "cut_count")
+
+
 _HASH = "CAST(user_id // 3 AS BIGINT) * 2862933555777 + CAST({k} AS BIGINT) * 40503"
 
 

@@ -247,9 +247,8 @@ def numbers_of(message: dict, part: str | None, dtype: str | None = None) -> np.
         found = message
         for step in part.split("."):
             found = found.get(step) if isinstance(found, dict) else None
-    if found is None and part is None:  # poses and the like have one part besides their header
-        rest = [v for k, v in message.items() if k != "header"]
-        found = rest[0] if len(rest) == 1 else None
+    if part is None and (found is None or isinstance(found, dict)):  # poses and the like
+        found = {k: v for k, v in message.items() if k != "header"} or None
     try:
         x = _flat(found)
     except (TypeError, ValueError):
