@@ -39,6 +39,16 @@ def _along(x: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
+def _window_mean(planes: np.ndarray) -> np.ndarray:
+    """Mean over a square window of each plane, by running sums; edges repeat."""
+    r = WINDOW // 2
+    x = np.pad(planes, [(0, 0), (r, r), (r, r)], mode="edge")
+    for axis in (1, 2):
+        x = np.cumsum(np.insert(x, 0, 0, axis=axis), axis=axis)
+        x = x[:, WINDOW:] - x[:, :-WINDOW] if axis == 1 else x[:, :, WINDOW:] - x[:, :, :-WINDOW]
+    return x / WINDOW**2
+
+
 def expand(y: np.ndarray) -> np.ndarray:
     """Each pixel's neighbourhood as a quadratic: linear x and y, then xx, yy and xy, by weighted least squares."""
     at = np.arange(-REACH, REACH + 1.0)
@@ -77,7 +87,7 @@ def flow(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     while len(sizes) < LEVELS and min(sizes[-1]) >= 2 * WINDOW:
         sizes.append(((sizes[-1][0] + 1) // 2, (sizes[-1][1] + 1) // 2))
     found = np.zeros((2, *sizes[-1]))
-    box, blur = np.full(WINDOW, 1 / WINDOW), np.array([1, 4, 6, 4, 1]) / 16
+    blur = np.array([1, 4, 6, 4, 1]) / 16
     pyramid = [(before, now)]
     for size in sizes[1:]:
         pyramid.append(tuple(_resized(_along(_along(x, blur, 0), blur, 1), *size) for x in pyramid[-1]))
@@ -96,7 +106,7 @@ def flow(before: np.ndarray, now: np.ndarray) -> np.ndarray:
             bx = (one[0] - there[0]) / 2 + axx * found[0] + axy * found[1]
             by = (one[1] - there[1]) / 2 + axy * found[0] + ayy * found[1]
             terms = np.stack([axx * axx + axy * axy, axy * (axx + ayy), ayy * ayy + axy * axy, axx * bx + axy * by, axy * bx + ayy * by])
-            g11, g12, g22, h1, h2 = (_along(_along(t, box, 0), box, 1) for t in terms)
+            g11, g12, g22, h1, h2 = _window_mean(terms)
             det = g11 * g22 - g12 * g12 + 1e-3
             found = np.stack([(g22 * h1 - g12 * h2) / det, (g11 * h2 - g12 * h1) / det])
     return found
