@@ -143,8 +143,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, grain
     groups, whose bases are prefix sums, so no class meets in one task.
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset``. Rows of equal id are packed as documents of their own;
-    empty tables give no row.
+    sequence_id, offset``. Rows of equal id, or without one, are packed as documents of their
+    own; a null or empty text is its end token alone. A very long text is encoded whole, by one task,
+    and gives a piece for each ``limit`` tokens. Other columns take no part,
+    whatever their names; empty tables give no row.
     """
     pieces_ = materialize(cut(docs, tokenizer, limit=limit, **columns).withColumn("class", F.ceil(F.col("length") / grain).cast("int") - 1), "pieces")
     room = limit // grain

@@ -181,7 +181,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
     ``fit_docs`` labelled ones whose crc32(id as text) mod 4 is not 2, a fifth of which
     set the temperature. Only the text is an input of a score. A text without words is
     a vector of zeros and scored like any other; without labels of both kinds every
-    score is the share of label 1 (0.5 without any). Null labels teach nothing.
+    score is the share of label 1 (0.5 without any). Null labels teach nothing. Every row
+    gives one row: ids may be null (never held out) or repeated (a label teaches with
+    each of its rows), equal texts have equal scores. Whole texts count, however long; a
+    task holds a few of them at a time. An empty table gives an empty table, and other
+    columns take no part, whatever their names.
 
     Returns ``doc_id, held_out, score, predicted`` (1 if score >= ``threshold``).
     """

@@ -176,7 +176,9 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     reachable by links, itself included). Documents of one fingerprint are one class,
     compared once. Null and wordless texts have fingerprint zero and link like any
     other. A row without an id takes no part: its component is that of its fingerprint
-    if another row has an id, else null. Rows of equal id are one node.
+    if another row has an id, else null. Rows of equal id are one node. Whole texts count,
+    however long; an empty table gives an empty table, and other columns take no part, whatever their
+    names.
     """
     made = materialize(fingerprints(docs, text, id_col), "fingerprints")
     classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")

@@ -14,7 +14,9 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
 
     Pre-tokens that are proven to be one token of the vocabulary count as one each;
     only the others are merged. No rows move between tasks. A null text is empty and
-    has no token; ids may be null or repeated, every row gives one row.
+    has no token; ids may be null or repeated, every row gives one row. Whole texts count,
+    however long. An empty table gives an empty table; other columns take no part, whatever
+    their names.
 
     Returns ``doc_id, n_bytes, n_tokens, over_limit`` (``n_tokens > limit``).
     """

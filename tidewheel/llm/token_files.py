@@ -154,7 +154,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_files_roundtrip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write ``docs`` to new files in the shared folder and read them back."""
+    """Write ``docs`` to new files in the shared folder and read them back.
+
+    Rows of one id are documents of their own, in the order of a hash of their texts;
+    those without an id come first. A very long text is encoded whole, by one task. An empty table gives an empty table;
+    other columns take no part, whatever their names.
+    """
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     write_token_files(docs, folder, tokenizer)
