@@ -134,3 +134,17 @@ def test_embedding_skips_what_is_there(spark, catalog):
     assert catalog.embed(images, "sum@1", 10.0, make=make) == 3 and catalog.embed(images, "sum@1", 10.0, make=make) == 0
     row = catalog.table("embeddings").where("model_id = 'sum@1' and episode_id = 'n2'").first()
     assert row["num_frames_sampled"] == 4 and row["vector"] == [17.0, 1.0] and row["camera"] == "top"
+
+
+def test_search_by_text_and_camera(spark, catalog):
+    from tidewheel.operators import sampling
+
+    sampling.MODELS.pop("m", None)
+    sampling.register_model("m")(lambda: lambda texts: [[0.0, 0.0, float(len(t)), 0.0] for t in texts])
+    assert [r["episode_id"] for r in catalog.search(text="cup", top=1).collect()] == ["e2"]
+    assert catalog.search(text="cup", camera="cam9").count() == 0 and catalog.search(text="cup", camera="cam0").count() == 3
+    sampling.MODELS.pop("m")
+    with pytest.raises(ValueError, match="no such model"):
+        catalog.search(text="cup")
+    with pytest.raises(ValueError):
+        catalog.search(text="cup", like="e0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,22 @@ def analysis_needed(rules: FilterRules, reader: dict[str, tuple[str, ...]]) -> s
     return {kind for kind, columns in reader.items() if any(c in rules.video and rules.video[c] != (None, None) for c in columns)}
 
 
+def filter_with_analyses(episodes: DataFrame, scores: DataFrame | None, rules: FilterRules, analyses: dict[str, tuple[tuple[str, ...], Callable[[], DataFrame]]]) -> DataFrame:
+    """``filter_episodes``, with the analyses that its bounds need, and no others.
+
+    ``analyses`` maps a name to the columns that it gives and a function that makes
+    them, a row an episode. Those that are needed are joined to the scores; an episode
+    without a row of them has nulls, which pass.
+    """
+    wanted = analysis_needed(rules, {kind: columns for kind, (columns, _) in analyses.items()})
+    found = scores
+    for kind in sorted(wanted):
+        columns, make = analyses[kind]
+        made = make().select("episode_id", *columns)
+        found = made if found is None else found.drop(*columns).join(made, "episode_id", "full")
+    return filter_episodes(episodes, found, rules)
+
+
 def dimension_stats(frames: DataFrame, column: str, key: list[str], first: int | None = None) -> DataFrame:
     """Least, most, mean and deviation (ddof 0) of each dimension; ``first`` frames of each episode only, if given."""
     x = frames.where(F.col("frame_index") < first) if first else frames

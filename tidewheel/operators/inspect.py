@@ -58,6 +58,9 @@ class Signals:
     parts: dict[str, tuple[int, int]] = field(default_factory=dict)
 
 
+# The numbers in the three functions below are fixed values: what a gripper, a part of the state and a kind of action are told by.
+
+
 def _gripper(dims: list) -> int | None:
     """The last dimension if it stays within 0 to 1 beside wider ones, else the first that jumps between still stretches."""
     if len(dims) < 2 or dims[0]["n"] < 10:

@@ -16,6 +16,23 @@ from tidewheel.operators.kernels import pelt
 GRIPPER_STEP, GRIPPER_CLOSED = 0.15, 0.5
 
 
+#: Names that a signal goes by, and the columns that are looked at for it, in order.
+SIGNALS = {"observation.state": ("state", "joint_positions"), "state": ("state", "joint_positions"), "qpos": ("joint_positions",), "joint_positions": ("joint_positions",), "joint_velocities": ("joint_velocities",), "action": ("action",)}
+
+
+def with_signal(frames: DataFrame, name: str = "observation.state", out: str = "signal") -> DataFrame:
+    """Adds a signal by its name: in each frame the first of its columns that is there and not null.
+
+    An unknown name, or one of which the frames have no column, raises.
+    """
+    if name not in SIGNALS:
+        raise ValueError(f"no signal {name!r}; there are {', '.join(SIGNALS)}")
+    there = [c for c in SIGNALS[name] if c in frames.columns]
+    if not there:
+        raise ValueError(f"the frames have no column for the signal {name!r}")
+    return frames.withColumn(out, F.coalesce(*there))
+
+
 def penalty_of(penalty: str | float, n: int, dims: int) -> float:
     return math.log(max(n, 1)) * dims if penalty == "bic" else 2.0 * dims if penalty == "aic" else float(penalty)
 
@@ -44,8 +61,8 @@ def segment_episodes(frames: DataFrame, signal: str = "state", model: str = "rbf
 def label_phases(frames: DataFrame, segments: DataFrame, signal: str = "state", gripper: str | None = None) -> DataFrame:
     """The phase of each segment by speed and gripper: adds ``mean_speed, speed_std, label``.
 
-    Frames meet their segment by an equi-join on the episode with a range residual, so
-    an episode's few segments are all that each frame is compared with.
+    Starts of segments are put in order with the frames, so each frame takes the last one
+    before it, in time linear in both.
     """
     w = Window.partitionBy("episode_id").orderBy("frame_index")
     step = F.zip_with(signal, F.lag(signal).over(w), lambda a, b: a - b)
@@ -55,7 +72,11 @@ def label_phases(frames: DataFrame, segments: DataFrame, signal: str = "state",
     limits = x.groupBy("episode_id").agg(F.percentile(moving, 0.2).alias("_p20"), F.percentile(moving, 0.7).alias("_p70"), F.count(moving).alias("_n"))
     limits = limits.select("episode_id", F.when(F.col("_n") < 5, 1e-6).otherwise(F.col("_p20")).alias("low"), F.when(F.col("_n") < 5, 1e-3).otherwise(F.col("_p70")).alias("high"))
     g = F.col(gripper) if gripper else F.lit(None).cast("double")
-    inside = x.select("episode_id", "_pos", "_v", g.alias("_g")).join(segments, "episode_id").where("_pos >= start and _pos < end")
+    span = F.struct("segment", "start", "end")
+    marks = segments.select("episode_id", F.col("start").cast("int").alias("_pos"), F.lit(None).cast("double").alias("_v"), F.lit(None).cast("double").alias("_g"), span.alias("_span"))
+    rows = x.select("episode_id", "_pos", "_v", g.cast("double").alias("_g"), F.lit(None).cast(marks.schema["_span"].dataType).alias("_span")).unionByName(marks)
+    upto = Window.partitionBy("episode_id").orderBy("_pos", F.col("_span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_in", F.last("_span", ignorenulls=True).over(upto)).where(F.col("_span").isNull() & (F.col("_pos") < F.col("_in.end"))).select("episode_id", "_pos", "_v", "_g", "_in.*")
     per = inside.groupBy("episode_id", "segment", "start", "end").agg(
         F.avg("_v").alias("mean_speed"), F.stddev_pop("_v").alias("speed_std"), F.avg("_g").alias("_gm"), (F.max_by("_g", "_pos") - F.min_by("_g", "_pos")).alias("_gd")
     )

@@ -65,7 +65,8 @@ def camera_quality(frames: DataFrame, fps: float) -> DataFrame:
 
     A frozen run is counted in frames after the one that they repeat and timed from that
     one; a frame without a time has that of its index. A camera whose times are not all
-    there and increasing has no drop fraction. Null measures leave their figure null.
+    there and increasing has no drop fraction. Null measures leave their figure null. Where
+    frames have ``height`` and ``width``, changes between decoded ones are counted.
     """
     w = Window.partitionBy(*KEY).orderBy("frame_index")
     starts = F.when(_decoded() & ~F.coalesce("frozen", F.lit(False)), 1).otherwise(0)
@@ -74,6 +75,11 @@ def camera_quality(frames: DataFrame, fps: float) -> DataFrame:
     over = F.col("highlight_fraction") > CLIPPED_PIXELS
     under = (F.col("shadow_fraction") > CLIPPED_PIXELS) | (F.col("brightness") < DARK)
     mean_of = lambda c: F.avg(F.when(_decoded(), c.cast("double")))
+    sized = {"height", "width"} <= set(frames.columns)
+    if sized:
+        size = F.when(_decoded() & F.col("height").isNotNull() & F.col("width").isNotNull(), F.struct("height", "width"))
+        x = x.withColumn("_size", size)
+        x = x.withColumn("_resized", F.col("_size") != F.last("_size", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     per_run = Window.partitionBy(*KEY, "_run")
     x = x.withColumns({
         "_frozen_n": F.count_if(_decoded() & F.col("frozen")).over(per_run),
@@ -90,7 +96,7 @@ def camera_quality(frames: DataFrame, fps: float) -> DataFrame:
         F.count("_lost").alias("timestamp_gaps"), F.max(F.when(F.col("_lost").isNotNull(), F.col("_dt"))).alias("max_gap_s"),
         F.when(F.count("_dt") > 0, F.coalesce(F.sum("_lost"), F.lit(0))).alias("dropped_frames"),
         (1 / F.avg("_dt")).alias("effective_fps"), (F.stddev_pop("_dt") / F.avg("_dt")).alias("jitter_ratio"),
-        F.count("_dt").alias("_n"), F.count("timestamp").alias("_stored"), F.bool_or("_large").alias("_large"),
+        F.count("_dt").alias("_n"), F.count("timestamp").alias("_stored"), F.bool_or("_large").alias("_large"), *([F.count_if("_resized").alias("resolution_changes")] if sized else []),
     )
     return judged(per)
 
@@ -112,6 +118,8 @@ def judged(per: DataFrame) -> DataFrame:
         ("frozen_frames", F.col("frozen_fraction").isNotNull() & (frozen | (F.col("frozen_fraction") > FROZEN_FRAMES))),
         ("video_invalid_timestamps", F.col("invalid_timestamps") > 0), ("video_frame_drops", F.col("_large") | (F.col("drop_fraction") > DROP_FRACTION)),
     ]
+    if "resolution_changes" in per.columns:
+        flags.append(("video_resolution_change", F.col("resolution_changes") > 0))
     raised = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags)))
     return per.withColumn("flags", raised).drop("_n", "_stored", "_large")
 

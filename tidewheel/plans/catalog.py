@@ -167,22 +167,30 @@ class Catalog:
         self.commit({"curation_labels": out})
         return self.curation()
 
-    def search(self, query: list[float] | None = None, like: str | None = None, model_id: str | None = None, top: int = 10) -> DataFrame:
-        """Episodes by cosine to a vector, or to the mean of an episode's own vectors."""
-        if (query is None) == (like is None):
-            raise ValueError("give a query vector or an episode, not both")
+    def search(self, query: list[float] | None = None, like: str | None = None, model_id: str | None = None, top: int = 10, text: str | None = None, camera: str | None = None) -> DataFrame:
+        """Episodes by cosine to a vector, to the mean of an episode's own vectors, or to a text.
+
+        A text becomes a vector by the model that is registered under the name before the "@"
+        of ``model_id`` (see ``sampling.register_model``). ``camera`` keeps to one view.
+        """
+        if sum(x is not None for x in (query, like, text)) != 1:
+            raise ValueError("give a query vector, an episode or a text")
         v = self.table("embeddings")
         if model_id is None:
             models = [r[0] for r in v.select("model_id").distinct().take(2)]
             if len(models) != 1:
                 raise ValueError("name the model")
             model_id = models[0]
-        v = v.where((F.col("model_id") == model_id) & (F.col("level") == "episode"))
+        v = v.where((F.col("model_id") == model_id) & (F.col("level") == "episode") & (F.lit(True) if camera is None else F.col("camera") == camera))
         if like is not None:
             mine = mean_vector(v.where(F.col("episode_id") == like), ["episode_id"]).select("vector").first()
             if mine is None:
                 raise ValueError(f"no vectors of {like}")
             query = list(mine[0])
+        if text is not None:
+            from tidewheel.operators.sampling import model
+
+            query = [float(x) for x in model(model_id.split("@")[0])([text])[0]]
         q = F.array(*(F.lit(float(x)) for x in query))
         best = v.select("episode_id", "camera", cosine(F.col("vector"), q).alias("score")).groupBy("episode_id").agg(F.max(F.struct("score", "camera")).alias("b"))
         return best.join(self.table("episodes"), "episode_id").select("episode_id", "b.score", "b.camera", "task", "robot").orderBy(F.desc("score"), "episode_id").limit(top)
