@@ -467,6 +467,23 @@ def state_conditioned_variance(spark, sf_dir):
     return x.select("episode_id", F.round(F.col("neighbour_variance") + 1e-9, 5).alias("variance"))
 
 
+@query(
+    f"""WITH {_F}, g AS (SELECT ep, i, CASE WHEN lag(s0) OVER w IS NULL THEN (lead(s0) OVER w - s0) / 0.05 WHEN lead(s0) OVER w IS NULL THEN (s0 - lag(s0) OVER w) / 0.05 ELSE (lead(s0) OVER w - lag(s0) OVER w) / 0.1 END AS g0,
+  CASE WHEN lag(s1) OVER w IS NULL THEN (lead(s1) OVER w - s1) / 0.05 WHEN lead(s1) OVER w IS NULL THEN (s1 - lag(s1) OVER w) / 0.05 ELSE (lead(s1) OVER w - lag(s1) OVER w) / 0.1 END AS g1 FROM f WINDOW w AS {_W}),
+v AS (SELECT ep, i, sqrt(g0 * g0 + g1 * g1) AS v, sum(sqrt(g0 * g0 + g1 * g1)) OVER (PARTITION BY ep) AS total, count(*) OVER (PARTITION BY ep) AS n FROM g),
+b AS (SELECT ep, i, v, total, CAST(pow(2, ceil(log2(n)) + 4) AS BIGINT) AS m FROM v WHERE n >= 4),
+a AS (SELECT ep, m, k, sqrt(pow(sum(v * cos(2 * pi() * k * i / m)), 2) + pow(sum(v * sin(2 * pi() * k * i / m)), 2)) / any_value(total) AS a, k * 20.0 / m AS freq FROM b, range(0, 1000000) r(k) WHERE k <= m // 2 GROUP BY ep, m, k),
+t AS (SELECT ep, least(max(freq) FILTER (a >= 0.05), 10.0) AS top FROM a GROUP BY ep),
+d AS (SELECT ep, sqrt(pow((freq - lag(freq) OVER p) / top, 2) + pow(a - lag(a) OVER p, 2)) AS d FROM a JOIN t USING (ep) WHERE freq <= top AND top > 0 WINDOW p AS (PARTITION BY ep ORDER BY k)),
+o AS (SELECT ep, -sum(d) AS s FROM d GROUP BY ep)
+SELECT u.ep AS episode_id, round(o.s, 5) AS sparc FROM (SELECT DISTINCT ep FROM f) u LEFT JOIN o ON o.ep = u.ep"""
+)
+def motion_smoothness(spark, sf_dir):
+    """Spectral arc length of each episode; the SQL adds up the spectrum term by term."""
+    x = kernels.episode_kernels(timed_frames(spark, sf_dir), 20.0)
+    return x.select("episode_id", F.round("sparc", 5).alias("sparc"))
+
+
 # --- diagnostics --------------------------------------------------------------------------
 
 _EVENT = "SELECT ep AS episode_id, '{k}' AS kind, min(i) - 1 AS start, max(i) + 1 AS \"end\", round(min(t - dt), 6) AS start_time, round(max(t), 6) AS end_time FROM (SELECT *, i - row_number() OVER (PARTITION BY ep ORDER BY i) AS isl FROM v WHERE {w}) GROUP BY ep, isl HAVING max(t) - min(t - dt) + 1e-9 >= {m}"
