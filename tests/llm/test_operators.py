@@ -529,10 +529,12 @@ def test_route_of_many_patterns():
 
 
 def test_rare_patterns_count_for_one_source(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_PATTERNS", 6)
     rng = np.random.default_rng(1)
     rows = [(k, "w " * (1 + k % 4), sorted({*rng.choice(list("abcde"), rng.integers(1, 4)).tolist()})) for k in range(500)]
-    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    exact, usual = (sorted(tuple(map(str, r)) for r in mixing.mix_sources(docs, most_patterns=m).collect()) for m in (None, 200_000))
+    assert exact == usual and len({r[1] for r in exact}) > 11
+    got = mixing.mix_sources(docs, most_patterns=6).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(500)) and len({tuple(r["pattern"]) for r in got}) <= 6 + 5
     assert all(set(r["pattern"]) <= set(rows[r["doc_id"]][2]) for r in got)
 

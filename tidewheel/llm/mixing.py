@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 from tidewheel.llm.common import WORD
 from tidewheel.session import materialize
 
-#: Membership patterns that the driver plans with, those of most words. Documents of a rarer pattern of several
-#: sources count for one of these, drawn by a hash of the pattern.
+#: Membership patterns that the driver plans with by default, those of most words. Documents of a rarer pattern of
+#: several sources count for one of these, drawn by a hash of the pattern; ``most_patterns=None`` plans them all.
 MOST_PATTERNS = 200_000
 #: Rows of a plan that are sent to all tasks; a longer one is joined.
 SENT_ROWS = 20_000
@@ -176,6 +176,7 @@ def mix_sources(
     times: int = 3,
     seed: int = 7,
     keep: tuple[str, ...] = (),
+    most_patterns: int | None = MOST_PATTERNS,
 ) -> DataFrame:
     """Decide how many words of each document go to a mix of given source weights.
 
@@ -196,6 +197,10 @@ def mix_sources(
     ``pattern`` is what the document counts for, ``source_size`` and ``target`` are those of
     its first source. Columns named in ``keep`` are carried along; one named as the
     operator's own is an error.
+
+    ``most_patterns`` bounds what the driver plans with: beyond it, the rarest patterns of several
+    sources count for one of these. None plans every pattern exactly, with memory and
+    time of the driver that grow with their number (100,000 take about a second).
     """
     if clash := _OWN.intersection(keep):
         raise ValueError(f"the operator has columns of its own named {sorted(clash)}")
@@ -212,7 +217,7 @@ def mix_sources(
         ).withColumns({"draw": F.xxhash64(F.lit(seed), "doc_id", "h"), "number": F.monotonically_increasing_id()}),
         "sizes",
     )
-    sized, found = _planned(sized, MOST_PATTERNS)
+    sized, found = _planned(sized, most_patterns)
     capacity = {tuple(r["pattern"]): r["size"] for r in found}
     names = sorted({s for p in capacity for s in p}, key=lambda s: (s is None, s or ""))
     size_of = dict.fromkeys(names, 0)
@@ -259,9 +264,11 @@ def mix_sources(
     return full.select(filled.columns).unionByName(filled).select("doc_id", "pattern", "size", "source_size", "target", count.cast("int").alias("times_taken"), (count * F.col("size")).alias("taken"), "h", *keep)
 
 
-def _planned(sized: DataFrame, most: int) -> tuple[DataFrame, list]:
+def _planned(sized: DataFrame, most: int | None) -> tuple[DataFrame, list]:
     """The documents with the pattern that they count for, and the words and rows of each such pattern."""
     sums = lambda df: df.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    if most is None:
+        return sized, sums(sized).collect()
     found = sums(sized).orderBy(F.desc("size"), F.to_json("pattern")).limit(most + 1).collect()
     if len(found) <= most:
         return sized, found
