@@ -268,7 +268,7 @@ def _planned(sized: DataFrame, most: int | None) -> tuple[DataFrame, list]:
     """The documents with the pattern that they count for, and the words and rows of each such pattern."""
     sums = lambda df: df.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     if most is None:
-        return sized, sums(sized).collect()
+        return sized, sums(sized).orderBy(F.desc("size"), F.to_json("pattern")).collect()  # in order, so that reruns agree
     found = sums(sized).orderBy(F.desc("size"), F.to_json("pattern")).limit(most + 1).collect()
     if len(found) <= most:
         return sized, found
