@@ -43,7 +43,11 @@ _SQL: dict[str, tuple[str, str | None]] = {
     "except_sets": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20", None),
     "cte_scalar_subquery": ("WITH a AS (SELECT avg(o_totalprice) AS m FROM orders) SELECT o_orderkey FROM orders WHERE o_totalprice > 1.5 * (SELECT m FROM a)", None),
     "correlated_subquery": ("SELECT o_orderkey FROM orders o WHERE o_totalprice >= (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
-    "lateral_view": ("SELECT user_id, x.event_id FROM (SELECT DISTINCT user_id FROM events) u JOIN LATERAL (SELECT event_id FROM events e WHERE e.user_id = u.user_id ORDER BY ts, event_id LIMIT 1) x ON true", None),
+    # Spark turns a correlated ORDER BY ... LIMIT into a row number by the key alone over rows sorted before a shuffle, so the least is taken instead
+    "lateral_view": (
+        "SELECT user_id, x.event_id FROM (SELECT DISTINCT user_id FROM events) u JOIN LATERAL (SELECT min_by(event_id, struct(ts IS NULL, ts, event_id IS NULL, event_id)) AS event_id FROM events e WHERE e.user_id = u.user_id GROUP BY e.user_id) x ON true",
+        "SELECT user_id, x.event_id FROM (SELECT DISTINCT user_id FROM events) u JOIN LATERAL (SELECT event_id FROM events e WHERE e.user_id = u.user_id ORDER BY ts, event_id LIMIT 1) x ON true",
+    ),
     "string_scalars": ("SELECT doc_id, lower(source) AS s, length(trim(text)) AS n, replace(lang, 'e', 'E') AS l, upper(substring(source, 1, 2)) AS h FROM documents", "SELECT doc_id, lower(source) AS s, length(trim(text)) AS n, replace(lang, 'e', 'E') AS l, upper(substring(source, 1, 2)) AS h FROM documents"),
     "date_scalars": ("SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2", None),
     "math_scalars": ("SELECT event_id, round(sqrt(abs(value)), 5) AS r, CAST(floor(value) AS DOUBLE) AS f, CAST(sign(value) AS DOUBLE) AS s, round(ln(1 + abs(value)), 5) AS l FROM events", None),
