@@ -139,7 +139,7 @@ def video_rollup(spark, sf_dir):
 
 def _bytes(values: Column) -> Column:
     """An array of numbers of 0 to 255 as bytes."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")), ""))
+    return F.encode(F.array_join(F.transform(values, lambda v: F.char(v.cast("long"))), ""), "ISO-8859-1")
 
 
 @query(
@@ -161,9 +161,11 @@ def pixel_measures(spark, sf_dir):
 @query()
 def video_motion(spark, sf_dir):
     """Stripes that move with an event's value, sixteen rows of sixteen; dense flow can't be said in SQL."""
-    at = F.sequence(F.lit(0), F.lit(255))
     x = camera_frames(spark, sf_dir)
-    grey = F.transform(at, lambda k: F.floor(128 + 60 * F.sin((k % 16 + F.col("sharpness") / 40) / 2.5) + 50 * F.cos(F.floor(k / 16) / 3)))
+    # a row's wave is the same but for a step from row to row
+    wave = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: 128 + 60 * F.sin((k + F.col("sharpness") / 40) / 2.5))
+    steps = F.array(*(50 * F.cos(F.lit(k) / 3) for k in range(16)))
+    grey = F.transform(F.array(wave), lambda row: F.flatten(F.transform(steps, lambda step: F.transform(row, lambda v: F.floor(v + step)))))[0]
     frames_ = x.select("episode_id", "camera", "frame_index", "timestamp", F.when(F.col("outcome") == "decoded", _bytes(grey)).alias("pixels"), F.lit(16).alias("height"), F.lit(16).alias("width"))
     m = motion.camera_motion(frames_)
     return m.select("episode_id", "camera", *(r6(c).alias(c) for c in ("mean_motion", "scene_motion_fraction")), "cut_count")
