@@ -98,3 +98,29 @@ def test_nothing_and_bad_radius(spark):
     for most in (-0.1, 1.0):
         with pytest.raises(ValueError):
             images.signature_pairs(none, most)
+
+
+@pytest.mark.parametrize("rows_a_block", [5, 16_384])
+@pytest.mark.parametrize("shared", [False, True])
+def test_blocks_find_what_lists_find(spark, monkeypatch, rows_a_block, shared):
+    """Null hashes, several cameras and cells of one block and of two."""
+    monkeypatch.setattr(hamming, "DENSE", 0.0)
+    monkeypatch.setattr(hamming.blocks, "block_rows", lambda total, width: rows_a_block)
+    rows = near_signatures(11, 60, shared_frame=shared)
+    got = images.signature_pairs(spark.createDataFrame(rows, KIND).repartition(3), 0.2).collect()
+    want = slow_pairs(rows, 0.2)
+    assert len(got) == len(want) and {(r["a"], r["b"]): pytest.approx(r["distance"]) for r in got} == want
+
+
+def test_bits_that_never_vary_make_no_lists(spark, monkeypatch):
+    """With half of the bits constant, whole lists would hold all signatures; each pair is compared once instead."""
+    called, inner = [], hamming.block_pairs
+    monkeypatch.setattr(hamming, "block_pairs", lambda *a: called.append(a[-1]) or inner(*a))
+    rng = np.random.default_rng(3)
+    rows = [(f"e{k:03}", "all", j, int(rng.integers(0, 1 << 32))) for k in range(300) for j in range(2)]
+    want = slow_pairs(rows, 0.15)
+    got = images.signature_pairs(spark.createDataFrame(rows, KIND), 0.15).collect()
+    assert called and want and {(r["a"], r["b"]): pytest.approx(r["distance"]) for r in got} == want
+    called.clear()
+    spread = [(f"e{k:03}", "all", j, int(rng.integers(-(1 << 63), 1 << 63))) for k in range(300) for j in range(2)]
+    assert images.signature_pairs(spark.createDataFrame(spread, KIND), 0.05).count() == 0 and not called
