@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel import session
 from tidewheel.functions import near, vectors
@@ -80,3 +81,36 @@ def test_one_long_vector_opens_no_other_band(spark):
 def test_bands():
     limits = vectors.band_thresholds([0.1, 1.0, 10.0], 0.97)
     assert limits[0, 0] > 1 and limits[0, 1] > 1 and limits[0, 2] < 1 and limits[2, 2] < 0.01
+
+
+def _vectors(spark, seed, n, parts=2, dim=16, bands=1, known=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)) + rng.normal(size=(5, dim))[rng.integers(0, 5, n)]
+    rows = [(int(k % parts), k, [float(v) for v in x[k]], k % bands, k < known) for k in range(n)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame(rows, "part long, rep long, vec array<double>, band int, known boolean"), rows, unit
+
+
+@pytest.mark.parametrize("rows_a_block", [9, 16_384])
+def test_all_products_against_brute_force(spark, monkeypatch, rows_a_block):
+    """Cells of one block and of two; each pair of bands has a cosine of its own, one has none; known vectors make no pair."""
+    monkeypatch.setattr(near.blocks, "block_rows", lambda *a: rows_a_block)
+    limits = np.array([[2.0, 0.5, 0.2], [0.5, 0.7, 0.3], [0.2, 0.3, 0.9]])
+    df, rows, unit = _vectors(spark, 1, 120, bands=3, known=40)
+    got = [(r["a"], r["b"], r["cosine"]) for r in near.all_products(df.repartition(3), 16, limits).collect()]
+    want = {(a, b): float(unit[a] @ unit[b]) for a in range(120) for b in range(a + 1, 120) if a % 2 == b % 2 and b >= 40 and unit[a] @ unit[b] >= limits[a % 3, b % 3]}
+    assert len(got) == len(want) and {(a, b): pytest.approx(c) for a, b, c in got} == want
+
+
+def test_wide_searches_take_products(spark, monkeypatch):
+    """A low cosine would send each vector to most lists; a high one is left to the index, and one long vector changes nothing."""
+    df, _, unit = _vectors(spark, 2, 600, parts=1, dim=64)
+    assert near.dense(df, 64, 0.35) and not near.dense(df, 64, 0.999)
+    one_long = df.withColumn("band", F.when(F.col("rep") == 7, 1).otherwise(0))
+    assert not near.dense(one_long, 64, np.array([[0.999, 0.2], [0.2, 0.04]]))
+    called, inner = [], near.all_products
+    monkeypatch.setattr(near, "all_products", lambda *a: called.append(1) or inner(*a))
+    e = df.select(F.col("rep").alias("episode_id"), F.col("vec").alias("vector"))
+    got = vectors.similar_pairs(e, 0.35, metric="cosine").collect()
+    s = unit @ unit.T
+    assert called and {(r["episode_a"], r["episode_b"]) for r in got} == {(a, b) for a in range(600) for b in range(a + 1, 600) if s[a, b] >= 0.35}

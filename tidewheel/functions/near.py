@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators import blocks
 from tidewheel.session import materialize
 
 #: The index is fitted on so many vectors and values at most, drawn by a hash; all are indexed.
@@ -26,6 +27,10 @@ QUERY_ROWS = 4096
 PLACE_ROWS = 512
 #: Pairs whose table look-ups are summed at a time.
 PAIRS = 1 << 21
+#: Vectors that tell whether lists are worth it, and the share of lists probed above which products of all pairs cost less.
+TRIED, DENSE = 4096, 1 / 8
+#: Numbers that a block of vectors holds at most, and products made at a time.
+BLOCK_VALUES, TILE_ROWS = 1 << 21, 64
 #: Standard deviations of a direction's cosine that the probes allow for (see ``Index``).
 DEVIATIONS = 3.3
 
@@ -198,6 +203,67 @@ def fit(vectors: DataFrame, dim: int, threshold: float | np.ndarray, share: floa
     return Index(unit_rows(matrix(drawn.column("vec").combine_chunks(), dim)), rows, threshold, share=share)
 
 
+def dense(vectors: DataFrame, dim: int, threshold: float | np.ndarray, index: Index | None = None) -> bool:
+    """Whether an index that misses no pair would probe so many lists that products of all pairs cost less.
+
+    An index that is there, or a small one of a bounded sample, tells: what each pair of bands probes, against those that
+    can have a pair at all. Both ways give the same pairs.
+    """
+    size = max(64, min(TRIED, FIT_VALUES // dim))
+    banded = vectors if "band" in vectors.columns else vectors.withColumn("band", F.lit(0))
+    drawn = banded.orderBy(F.xxhash64("vec"), "rep").limit(size).select("vec", "band").toArrow()
+    if not drawn.num_rows:
+        return False
+    x, bands = unit_rows(matrix(drawn.column("vec").combine_chunks(), dim)), drawn.column("band").to_numpy()
+    index = Index(x, len(x), threshold, share=1.0) if index is None else index
+    share = np.bincount(bands, minlength=len(index.reaches)) / len(bands)
+    probed = wanted = 0.0
+    for i, j in zip(*np.nonzero(index.reaches >= 0), strict=True):
+        some = x[:512][bands[:512] == i]
+        if len(some):
+            wanted += share[i] * share[j]
+            probed += share[i] * share[j] * float(index.place(some, index.reaches[i, j])[1].mean())
+    return probed > DENSE * wanted
+
+
+def all_products(vectors: DataFrame, dim: int, threshold: float | np.ndarray) -> DataFrame:
+    """Pairs ``a, b, cosine`` of ``search`` from the products of all vectors of a part, block by block.
+
+    ``vectors``: ``part, rep, vec``, and ``band`` and ``known`` (boolean; two known vectors make no
+    pair) where they are of more than one kind. A task holds two blocks.
+    """
+    spark = vectors.sparkSession
+    limits = np.atleast_2d(np.asarray(threshold, "f8"))
+    n = len(limits)
+    for name, value in (("band", F.lit(0)), ("known", F.lit(False))):
+        if name not in vectors.columns:
+            vectors = vectors.withColumn(name, value)
+    meets = np.tile(limits <= 1 + 1e-9, (2, 2))
+    meets[n:, n:] = False
+    rows = vectors.select("part", "rep", "vec", (F.col("band") + F.col("known").cast("int") * n).cast("int").alias("kind"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(part: int, first: pa.RecordBatch, second: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for side in (first,) if second is None else (first, second):
+            sides.append((side.column("rep").to_numpy(), side.column("kind")[0].as_py() % n, unit_rows(matrix(side.column("vec"), dim))))
+        (rep, band, x), (other, other_band, y) = sides[0], sides[-1]
+        least, y = limits[band, other_band], np.ascontiguousarray(y.T)
+        for at in range(0, len(rep), TILE_ROWS):
+            # of one block, only what comes after
+            after = at if second is None else 0
+            cos = x[at : at + TILE_ROWS] @ y[:, after:]
+            i, j = np.divmod(np.flatnonzero(cos >= least), cos.shape[1])
+            if second is None:
+                i, j = (v[i < j] for v in (i, j))
+            if len(i):
+                a, b = rep[at + i], other[after + j]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cos[i, j]})
+
+    size = blocks.block_rows(rows.count(), width, max(1, min(blocks.MOST_ROWS, BLOCK_VALUES // dim)))
+    return blocks.cells(blocks.deal(rows, "part", size, "kind", meets), "part", width, work, Pairs.schema)
+
+
 def search(vectors: DataFrame, dim: int, threshold: float | np.ndarray, collector, schema: str, share: float | None = None, index: Index | None = None, known: DataFrame | None = None) -> DataFrame:
     """Let every vector query the index of all, and collect the pairs block by block.
 

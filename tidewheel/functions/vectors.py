@@ -86,6 +86,8 @@ def scored_pairs(found: DataFrame, rows: DataFrame, keys: list[str], threshold:
     both = found.join(side("a"), "a").join(side("b"), "b").where("_ka <=> _kb and _a <> _b")
     value = F.col("cosine") if metric == "cosine" else F.col("cosine") * F.col("_na") * F.col("_nb")
     scored = both.select(F.least("_a", "_b").alias("episode_a"), F.greatest("_a", "_b").alias("episode_b"), value.alias("similarity")).where(F.col("similarity") >= threshold)
+    if rows.select("_id").distinct().count() == rows.count():
+        return scored  # each pair is there once
     return scored.groupBy("episode_a", "episode_b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -100,7 +102,8 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.97, id_col: str = "ep
     """Pairs ``episode_a < episode_b`` of similarity at ``threshold`` or above, the highest over blocks.
 
     Vectors meet within a block (camera and model) through the index of ``near``, with
-    margins that miss no pair. For dot products vectors are dealt to bands of length: a
+    margins that miss no pair; where these are so wide that most lists would be probed, the
+    products of all pairs are taken, block by block. For dot products vectors are dealt to bands of length: a
     product of t between vectors no longer than m and n is a cosine of t / (m n) or more,
     so each pair of bands is searched for a cosine of its own, and bands too short for
     each other not at all. One long vector widens only the search of its own band. The
@@ -123,7 +126,10 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.97, id_col: str = "ep
             some = some.withColumn("band", band_of(F.col("norm"), tops))
         elif threshold > 1 + 1e-9:
             continue
-        one = near.search(some, dim, limits, near.Pairs, near.Pairs.schema, share=1.0)
+        if near.dense(some, dim, limits):
+            one = near.all_products(some, dim, limits)
+        else:
+            one = near.search(some, dim, limits, near.Pairs, near.Pairs.schema, share=1.0)
         found = one if found is None else found.unionByName(one)
     kind = vectors.schema[id_col].dataType.simpleString()
     if found is None:

@@ -130,7 +130,13 @@ class VectorIndex:
         if not fresh:
             index.one_sided = True
             known = materialize(self.probed(index, rows_).withColumns({"band": band, "mult": F.lit(1).cast("long"), "_k0": F.col("camera")}), "probed")
-        found = near.search(rows_, self.dim, limits, near.Pairs, near.Pairs.schema, index=index, known=known) if (np.atleast_2d(limits) <= 1 + 1e-9).any() else None
+        found = None
+        if (np.atleast_2d(limits) <= 1 + 1e-9).any():
+            if near.dense(rows_, self.dim, limits, None if fresh else index):
+                of = lambda x, old: x.select("part", "rep", "vec", "band", F.lit(old).alias("known"))
+                found = near.all_products(of(rows_, False) if known is None else of(rows_, False).unionByName(of(known, True)), self.dim, limits)
+            else:
+                found = near.search(rows_, self.dim, limits, near.Pairs, near.Pairs.schema, index=index, known=known)
         both = rows.select("rep", "_id", "norm", "_k0")
         pairs = None
         if found is not None:
