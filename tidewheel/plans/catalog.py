@@ -281,18 +281,18 @@ def dup_losers(edges: DataFrame, quality: DataFrame, episodes: DataFrame, policy
     """The episode of each edge that its policy gives up; ties go against the greater id."""
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    side = lambda n: episodes.select(F.col("episode_id").alias(f"episode_{n}"), F.col("num_frames").alias(f"f{n}"), F.col("ingested_at").alias(f"t{n}"))
-    score = lambda n: quality.select(F.col("episode_id").alias(f"episode_{n}"), F.col("overall_score").alias(f"q{n}"))
+    # only what the policy looks at is joined to the edges
+    value = {"higher-quality": F.coalesce("overall_score", F.lit(-1.0)), "longer": F.coalesce("num_frames", F.lit(0))}.get(policy, F.col("ingested_at"))
+    about = (quality if policy == "higher-quality" else episodes).select("episode_id", value.alias("v"))
     x = edges
     for n in ("a", "b"):
-        x = x.join(side(n), f"episode_{n}", "left").join(score(n), f"episode_{n}", "left")
-    a, b, c = F.col("episode_a"), F.col("episode_b"), F.col
-    if policy == "higher-quality":
-        la, lb = F.coalesce(c("qa"), F.lit(-1.0)), F.coalesce(c("qb"), F.lit(-1.0))
-    elif policy == "longer":
-        la, lb = F.coalesce(c("fa"), F.lit(0)), F.coalesce(c("fb"), F.lit(0))
+        x = x.join(about.select(F.col("episode_id").alias(f"episode_{n}"), F.col("v").alias(f"v{n}")), f"episode_{n}", "left")
+    a, b = F.col("episode_a"), F.col("episode_b")
+    if policy == "first":
+        la, lb = F.col("vb"), F.col("va")
     else:
-        la, lb = c("tb"), c("ta")
+        none = F.lit(-1.0 if policy == "higher-quality" else 0)
+        la, lb = F.coalesce("va", none), F.coalesce("vb", none)
     loser = F.when(la > lb, b).when(lb > la, a).otherwise(F.greatest(a, b))
     out = x.select(loser.alias("episode_id"), *(["similarity"] if keep_similarity else []))
     return out.distinct()
