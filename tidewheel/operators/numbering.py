@@ -29,3 +29,22 @@ def number_rows(df: DataFrame, key: str, index: str, weight: Column | None = Non
     out = local.join(F.broadcast(before), "_p").withColumns({index: F.col("_rows") + F.col("_i"), base: F.col("_sums") + F.col("_s")})
     dropped = ["_p", "_w", "_i", "_s", "_rows", "_sums"] + ([base] if weight is None else [])
     return out.drop(*dropped)
+
+
+def places(df: DataFrame, part: str, order: list[Column], weight: Column | None = None) -> DataFrame:
+    """Adds ``_before`` and ``_all``, the sums of ``weight`` (1 if not given) over the rows before and over all of a ``part``, and ``_row``, the rows before.
+
+    The rows are dealt by ranges of part and order and written, so a part, however large, is
+    several tasks' work; only sums per range and part go through windows. Rows that ``order``
+    leaves open stand in any order. A null part is a part.
+    """
+    placed = materialize(df.repartitionByRange(F.col(part), *order).withColumns({"_w": (F.lit(1) if weight is None else weight).cast("long"), "_p": F.spark_partition_id()}), "placed")
+    totals = placed.groupBy(F.col(part).alias("_part"), F.col("_p").alias("_q")).agg(F.sum("_w").alias("_s"), F.count("*").alias("_c"))
+    whole = Window.partitionBy("_part")
+    earlier = whole.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    ranges = totals.select("_part", "_q", F.coalesce(F.sum("_s").over(earlier), none).alias("_s0"), F.coalesce(F.sum("_c").over(earlier), none).alias("_c0"), F.sum("_s").over(whole).alias("_all"))
+    w = Window.partitionBy("_p", part).orderBy(*order)
+    local = placed.withColumns({"_i": F.row_number().over(w) - 1, "_t": F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")})
+    out = local.join(F.broadcast(ranges), (F.col("_p") == F.col("_q")) & F.col(part).eqNullSafe(F.col("_part")))  # ranges and parts, added
+    return out.withColumns({"_row": F.col("_c0") + F.col("_i"), "_before": F.col("_s0") + F.col("_t")}).drop("_w", "_p", "_q", "_part", "_i", "_t", "_s0", "_c0")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidewheel.operators.numbering import places
+
 #: name: (Spark SQL, SQL for comparison or None where the same text runs in both)
 _SQL: dict[str, tuple[str, str | None]] = {
     "project_case": ("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(o_orderpriority, '') AS priority, greatest(o_custkey, 10) AS k FROM orders", None),
@@ -84,5 +88,20 @@ def _run(sql: str):
     return run
 
 
-QUERIES = {name: _run(sql) for name, (sql, _) in _SQL.items()}
+def window_ranks(spark, sf_dir):
+    """Ranks within a status by ranges of date and of price, as its SQL has them; a status is one of three, so its window would be one task."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    last = lambda c: F.asc_nulls_last(c)
+    days = places(o.groupBy("o_orderstatus", "o_orderdate").agg(F.count("*").alias("n")), "o_orderstatus", [last("o_orderdate")], F.col("n"))
+    days = days.select(F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("at"), (F.col("_before") + 1).cast("int").alias("r"), (F.col("_row") + 1).cast("int").alias("d"))
+    rows = places(o, "o_orderstatus", [last("o_totalprice"), last("o_orderkey")])
+    small, more = F.expr("_all div 4"), F.col("_all") % 4
+    # the first quarters have one row more where four don't go into all
+    edge = more * (small + 1)
+    quarter = F.when(F.col("_row") < edge, F.floor(F.col("_row") / (small + 1))).otherwise(more + F.floor(F.try_divide(F.col("_row") - edge, small))) + 1
+    both = rows.join(days, F.col("o_orderstatus").eqNullSafe(F.col("s")) & F.col("o_orderdate").eqNullSafe(F.col("at")))
+    return both.select("o_orderkey", "r", "d", quarter.cast("long").alias("q"))
+
+
+QUERIES = {name: _run(sql) for name, (sql, _) in _SQL.items()} | {"window_ranks": window_ranks}
 ORACLES = {name: other or sql for name, (sql, other) in _SQL.items()}
